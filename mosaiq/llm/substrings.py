@@ -56,7 +56,8 @@ class Passages:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each rolling block window: the least gram hash, whether it counts, whether it is one of the fixed blocks."""
         whole = self.starts(self.block)
-        least = least_of(window_hashes(self.hashes, GRAM, SEEDS["gram"]), self.block - GRAM + 1)[: len(whole)]
+        # Least hashes are small numbers; mixing spreads them over the whole range and keeps them distinct.
+        least = mix(least_of(window_hashes(self.hashes, GRAM, SEEDS["gram"]), self.block - GRAM + 1)[: len(whole)])
         fixed = (np.arange(len(whole)) - self.words.first[:-1][self.text[: len(whole)]]) % self.block == 0
         return least, whole, fixed
 
