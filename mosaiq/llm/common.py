@@ -6,6 +6,8 @@ cuts at, so one definition serves SQL (:data:`WORD`), plain Python and the kerne
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +64,13 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, as a worker process lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # --- Arrow side -------------------------------------------------------------------------------
 
 

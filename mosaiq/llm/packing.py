@@ -7,127 +7,142 @@ shuffled but the totals.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, release_memory, slices
 
-_LETTER_OR_SIGN = np.zeros(256, dtype=bool)
-_LETTER_OR_SIGN[0x21:0x7F] = True
+_VISIBLE = np.zeros(256, dtype=bool)
+_VISIBLE[0x21:0x7F] = True
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = _VISIBLE & ~_LETTER
+_SIGN[0x30:0x3A] = False
 
-#: Pieces remembered per task; beyond it the memory is started anew.
-REMEMBERED = 400_000
+#: Text bytes encoded at once. Distinct pieces are fewer the more text they come from.
+ENCODE_BYTES = 8 << 20
+JOINED = 400
 
 
 class Encoder:
     """Byte-level BPE over pieces that the pre-tokenizer can't join, each distinct piece encoded once.
 
-    A piece is a run of white space and what follows it. Cutting is safe where a visible ASCII
-    character is followed by ASCII white space: no pre-token crosses that place, and the
-    look-ahead of its white space rule sees the same character. Texts with a special token's
-    string are encoded as a whole.
+    A text may be cut where a visible ASCII character is followed by ASCII white space, and where
+    an ASCII letter is followed by an ASCII sign: no pre-token crosses such a place, and its white
+    space rule looks ahead no further than the same piece. Pieces that begin with white space and
+    end visibly are encoded many in one string, and told apart by the bytes that each id stands
+    for. Texts with a special token's string are encoded as a whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        # In byte-level vocabularies, each character of a token stands for one byte.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        raws = [t.encode() for t in texts]
-        data = np.frombuffer(b"".join(raws), np.uint8)
-        limits = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+    def batch(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def pieces(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after another, and the limits of each piece in them."""
+        joins = np.fromiter((_GAP[p[0]] and _VISIBLE[p[-1]] for p in distinct), bool, len(distinct))
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        many, n = [distinct[i] for i in order], int(joins.sum())
+        joined = [i for ids in self.batch([b"".join(many[i : min(i + JOINED, n)]) for i in range(0, n, JOINED)]) for i in ids]
+        alone = self.batch(many[n:])
+        ids = np.array(joined + [i for x in alone for i in x], dtype=np.uint32)
+        ends = np.cumsum([len(p) for p in many[:n]])
+        limits = np.searchsorted(np.cumsum(self.width[ids[: len(joined)]]), ends) + 1
+        limits = np.concatenate([[0], limits, len(joined) + np.cumsum([len(x) for x in alone])]).astype(np.int64)
+        starts, counts = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        starts[order], counts[order] = limits[:-1], np.diff(limits)
+        return ids, np.stack([starts, counts])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        limits = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[limits[0] : limits[-1]] if raw is not None else np.zeros(0, np.uint8)
+        limits = limits - limits[0]
         cut = np.zeros(len(data) + 1, dtype=bool)
         if len(data):
-            cut[1:-1] = _LETTER_OR_SIGN[data[:-1]] & _GAP[data[1:]]
+            cut[1:-1] = _VISIBLE[data[:-1]] & _GAP[data[1:]] | _LETTER[data[:-1]] & _SIGN[data[1:]]
         cut[limits] = True
         at = np.flatnonzero(cut).astype(np.int32)
         if len(at) < 2:
-            return [np.zeros(0, np.uint32) for _ in texts]
-        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [p for p in distinct if p not in self.known]
-        for piece, made in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(made.ids, dtype=np.uint32)
-        ids = [self.known[p] for p in distinct]
-        lengths = np.array([len(x) for x in ids], dtype=np.int64)
-        flat, starts = np.concatenate(ids), np.concatenate([[0], np.cumsum(lengths)])
-        codes = pieces.indices.to_numpy()
-        each = lengths[codes]
+            return [np.zeros(0, np.uint32) for _ in limits[1:]]
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        flat, (starts, counts) = self.pieces(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy()
+        each = counts[codes]
         ends = np.concatenate([[0], np.cumsum(each)])
         out = flat[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])]
         bounds = ends[np.searchsorted(at, limits)]
-        return [self.whole(t) if any(s in t for s in self.special) else out[a:b] for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)]
+        special = np.zeros(len(texts), dtype=bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        return [self.whole(texts[i].as_py()) if special[i] else out[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, end_id: int = 0, checksums: bool = False) -> DataFrame:
     """Pieces of all documents in sequences of exactly window tokens, the last one perhaps shorter.
 
-    One row per piece: doc_id, start, length, ids (array), doc_tokens, sequence_id, offset. A
-    document's ids end with end_id, so an empty or null text still has one. Order is that of the
-    input's partitions. Repeated rows are packed as often as they come; null ids are kept; extra
-    columns are ignored; an empty table gives no piece. tokenizer is a local path that every
-    executor has, as an installed vocabulary file is.
+    One row per piece: doc_id, start, length, ids (array), doc_tokens, sequence_id, offset. With
+    checksums, ids_crc32 takes the place of ids: the crc32 of the ids as little-endian unsigned
+    32-bit numbers. A document's ids end with end_id, so an empty or null text still has one.
+    Order is that of the input's partitions. Repeated rows are packed as often as they come; null
+    ids are kept; extra columns are ignored; an empty table gives no piece. tokenizer is a local
+    path that every executor has, as an installed vocabulary file is.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, total = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text"):
-            rows = [np.append(x, np.uint32(end_id)).astype("<u4") for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
+        for batch in slices(batches, "text", ENCODE_BYTES):
+            rows = [np.append(x, np.uint32(end_id)).astype("<u4") for x in encoder.encode(batch.column(1))]
             counts = np.array([len(x) for x in rows], dtype=np.int64)
             before = total + np.cumsum(counts) - counts
             total += int(counts.sum())
             # Two bytes an id where the vocabulary allows.
             packed = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.full(len(rows), part)), pa.array(before), pa.array(counts), pa.array(packed, pa.binary())], ["doc_id", "part", "before", "doc_tokens", "ids"])
+            del rows, packed
+        release_memory()
 
     encoded = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, part long, before long, doc_tokens long, ids binary"), "pack-ids")
     totals = encoded.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
     bases = materialize(totals.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "pack-bases")
+    content = ("ids_crc32", pa.int64(), "long") if checksums else ("ids", pa.list_(pa.int32()), "array<int>")
+    fields = [("doc_id", pa.int64(), "long"), ("start", pa.int64(), "long"), ("length", pa.int64(), "long"), content, ("doc_tokens", pa.int64(), "long"), ("sequence_id", pa.int64(), "long"), ("offset", pa.int64(), "long")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                out: list[tuple] = []
-                for doc, begin, count, blob in zip(*(some.column(i).to_pylist() for i in range(4)), strict=True):
-                    ids = np.frombuffer(blob, "<u4" if len(blob) == 4 * count else "<u2")
-                    edges = [0, *range(window - begin % window, count, window), count]
-                    for a, b in zip(edges[:-1], edges[1:], strict=True):
-                        out.append((doc, a, b - a, ids[a:b].astype(np.int32), count, (begin + a) // window, (begin + a) % window))
-                columns = list(zip(*out, strict=True)) or [()] * 7
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        for batch in slices(batches, "ids"):
+            out: list[tuple] = []
+            for doc, begin, count, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                ids = np.frombuffer(blob, "<u4" if len(blob) == 4 * count else "<u2").astype("<i4")
+                edges = [0, *range(window - begin % window, count, window), count]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    out.append((doc, a, b - a, zlib.crc32(ids[a:b].tobytes()) if checksums else ids[a:b], count, (begin + a) // window, (begin + a) % window))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind, _) in zip(columns, fields, strict=True)], [name for name, _, _ in fields])
+        release_memory()
 
     placed = encoded.join(bases, "part").select("doc_id", (F.col("base") + F.col("before")).alias("begin"), "doc_tokens", "ids")
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
-
-
-def with_checksums(pieces: DataFrame) -> DataFrame:
-    """Replace ids by ids_crc32, the unsigned crc32 of the ids as little-endian unsigned 32-bit numbers."""
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(3)
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            columns = [batch.column(i) for i in range(7)]
-            columns[3] = pa.array(crc, pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return pieces.mapInArrow(sums, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(cut, ", ".join(f"{name} {kind}" for name, _, kind in fields))

@@ -38,7 +38,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.with_checksums(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), checksums=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
