@@ -54,6 +54,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2500) -> None:
+    """Send at most so many rows to a Python worker at once: a batch of whole texts must stay far below its memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fold(key: str | Column, parts: int) -> Column:
     """crc32 of the key as text, modulo parts; null for a null key."""
     return F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % parts

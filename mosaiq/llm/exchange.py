@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import CHUNK_BYTES, by_bucket, materialize, slices
+from .common import CHUNK_BYTES, by_bucket, materialize, release_memory, slices, small_batches
 
 #: Bundles whose questions one bucket should hold.
 BUNDLES_PER_BUCKET = 12
@@ -57,7 +57,10 @@ def bundle(rows: DataFrame, text: str, label: str, limit: int = CHUNK_BYTES) ->
                 bid, held, size = bid + 1, [], 0
         if held:
             yield out()
+        held = []
+        release_memory()
 
+    small_batches(rows.sparkSession)
     return materialize(rows.mapInArrow(make, BUNDLE), label)
 
 
@@ -120,6 +123,7 @@ def with_answers(bundles: DataFrame, answers: DataFrame, kinds: list[str], apply
             return apply(-1, None, np.zeros(0, np.uint64), [np.zeros(0, k) for k in kinds])
         keys, columns, _ = unpack(right.column("keys").to_pylist(), right.column("extra").to_pylist(), kinds)
         order = np.argsort(keys, kind="stable")
+        release_memory()
         return apply(left.column("bid")[0].as_py(), decode_table(left.column("payload")[0].as_py()), keys[order], [c[order] for c in columns])
 
     return bundles.groupBy("bid").cogroup(answers.groupBy("bid")).applyInArrow(group, schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release_memory, slices
+from .common import materialize, release_memory, slices, small_batches
 
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[0x21:0x7F] = True
@@ -66,9 +66,12 @@ class Encoder:
         joins = np.fromiter((_GAP[p[0]] and _VISIBLE[p[-1]] for p in distinct), bool, len(distinct))
         order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
         many, n = [distinct[i] for i in order], int(joins.sum())
-        joined = [i for ids in self.batch([b"".join(many[i : min(i + JOINED, n)]) for i in range(0, n, JOINED)]) for i in ids]
-        alone = self.batch(many[n:])
-        ids = np.array(joined + [i for x in alone for i in x], dtype=np.uint32)
+        strings = [b"".join(many[i : min(i + JOINED, n)]) for i in range(0, n, JOINED)]
+        # A few at a time: the library's own results take far more room than the ids.
+        parts = [np.array(ids, dtype=np.uint32) for i in range(0, len(strings), 32) for ids in self.batch(strings[i : i + 32])]
+        joined = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        alone = [np.array(ids, dtype=np.uint32) for i in range(n, len(many), 4096) for ids in self.batch(many[i : i + 4096])]
+        ids = np.concatenate([joined, *alone])
         ends = np.cumsum([len(p) for p in many[:n]])
         limits = np.searchsorted(np.cumsum(self.width[ids[: len(joined)]]), ends) + 1
         limits = np.concatenate([[0], limits, len(joined) + np.cumsum([len(x) for x in alone])]).astype(np.int64)
@@ -126,6 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             del rows, packed
         release_memory()
 
+    small_batches(docs.sparkSession)
     encoded = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, part long, before long, doc_tokens long, ids binary"), "pack-ids")
     totals = encoded.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
     bases = materialize(totals.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "pack-bases")
