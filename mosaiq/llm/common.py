@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.session import ship_package
+
 #: A word, for Java's, DuckDB's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -54,8 +56,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2500) -> None:
-    """Send at most so many rows to a Python worker at once: a batch of whole texts must stay far below its memory."""
+def prepare(spark: SparkSession, rows: int = 2500) -> None:
+    """Ready the session for Python functions: ship the package, and send at most so many rows to a worker at once.
+
+    A batch of whole texts must stay far below a worker's memory.
+    """
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))

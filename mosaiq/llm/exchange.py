@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import CHUNK_BYTES, by_bucket, materialize, release_memory, slices, small_batches
+from .common import CHUNK_BYTES, by_bucket, materialize, prepare, release_memory, slices
 
 #: Bundles whose questions one bucket should hold.
 BUNDLES_PER_BUCKET = 12
@@ -60,7 +60,7 @@ def bundle(rows: DataFrame, text: str, label: str, limit: int = CHUNK_BYTES) ->
         held = []
         release_memory()
 
-    small_batches(rows.sparkSession)
+    prepare(rows.sparkSession)
     return materialize(rows.mapInArrow(make, BUNDLE), label)
 
 

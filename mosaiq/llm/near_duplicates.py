@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, mix, odd_numbers, release_memory, slices, small_batches, window_hashes
+from .common import Words, materialize, mix, odd_numbers, prepare, release_memory, slices, window_hashes
 from .components import components
 from .exchange import ASKED, BUNDLE, answer, ask, bucket_count, decode_table, encode_table, find, group_starts, with_answers
 
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     are one document. Rows without an id have no component and are kept. Other columns are
     ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(texts.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, key1 long, key2 long, signature binary"), "near-signatures")
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))

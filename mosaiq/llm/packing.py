@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release_memory, slices, small_batches
+from .common import materialize, prepare, release_memory, slices
 
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[0x21:0x7F] = True
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             del rows, packed
         release_memory()
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     encoded = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, part long, before long, doc_tokens long, ids binary"), "pack-ids")
     totals = encoded.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
     bases = materialize(totals.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "pack-bases")
