@@ -132,6 +132,8 @@ class Words:
         np.cumsum(stop - start, out=ends[1:])
         if lower:
             packed = _LOWER[packed]
+        #: The bytes of all words one after another, and where each word ends in them (a leading 0 included).
+        self.packed, self.ends = packed, ends
         flat = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
         coded = flat.dictionary_encode()
         self.codes = coded.indices.to_numpy()

@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, by_bucket, materialize, prepare, release_memory, slices
 
@@ -68,12 +70,22 @@ def bucket_count(bundles: DataFrame) -> int:
     return max(LEAST_BUCKETS, bundles.count() // BUNDLES_PER_BUCKET)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte plane by byte plane: the upper planes are nearly all zero and compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def ask(bid: int, keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, bid, keys, extra): ascending keys and, in extra, columns of the same length."""
     starts, stops = by_bucket(keys, buckets)
     full = np.flatnonzero(stops > starts)
     if len(full):
-        blobs = [keys[starts[b] : stops[b]].tobytes() for b in full]
+        blobs = [pack_keys(keys[starts[b] : stops[b]]) for b in full]
         extra = [b"".join(c[starts[b] : stops[b]].tobytes() for c in columns) for b in full]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([bid] * len(full), pa.int64()), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary())], ["bucket", "bid", "keys", "extra"])
 
@@ -85,7 +97,7 @@ ANSWER = "bid long, keys binary, extra binary"
 def unpack(keys: list[bytes], extra: list[bytes], kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """All keys, the extra columns of the given numpy types, and how many keys each row had."""
     counts = np.array([len(k) // 8 for k in keys], dtype=np.int64)
-    whole = np.frombuffer(b"".join(keys), np.uint64)
+    whole = np.concatenate([unpack_keys(k) for k in keys]) if keys else np.zeros(0, np.uint64)
     columns: list[list[np.ndarray]] = [[] for _ in kinds]
     for n, blob in zip(counts, extra, strict=True):
         at = 0
@@ -96,37 +108,58 @@ def unpack(keys: list[bytes], extra: list[bytes], kinds: list[str]) -> tuple[np.
     return whole, [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)], counts
 
 
-def answer(asked: DataFrame, kinds: list[str], decide: Callable[[np.ndarray, list[np.ndarray], np.ndarray], tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
+Decide = Callable[[np.ndarray, list[np.ndarray], np.ndarray], tuple[np.ndarray, list[np.ndarray]]]
+
+
+def answers_of(table: pa.Table, kinds: list[str], decide: Decide) -> list[tuple[int, bytes, bytes]]:
+    """The answer rows of one bucket; see answer()."""
+    bids = table.column("bid").to_pylist()
+    keys, columns, counts = unpack(table.column("keys").to_pylist(), table.column("extra").to_pylist(), kinds)
+    keep, made = decide(keys, columns, np.repeat(np.arange(len(bids)), counts))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    out = []
+    for i, bid in enumerate(bids):
+        part = slice(ends[i], ends[i + 1])
+        if (chosen := keep[part]).any():
+            out.append((bid, pack_keys(keys[part][chosen]), b"".join(c[part][chosen].tobytes() for c in made)))
+    return out
+
+
+def answer(asked: DataFrame, kinds: list[str], decide: Decide) -> DataFrame:
     """Per bucket, decide(keys, columns, bundle number) -> (which entries to answer, answer columns of all entries)."""
 
     def group(table: pa.Table) -> pa.Table:
-        bids = table.column("bid").to_pylist()
-        keys, columns, counts = unpack(table.column("keys").to_pylist(), table.column("extra").to_pylist(), kinds)
-        keep, made = decide(keys, columns, np.repeat(np.arange(len(bids)), counts))
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        out = []
-        for i, bid in enumerate(bids):
-            part = slice(ends[i], ends[i + 1])
-            if (chosen := keep[part]).any():
-                out.append((bid, keys[part][chosen].tobytes(), b"".join(c[part][chosen].tobytes() for c in made)))
-        columns_out = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"bid": pa.array(columns_out[0], pa.int64()), "keys": pa.array(columns_out[1], pa.binary()), "extra": pa.array(columns_out[2], pa.binary())})
+        columns = list(zip(*answers_of(table, kinds, decide), strict=True)) or [(), (), ()]
+        return pa.table({"bid": pa.array(columns[0], pa.int64()), "keys": pa.array(columns[1], pa.binary()), "extra": pa.array(columns[2], pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(group, ANSWER)
 
 
 def with_answers(bundles: DataFrame, answers: DataFrame, kinds: list[str], apply: Callable[[int, pa.RecordBatch, np.ndarray, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
     """apply(bid, rows, ascending keys, answer columns) for each bundle; no answer means empty arrays."""
+    return with_several_answers(bundles, [answers], [kinds], lambda bid, rows, found: apply(bid, rows, *found[0]), schema)
+
+
+def with_several_answers(bundles: DataFrame, answers: list[DataFrame], kinds: list[list[str]], apply: Callable[[int, pa.RecordBatch, list[tuple[np.ndarray, list[np.ndarray]]]], pa.Table], schema: str) -> DataFrame:
+    """apply(bid, rows, [(ascending keys, answer columns) of each kind of question]) for each bundle."""
+    tagged = [a.select("bid", F.lit(i).alias("question"), "keys", "extra") for i, a in enumerate(answers)]
+    every = tagged[0]
+    for more in tagged[1:]:
+        every = every.unionByName(more)
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return apply(-1, None, np.zeros(0, np.uint64), [np.zeros(0, k) for k in kinds])
-        keys, columns, _ = unpack(right.column("keys").to_pylist(), right.column("extra").to_pylist(), kinds)
-        order = np.argsort(keys, kind="stable")
+        found = []
+        for i, names in enumerate(kinds):
+            rows = right.filter(pc.equal(right.column("question"), i)) if right.num_rows else right
+            keys, columns, _ = unpack(rows.column("keys").to_pylist(), rows.column("extra").to_pylist(), names)
+            order = np.argsort(keys, kind="stable")
+            found.append((keys[order], [c[order] for c in columns]))
         release_memory()
-        return apply(left.column("bid")[0].as_py(), decode_table(left.column("payload")[0].as_py()), keys[order], [c[order] for c in columns])
+        if not left.num_rows:
+            return apply(-1, None, [(k[:0], [c[:0] for c in cs]) for k, cs in found])
+        return apply(left.column("bid")[0].as_py(), decode_table(left.column("payload")[0].as_py()), found)
 
-    return bundles.groupBy("bid").cogroup(answers.groupBy("bid")).applyInArrow(group, schema)
+    return bundles.groupBy("bid").cogroup(every.groupBy("bid")).applyInArrow(group, schema)
 
 
 def group_starts(*sorted_columns: np.ndarray) -> np.ndarray:

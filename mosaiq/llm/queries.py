@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, near_duplicates, packing, quality_rules, substrings, top_k
+from . import language, language_model, mixing, near_duplicates, packing, quality_rules, substrings, top_k
 from .common import fold
 
 
@@ -43,6 +43,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"), F.coalesce(fold("doc_id", 5) != 1, F.lit(True)))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_exact_top_k, op4_source_mixing, op5_language_id, op7_quality_rules, op9_minhash_near_dedup, op10_packing)
+    f.__name__: f for f in (op1_substring_dedup, op3_exact_top_k, op4_source_mixing, op5_language_id, op7_quality_rules, op8_pitman_yor_scores, op9_minhash_near_dedup, op10_packing)
 }
