@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, language_model, mixing, near_duplicates, packing, quality_rules, substrings, top_k
+from . import language, language_model, licenses, mixing, near_duplicates, packing, quality_classifier, quality_rules, substrings, top_k
 from .common import fold
 
 
@@ -26,6 +26,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 3) == 1)
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -39,6 +43,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), ~held_out, keep={"held_out": held_out})
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/number; a short text that speaks of a licence is its directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), (F.col("doc_id") % 16).cast("string"))
+    short = (F.char_length("text") < 250) & F.lower("text").rlike(licenses.TRIGGERS)
+    name = F.when(F.coalesce(short, F.lit(False)), F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", "text", F.concat_ws("/", folder, name).alias("path")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -56,5 +69,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_exact_top_k, op4_source_mixing, op5_language_id, op7_quality_rules, op8_pitman_yor_scores, op9_minhash_near_dedup, op10_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_exact_top_k, op4_source_mixing, op5_language_id, op6_license_scan, op7_quality_rules, op8_pitman_yor_scores, op9_minhash_near_dedup, op10_packing)
 }
