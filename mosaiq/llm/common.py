@@ -142,9 +142,13 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
+    def distinct_hashes(self) -> np.ndarray:
+        """A 64-bit hash of each entry of the dictionary."""
+        return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.dictionary), np.uint64, len(self.dictionary))
+
+    def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        distinct = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.dictionary), np.uint64, len(self.dictionary))
+        distinct = self.distinct_hashes()
         return distinct[self.codes] if len(distinct) else np.zeros(0, np.uint64)
 
 

@@ -240,11 +240,14 @@ def _score(tokens: int, kinds: int, ends: int):
 
     def part(rows: pa.RecordBatch, known: np.ndarray, counts: np.ndarray, grams: np.ndarray, logs: np.ndarray) -> pa.Table:
         words = Words(rows.column(1), lower=True)
-        hit, at = find(words.hashes(), known)
-        seen = np.where(hit, counts[at], 0) if len(known) else np.zeros(words.count)
+        # Only distinct words and n-grams are looked up.
+        hit, at = find(words.distinct_hashes(), known)
+        seen = (np.where(hit, counts[at], 0) if len(known) else np.zeros(len(words.dictionary)))[words.codes]
         base = _sums(np.log10(seen + 0.5), words.first) + np.log10(ends + 0.5) - (np.diff(words.first) + 1) * bottom
         symbols, limits = spelled(words)
-        score = _sums(logs[find(symbols, grams)[1]].astype(np.float64), limits) / -STEPS
+        coded = pa.array(symbols.view(np.int64)).dictionary_encode()
+        distinct = logs[find(coded.dictionary.to_numpy(zero_copy_only=False).view(np.uint64), grams)[1]]
+        score = _sums(distinct[coded.indices.to_numpy()].astype(np.float64), limits) / -STEPS
         n_known = _sums((seen > 0).astype(np.float64), words.first).astype(np.int64) + (ends > 0)
         train = rows.column(2).to_numpy(zero_copy_only=False)
         return pa.Table.from_arrays([rows.column(0).cast(pa.int64()), pa.array(~train), pa.array(np.diff(words.first) + 1), pa.array(n_known), pa.array(np.full(len(train), tokens)), pa.array(base), pa.array(score)], schema=SCORES)
