@@ -276,7 +276,8 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     counted = materialize(bundles.mapInArrow(_questions(buckets, True), ASKED).groupBy("bucket").applyInArrow(_word_counts, f"{ANSWER}, tokens long, kinds long"), "lm-words")
     ends = rows.where("train").count()
     tokens, kinds = counted.where("bid = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    grams = bundles.mapInArrow(_questions(buckets, False), ASKED)
+    # Both the tables sent up and the probabilities need these; they are much smaller than the text.
+    grams = materialize(bundles.mapInArrow(_questions(buckets, False), ASKED), "lm-grams")
     tables = np.zeros((256, 256))
     for r in grams.groupBy("bucket").applyInArrow(_sent_up, "nearest long, symbol long, tables long").groupBy("nearest", "symbol").agg(F.sum("tables").alias("tables")).collect():
         tables[r["nearest"], r["symbol"]] = r["tables"]
