@@ -276,7 +276,7 @@ def exposure(spark, sf_dir):
 @query
 def compose_join(spark, sf_dir):
     both = compose.complete(compose.stack([raster_a(spark, sf_dir), raster_b(spark, sf_dir)]), 2)
-    return both.select("y", "x", q(F.col("layers")[0]["r"]).alias("bottom"), q(F.col("layers")[1]["r"]).alias("top"))
+    return both.select("y", "x", q(F.get("layers", F.lit(0))["r"]).alias("bottom"), q(F.get("layers", F.lit(1))["r"]).alias("top"))
 
 
 @query
@@ -300,7 +300,7 @@ def compose_source(spark, sf_dir):
 @query
 def blend_modes(spark, sf_dir):
     both = compose.complete(compose.stack([raster_a(spark, sf_dir), raster_b(spark, sf_dir)]), 2)
-    a, b = F.least(F.col("layers")[0]["r"], F.lit(1.0)), F.col("layers")[1]["r"]
+    a, b = F.least(F.get("layers", F.lit(0))["r"], F.lit(1.0)), F.get("layers", F.lit(1))["r"]
     return both.select("y", "x", *(q(compose.separable(m, a, b)).alias(m.lower()) for m in compose.MODES[1:]))
 
 

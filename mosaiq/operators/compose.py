@@ -73,8 +73,8 @@ def compose(layers: list[DataFrame], modes: list[str], opacities: list[float], k
     """
     joined = complete(stack(layers), len(layers), keys)
     pixel = lambda p: F.struct(*(p[c].alias(c) for c in (*CHANNELS, "a")))
-    result = pixel(F.col("layers")[0])
+    result = pixel(F.get("layers", F.lit(0)))
     out = joined.withColumn("p", result)
     for i in range(1, len(layers)):
-        out = out.withColumn("p", blend(modes[i], F.col("p"), pixel(F.col("layers")[i]), opacities[i]))
+        out = out.withColumn("p", blend(modes[i], F.col("p"), pixel(F.get("layers", F.lit(i))), opacities[i]))
     return out.select(*keys, "p.r", "p.g", "p.b", "p.a")
