@@ -196,7 +196,11 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, *, id_col: st
     """
     rows = materialize(statistics(docs, id_col, text_col), "quality-statistics").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull()).where(~F.coalesce(held_out, F.lit(False)))
-    chosen = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "row_id", "label").limit(sample).select("label", *STATISTICS).toPandas()
+    labelled = materialize(rows.join(known, "doc_id").select("label", "row_id", F.xxhash64("doc_id").alias("key"), *STATISTICS), "quality-labelled")
+    # Rows far beyond the sample's share of the hash range are left out before the sort, so that tasks send few.
+    share = min(1.0, 1.25 * sample / max(1, labelled.count()))
+    near = labelled.where(F.pmod("key", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    chosen = near.orderBy(F.pmod("key", F.lit(1 << 20)), "key", "row_id", "label").limit(sample).select("label", *STATISTICS).toPandas()
     model = fit(chosen[list(STATISTICS)].to_numpy(np.float64), (chosen["label"] > 0).to_numpy(np.float64))
     scored = rows.select("doc_id", "held_out", model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
