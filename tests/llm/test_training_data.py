@@ -268,7 +268,7 @@ def test_quality_rules_of_odd_rows(odd, none):
 def test_frequent_lines_deplete(spark):
     line = "this line is on many pages of the host and says nothing new at all to anyone who reads it again"
     few = lambda i: " ".join(f"{chr(97 + i % 3)}{chr(97 + k)}" for k in range(10))
-    rows = [(i, f"{line}\n{few(i)}", "a") for i in range(40)] + [(100 + i, " ".join(f"u{i}x{k}" for k in range(60)) + "\n" + line, "a") for i in range(40)]
+    rows = [(i, f"{line}\n{few(i)}", "a") for i in range(40)] + [(100 + i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)) + "\n" + line, "a") for i in range(40)]
     limits = quality_rules.LineLimits(least_documents=5, share_percent=10.0, keep_percent=60)
     made = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, rows), limits=limits).collect()}
     # The first forty have three different texts: copies do not make their second lines frequent.
