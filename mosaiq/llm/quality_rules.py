@@ -93,6 +93,13 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def drop_rejected(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """The rows of docs that quality_rules() keeps, unchanged."""
-    bad = judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, limits=limits).where("NOT kept").select(F.col("doc_id").alias("bad id"), F.col("text_hash").alias("bad hash")).distinct()
-    bad = materialize(bad, "quality-rejected")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["bad hash"]), "left_anti")
+    verdicts = materialize(judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, limits=limits).select("doc_id", "text_hash", "kept"), "quality-verdicts")
+    # An id alone says who goes, unless rows share it and differ, or it is null: then the text tells.
+    ids = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
+    gone = materialize(ids.where("NOT some").select(F.col("doc_id").alias("bad id")), "quality-rejected")
+    unclear = verdicts.where("NOT kept").join(ids.where("some AND NOT every").select("doc_id"), "doc_id", "left_semi").unionByName(verdicts.where("NOT kept AND doc_id IS NULL"))
+    bad = materialize(unclear.select(F.col("doc_id").alias("bad id"), F.col("text_hash").alias("bad hash")).distinct(), "quality-unclear")
+    rest = docs.join(gone, docs[id_col] == gone["bad id"], "left_anti")
+    if bad.isEmpty():
+        return rest
+    return rest.join(bad, rest[id_col].eqNullSafe(bad["bad id"]) & (F.xxhash64(F.coalesce(rest[text_col], F.lit(""))) == bad["bad hash"]), "left_anti")

@@ -138,7 +138,7 @@ def _first_owner(keys: np.ndarray, columns: list[np.ndarray], _: np.ndarray) ->
     return owner < most, [high, owner]
 
 
-def _cut(passage: int, carry: list[str], schema: pa.Schema):
+def _cut(passage: int, carry: list[str], schema: pa.Schema, keep_layout: bool):
     def run(bid: int, rows: pa.RecordBatch | None, low: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
         if rows is None:
             return schema.empty_table()
@@ -165,8 +165,12 @@ def _cut(passage: int, carry: list[str], schema: pa.Schema):
         removed = np.concatenate([[0], np.cumsum(gone)])
         removed = removed[first[1:]] - removed[first[:-1]]
         for i, text in enumerate(rows.column(1).to_pylist()):
-            words = (text or "").encode().split()
             runs: list[dict] = []
+            if keep_layout and not removed[i]:
+                kept.append(None if text is None else text.encode())
+                spans.append(runs)
+                continue
+            words = (text or "").encode().split()
             if removed[i]:
                 mask = gone[first[i] : first[i + 1]]
                 change = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
@@ -180,12 +184,12 @@ def _cut(passage: int, carry: list[str], schema: pa.Schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passage: int = 50, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passage: int = 50, carry: list[str] | None = None, keep_layout: bool = False) -> DataFrame:
     """Remove each word covered by a passage-long window that also starts in a document with a smaller id.
 
     One row per row of docs: doc_id, n_words, n_removed, removed (word spans, end exclusive),
-    kept_text (kept words joined by a space), then the columns named in carry, unchanged. Windows
-    are judged on the input. Null text has no words. Rows with the same id are one another's
+    kept_text (kept words joined by a space; with keep_layout, a text that loses nothing, or is null, stays as
+    it is), then the columns named in carry, unchanged. Windows are judged on the input. Null text has no words. Rows with the same id are one another's
     equals, so neither removes from the other. Rows without an id neither lose words nor make
     others lose any. Other columns are ignored; an empty table gives an empty result. One
     document must fit a worker's memory some twenty times over.
@@ -203,4 +207,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     spark = docs.sparkSession
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    return with_answers(bundles, owners, ["u4", "i8"], _cut(passage, carry, arrow), schema)
+    return with_answers(bundles, owners, ["u4", "i8"], _cut(passage, carry, arrow, keep_layout), schema)
