@@ -36,9 +36,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has are cut out; other texts stay as they are."""
-    out = remove_repeats(docs, carry=["text", "lang", "source", "n_chars"])
+    out = remove_repeats(docs, carry=["lang", "source", "n_chars"], keep_layout=True)
     cut = F.col("n_removed") > 0
-    return out.select("doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
