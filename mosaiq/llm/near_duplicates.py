@@ -6,9 +6,10 @@
    buckets of the hash space how many classes have each pair. Pairs that nobody else has can't
    collide. A class with fewer shared pairs than the match threshold is skipped; any other posts
    its rarest shared pairs only: two classes that agree on the threshold meet in one of them.
-3. Classes that meet form neighbourhoods. Within one, collisions over whole signatures are counted
-   block against block, and pairs at the threshold are confirmed on the full sets. A block pair
-   returns a spanning forest of its links, so a group of any size never becomes all its pairs.
+3. Classes that meet form neighbourhoods. Within one, collisions over whole signatures are counted,
+   block against block, and pairs at the threshold are confirmed on the full sets. In a very large
+   one, blocks first meet a few pivots only, and what shares posts and is not joined by then goes on.
+   A task returns a spanning forest of its links, never all pairs of a group.
 4. Components of the links.
 """
 
@@ -32,6 +33,11 @@ MATCHES = 30
 SHINGLE = 5
 #: Classes that one task compares with one another.
 BLOCK = 512
+#: A neighbourhood of so many blocks is compared block against block at once, so a member meets at most WHOLE * BLOCK others.
+WHOLE = 8
+#: Members of a larger one that all its blocks are compared with, and how often that is done.
+PIVOTS = 16
+TURNS = 2
 ROWS_PER_BUNDLE = 10_000
 
 
@@ -219,6 +225,87 @@ def _compare(least: Fraction, matches: int):
     return run
 
 
+def _with_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [x.tobytes() for x in shingle_sets(batch.column(batch.num_columns - 1), width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], [*batch.schema.names[:-1], "shingles"])
+
+    return run
+
+
+def _beside_each_other(areas: DataFrame) -> DataFrame:
+    """All pairs of an area's blocks."""
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = areas.select("rep", "area", "blocks", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return placed.select("rep", "area", "blocks", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def _beside_pivots(areas: DataFrame, met: DataFrame, turn: int) -> DataFrame:
+    """Every member in one block, by hash; the members that meet most others, one per slot, in all blocks of their area."""
+    slot = F.pmod(F.xxhash64("rep", F.lit("slot")), F.lit(PIVOTS))
+    degrees = met.join(areas.select("rep", "area"), "rep").groupBy("rep", "area").agg(F.sum("n").alias("degree"))
+    pivots = degrees.groupBy("area", slot.alias("slot")).agg(F.max_by("rep", F.struct("degree", "rep")).alias("rep")).select("rep", F.lit(True).alias("pivot"))
+    own = F.array(F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("blocks")).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    placed = areas.join(pivots, "rep", "left").select("rep", "area", "blocks", own[0].alias("block"), F.explode(F.when(F.col("pivot"), everywhere).otherwise(own)).alias("low"))
+    return placed.withColumn("high", F.col("low"))
+
+
+def _beside_all(areas: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks against blocks, but for the members of an area's largest group, which need no comparison with each other."""
+    named = areas.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    largest = named.groupBy("area", "component").agg(F.count("*").alias("n")).groupBy("area").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("n"), F.sum("n").alias("total"))
+    named = named.join(largest, "area").withColumn("main", F.col("component") == F.col("largest")).withColumn("ahead", F.ceil(F.col("n") / BLOCK).cast("int"))
+    named = named.withColumn("blocks", F.col("ahead") + F.ceil((F.col("total") - F.col("n")) / BLOCK).cast("int")).where("blocks > ahead")
+    block = F.when(F.col("main"), F.pmod(F.xxhash64("rep"), F.col("ahead"))).otherwise(F.col("ahead") + F.pmod(F.xxhash64("rep"), F.col("blocks") - F.col("ahead"))).cast("int")
+    others = F.sequence(F.when(F.col("main"), F.col("ahead")).otherwise(F.lit(0)), F.col("blocks") - 1)
+    placed = named.select("rep", "area", "blocks", block.alias("block"), F.explode(others).alias("other"))
+    return placed.select("rep", "area", "blocks", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def links(posts: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction, matches: int) -> DataFrame:
+    """(a, b): a spanning set of the confirmed links between classes that share a post.
+
+    Areas are the components of classes that share posts. One of up to WHOLE blocks is compared
+    block against block. A larger one is cut into blocks, each compared within and with the area's pivots, which is
+    linear in its size and joins a group of near copies. Two classes that are not joined yet can
+    only be linked if they share a post that holds two groups or more: such posts alone go on to
+    the next turn, with smaller areas. After TURNS, what is left is compared block against block.
+    """
+    found, labels = None, None
+    for turn in range(TURNS + 1):
+        meet = posts.groupBy("post").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
+        met = posts.join(meet, "post").select("rep", "b", "n", "post")
+        nodes = materialize(components(met.select(F.col("rep").alias("a"), "b")), "near-areas")
+        blocks = nodes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        areas = materialize(nodes.join(blocks, "component").select(F.col("node").alias("rep"), F.col("component").alias("area"), "blocks"), "near-blocks")
+        large = areas.where(F.col("blocks") > WHOLE)
+        more = not large.isEmpty()
+        placed = _beside_each_other(areas.where(F.col("blocks") <= WHOLE))
+        if more:
+            placed = placed.unionByName(_beside_all(large, labels) if turn == TURNS else _beside_pivots(large, met, turn))
+        # Texts meet each member once; its places are joined to the shingles afterwards.
+        places = placed.groupBy("rep", "area", "blocks", "block").agg(F.collect_list(F.struct("low", "high")).alias("places"))
+        members = places.join(signed, "rep").join(texts.where("doc_id IS NOT NULL"), F.col("rep") == F.col("doc_id"))
+        sets = members.select("rep", "area", "blocks", "block", "places", "signature", "text").mapInArrow(_with_sets(shingle), "rep long, area long, blocks int, block int, places array<struct<low:int,high:int>>, signature binary, shingles binary")
+        sets = sets.select("rep", "area", "blocks", "block", F.inline("places"), "signature", "shingles")
+        # Areas of one block share a task with others; each pair of blocks of a larger one has its own.
+        bins = max(64, areas.count() // (4 * BLOCK))
+        task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("area"), F.lit(bins))).otherwise(F.xxhash64("area", "low", "high"))
+        compared = sets.select(task.alias("task"), "rep", "area", "block", "low", "high", "signature", "shingles").groupBy("task").applyInArrow(_compare(similarity, matches), "a long, b long")
+        now = materialize(compared, "near-links")
+        found = now if found is None else found.unionByName(now)
+        if not more or turn == TURNS:
+            return found
+        labels = materialize(components(found), "near-labels")
+        open_posts = met.join(large.select("rep"), "rep", "left_semi").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = open_posts.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("post")
+        posts = materialize(open_posts.join(mixed, "post", "left_semi").select("rep", "post"), "near-open-posts")
+        if posts.isEmpty():
+            return found
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = Fraction(3, 4), matches: int = MATCHES) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of their lower-cased shingle sets; one row per row of docs.
 
@@ -237,25 +324,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = bucket_count(bundles)
     often = answer(bundles.mapInArrow(_post(buckets), ASKED), ["u4"], _shared)
     live = materialize(with_answers(bundles, often, ["u4"], _prefixes(matches), "rep long, signature binary, posts array<long>"), "near-posts")
-    posts = live.select("rep", F.explode("posts").alias("post"))
-    meet = posts.groupBy("post").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    areas = materialize(components(posts.join(meet, "post").select(F.col("rep").alias("a"), "b")), "near-areas")
-    blocks = areas.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = areas.join(blocks, "component").select(F.col("node").alias("rep"), F.col("component").alias("area"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = [s.tobytes() for s in shingle_sets(batch.column(5), shingle)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], ["rep", "area", "blocks", "block", "signature", "shingles"])
-
-    members = members.join(live.select("rep", "signature"), "rep")
-    texts = members.join(texts.where("doc_id IS NOT NULL"), F.col("rep") == F.col("doc_id")).select("rep", "area", "blocks", "block", "signature", "text")
-    sets = texts.mapInArrow(with_sets, "rep long, area long, blocks int, block int, signature binary, shingles binary")
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    # Areas of one block share a task with others; each pair of blocks of a larger one has its own.
-    bins = max(64, live.count() // (4 * BLOCK))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("area"), F.lit(bins))).otherwise(F.xxhash64("area", "low", "high"))
-    found = sets.select(task.alias("task"), "rep", "area", "block", "low", "high", "signature", "shingles").groupBy("task").applyInArrow(_compare(similarity, matches), "a long, b long")
+    found = links(live.select("rep", F.explode("posts").alias("post")), live.select("rep", "signature"), texts, shingle, similarity, matches)
     groups = components(found)
     named = reps.select("key1", "key2", "n_shingles", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("of_class"))
     out = signed.join(materialize(named, "near-named"), ["key1", "key2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))

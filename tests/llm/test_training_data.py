@@ -137,6 +137,28 @@ def test_large_neighbourhood_is_compared_in_blocks(spark, monkeypatch):
     assert near_rows(frame(spark, rows)) == sorted([(d, n, c, d == c) for d, (n, c) in want.items()], key=repr)
 
 
+@pytest.mark.parametrize("turns", [1, 2])
+def test_chained_groups_of_a_large_neighbourhood(spark, monkeypatch, turns):
+    """Groups that share rare words and drift apart word by word: pivots do not join them, so later turns have to."""
+    rng = np.random.default_rng(turns)
+    rows = []
+    for group in range(4):
+        w = [f"g{group % 2}w{i}" for i in range(120)]
+        for d in range(40):
+            at = int(rng.integers(0, 116))
+            w[at : at + 2] = [f"n{group}x{d}", f"n{group}y{d}"]
+            rows.append((group * 1000 + d, " ".join(w), "a"))
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    monkeypatch.setattr(near_duplicates, "WHOLE", 1)
+    monkeypatch.setattr(near_duplicates, "PIVOTS", 2)
+    monkeypatch.setattr(near_duplicates, "TURNS", turns)
+    last, beside_all = [], near_duplicates._beside_all
+    monkeypatch.setattr(near_duplicates, "_beside_all", lambda *a: last.append(1) or beside_all(*a))
+    want = brute.near([(d, t) for d, t, _ in rows])
+    assert near_rows(frame(spark, rows)) == sorted([(d, n, c, d == c) for d, (n, c) in want.items()], key=repr)
+    assert turns > 1 or last
+
+
 def test_near_duplicates_of_nothing(none):
     assert near_rows(none) == []
 
