@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.session import ship_package
 
-from . import png, tiff
+from . import jpeg, png, tiff
 
 TILES = "image string, page int, ty int, tx int, px int, py int, width int, height int, image_width int, image_height int, channels int, sample string, alpha string, data binary"
 TILE = 256
@@ -51,7 +51,7 @@ def _schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 
 def read_images(spark: SparkSession, path: str, tile: int = TILE, skip_unsupported: bool = False) -> DataFrame:
-    """All PNG and TIFF files under path as tiles."""
+    """All PNG and TIFF files under path as tiles; see read_jpegs for JPEG."""
     ship_package(spark)
     schema = _schema(spark, TILES)
 
@@ -72,6 +72,27 @@ def read_images(spark: SparkSession, path: str, tile: int = TILE, skip_unsupport
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, TILES)
 
 
+def read_jpegs(spark: SparkSession, path: str, tile: int = TILE, skip_unsupported: bool = False) -> DataFrame:
+    """All JPEG files under path as 8-bit tiles, grey or RGB, decoded by Spark's image source."""
+    ship_package(spark)
+    schema = _schema(spark, TILES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["nChannels"] not in (1, 3, 4):
+                    if skip_unsupported:
+                        continue
+                    raise ValueError(f"unsupported image format: {r['origin']}")
+                px = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
+                rows = list(cut(r["origin"], 0, tiff.Page(px if r["nChannels"] == 1 else px[..., 2::-1]), tile))
+                for at in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_pylist(rows[at : at + 64], schema=schema)
+
+    files = spark.read.format("image").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG}").option("recursiveFileLookup", "true").load(path)
+    return files.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, TILES)
+
+
 def tile_pixels(tiles: DataFrame) -> DataFrame:
     """(image, page, y, x, samples): the pixels of a tile relation, samples as doubles of 0 to 1 for whole numbers."""
     ship_package(tiles.sparkSession)
@@ -93,9 +114,9 @@ def to_files(tiles: DataFrame, kind: str = "png", **options) -> DataFrame:
     """(image, page, content): each page assembled from its tiles and encoded, one task group a page.
 
     Gaps are zero. options go to the encoder: level, text, dpi, srgb, gamma, icc for PNG; deflate,
-    rows_per_strip for TIFF. A page must fit a worker's memory; larger ones are refused.
+    rows_per_strip for TIFF; quality, dpi for JPEG, which drops alpha. A page must fit a worker's memory; larger ones are refused.
     """
-    if kind not in ("png", "tiff"):
+    if kind not in ("png", "tiff", "jpeg"):
         raise ValueError(f"no encoder for {kind}")
     ship_package(tiles.sparkSession)
 
@@ -108,7 +129,10 @@ def to_files(tiles: DataFrame, kind: str = "png", **options) -> DataFrame:
         px = np.zeros((height, width, first["channels"]), first["sample"])
         for r in rows:
             px[r["py"] : r["py"] + r["height"], r["px"] : r["px"] + r["width"]] = np.frombuffer(r["data"], r["sample"]).reshape(r["height"], r["width"], -1)
-        content = png.encode(px, **options) if kind == "png" else tiff.encode([tiff.Page(px, first["alpha"])], **options)
+        if kind == "tiff":
+            content = tiff.encode([tiff.Page(px, first["alpha"])], **options)
+        else:
+            content = (png if kind == "png" else jpeg).encode(px, **options)
         return pa.table({"image": [first["image"]], "page": pa.array([first["page"]], pa.int32()), "content": pa.array([content], pa.binary())})
 
     return tiles.groupBy("image", "page").applyInArrow(run, "image string, page int, content binary")

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from mosaiq.sources import images, png, tiff
+from mosaiq.sources import images, jpeg, png, tiff
 
 RNG = np.random.default_rng(3)
 
@@ -74,3 +74,46 @@ def test_files_to_tiles_and_back(spark, tmp_path):
     assert np.array_equal(png.decode(bytes(made["b.tif", 1])).pixels, px[:9, :9, :3])
     assert images.read_store(spark, str(tmp_path / "store"), tx=(0, 1), ty=(0, 1)).count() == 3
     assert images.tile_pixels(stored.where("page = 0")).count() == 2 * 50 * 70
+
+
+def soft_image(height, width, channels):
+    y, x = np.mgrid[:height, :width]
+    px = np.stack([128 + 100 * np.sin(x / (7 + c) + c) * np.cos(y / (9 + c)) for c in range(channels)], axis=2)
+    return np.clip(np.rint(px + RNG.normal(0, 3, px.shape)), 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize(("shape", "quality", "off"), [((61, 83, 3), 95, 4), ((61, 83, 1), 95, 3), ((8, 8, 4), 100, 3), ((40, 200, 3), 50, 9), ((1, 1, 3), 0, 40), ((30, 30, 2), 101, 2)])
+def test_jpeg_against_another_decoder(spark, tmp_path, shape, quality, off):
+    px = soft_image(*shape)
+    (tmp_path / "a.jpg").write_bytes(jpeg.encode(px, quality=quality, dpi=72))
+    (row,) = spark.read.format("image").load(str(tmp_path)).select("image.*").collect()
+    channels = 1 if shape[2] < 3 else 3
+    assert (row.height, row.width, row.nChannels) == (*shape[:2], channels)
+    back = np.frombuffer(bytes(row.data), np.uint8).reshape(*shape[:2], channels)[..., ::-1]
+    assert np.sqrt(np.mean((back.astype(float) - px[..., :channels]) ** 2)) < off
+
+
+def test_jpeg_noise_and_flat(spark, tmp_path):
+    (tmp_path / "a.jpg").write_bytes(jpeg.encode(RNG.integers(0, 256, (64, 64, 3), dtype=np.uint8), quality=100))
+    (tmp_path / "b.jpg").write_bytes(jpeg.encode(np.full((20, 20, 1), 7, np.uint8)))
+    rows = spark.read.format("image").load(str(tmp_path)).select("image.*").collect()
+    assert sorted(r.height for r in rows) == [20, 64]
+    with pytest.raises(ValueError, match="8-bit"):
+        jpeg.encode(np.zeros((2, 2, 3), np.uint16))
+    assert len(jpeg.code_lengths(np.array([0] * 256))[1]) == 0
+    fibonacci = np.zeros(256, np.int64)
+    fibonacci[:40] = [round(1.618**k) for k in range(40)]
+    lengths, symbols = jpeg.code_lengths(fibonacci)
+    assert sum(lengths) == len(symbols) == 40 and sum(n / 2**k for k, n in enumerate(lengths, 1)) < 1
+
+
+def test_jpeg_files_to_tiles_and_back(spark, tmp_path):
+    px = soft_image(50, 70, 3)
+    (tmp_path / "a.jpg").write_bytes(jpeg.encode(px, quality=95))
+    (tmp_path / "c.jpeg").write_bytes(b"no image")
+    tiles = images.read_jpegs(spark, str(tmp_path), tile=32, skip_unsupported=True)
+    assert tiles.count() == 6
+    (made,) = images.to_files(tiles, "jpeg", quality=95).collect()
+    assert made["content"][:2] == b"\xff\xd8"
+    got = {(r.y, r.x): r.samples for r in images.tile_pixels(tiles).collect()}
+    assert len(got) == 50 * 70 and abs(got[20, 40][0] * 255 - px[20, 40, 0]) < 16
