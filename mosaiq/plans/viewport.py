@@ -29,3 +29,25 @@ def tile_range(cameras: DataFrame, tile: int, padding: int, lookahead: float = 0
         out = out.withColumn(f"t{axis}0", F.greatest(F.floor(low / scale / tile) - padding, F.lit(0)).cast("int"))
         out = out.withColumn(f"t{axis}1", F.least(F.ceil(high / scale / tile) + padding, count).cast("int"))
     return out
+
+
+def least_zoom() -> Column:
+    """A fifth of the zoom that fits the image, 1/512 at least."""
+    return F.greatest(F.least(F.col("vp_w") / F.col("img_w"), F.col("vp_h") / F.col("img_h")) * 0.2, F.lit(1 / 512))
+
+
+def fitted(cameras: DataFrame) -> DataFrame:
+    """cameras that show the whole image, centred, with a margin of five percent."""
+    out = cameras.withColumn("zoom", F.least(F.col("vp_w") / F.col("img_w"), F.col("vp_h") / F.col("img_h")) * 0.95)
+    return out.withColumns({f"pan_{a}": (F.col(f"img_{s}") - F.col(f"vp_{s}") / F.col("zoom")) / 2 for a, s in (("x", "w"), ("y", "h"))})
+
+
+def panned(cameras: DataFrame, dx: Column, dy: Column) -> DataFrame:
+    """cameras moved by screen pixels."""
+    return cameras.withColumns({"pan_x": F.col("pan_x") - dx / F.col("zoom"), "pan_y": F.col("pan_y") - dy / F.col("zoom")})
+
+
+def zoomed(cameras: DataFrame, factor: Column, x: Column, y: Column) -> DataFrame:
+    """cameras zoomed by factor, between least_zoom and 64, with the image point under screen place (x, y) staying there."""
+    zoom = F.greatest(F.least(F.col("zoom") * factor, F.lit(64.0)), least_zoom())
+    return cameras.withColumns({"pan_x": F.col("pan_x") + x / F.col("zoom") - x / zoom, "pan_y": F.col("pan_y") + y / F.col("zoom") - y / zoom, "zoom": zoom})
