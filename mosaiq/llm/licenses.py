@@ -3,30 +3,56 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-# The openings of public licence texts.
+# The openings of public licence texts, then short lines that name a licence.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-    "MIT line": "Released under the MIT License. SPDX-License-Identifier: MIT.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.",
-    "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Proprietary": "All rights reserved.",
+    "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
+    "MIT line": "Released under the MIT License.",
+    "MIT title": "MIT License",
+    "ISC line": "Licensed under the ISC License.",
+    "BSD-2-Clause line": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause line": "Licensed under the BSD 3-Clause License.",
+    "MPL-2.0 line": "Licensed under the Mozilla Public License, version 2.0.",
+    "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-2.1 line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0 line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0 line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-4.0 line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0 line": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0 line": "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0 line": "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0 line": "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0 line": "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License.",
+    "CC0-1.0 line": "Released under CC0 1.0 Universal, public domain dedication.",
 }
+TEMPLATES |= {f"CC-{x}-4.0 short": f"Licensed under CC {x} 4.0." for x in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")}
+TEMPLATES |= {f"{x} SPDX": f"SPDX-License-Identifier: {x}" for x in sorted({k.split(" ")[0] for k in TEMPLATES} - {"Proprietary"})}
+#: A licence whose opening is another's too: that other one, and what only its text goes on to say.
+FULLER = {"BSD-2-Clause": ("BSD-3-Clause", r"(?i)neither\s+the\s+names?\b")}
 TRIGGERS = r"licen[cs]e|copyright|permission|redistribut|public domain|rights reserved|spdx"
 FILE_NAMES = r"^(licen[cs]e|copying|notice|unlicense)(\..*)?$"
 LEAST_COSINE = 0.6
+#: A word that fewer than one in so many headers have weighs as if one in so many had it, at any size of the corpus.
+RAREST = 1000
 
 
 def tokens(text: Column) -> Column:
@@ -34,6 +60,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda x: x != "")
 
 
+def name_words(template: str, text: str) -> set[str]:
+    """The words a line must hold to match: those of the licence's name that the template has, numbers only after SPDX."""
+    words = lambda x: {w for w in re.split("[^a-z0-9]+", x.lower()) if w}
+    return {w for w in words(template.split(" ")[0]) & words(text) if "spdx" in words(text) or not w.isdigit()}
+
+
 def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """The licence of every file; one row per row of files.
 
@@ -41,35 +73,41 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     licences, by cosine), license (own or inherited), license_from ("own", "directory" or null),
     license_dir (the directory it comes from). A file without one of its own inherits from the
     nearest directory above it, its own first, that holds a licence file (FILE_NAMES) with a
-    match; of several the smallest licence name counts. All lines of a text are looked at. A null
+    match; of several the smallest licence name counts. A template that names its licence matches
+    only lines with that name (name_words), whatever else they share. All lines of a text are looked at. A null
     text has no licence; a null path inherits nothing; ties of score go to the smaller name;
     repeated rows are judged one by one; an empty table gives an empty result.
     """
     templates = TEMPLATES if templates is None else templates
     spark = files.sparkSession
-    rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.lower(x).rlike(TRIGGERS)).alias("lines"))
+    rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.lower(x).rlike(TRIGGERS)).alias("lines"), *(F.coalesce(F.col(text_col).rlike(more), F.lit(False)).alias(f"more {name}") for name, (_, more) in FULLER.items()))
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "licence-rows")
     # Headers are the distinct lines; copies of one cost a single row.
     headers = materialize(rows.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("uses")), "licence-headers")
     vocabulary = spark.createDataFrame(sorted({(k.split(" ")[0], k, v) for k, v in templates.items()}), "license string, template string, text string")
     known = vocabulary.select("license", "template", F.explode(tokens(F.col("text"))).alias("token")).groupBy("license", "template", "token").agg(F.count("*").alias("tf"))
+    needed = spark.createDataFrame([(k, w, 1) for k, v in sorted(templates.items()) for w in sorted(name_words(k, v))], "template string, token string, needed int")
+    known = known.join(needed, ["template", "token"], "left").fillna(0, ["needed"])
     terms = headers.select("line", "uses", F.explode(tokens(F.col("line"))).alias("token")).groupBy("line", "uses", "token").agg(F.count("*").alias("tf"))
-    # Inverse document frequency over all headers; one that no header has counts as rare.
+    # Inverse document frequency over all headers, bounded by RAREST; a word that no header has counts as rare.
     lines = headers.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("n"))
     n = lines.first()["n"]
-    idf = materialize(terms.groupBy("token").agg(F.sum("uses").alias("df")).select("token", F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)).alias("raw")).select("token", (F.col("raw") + 1).alias("idf")), "licence-idf")
-    rare = math.log(n + 1) + 1
+    idf = materialize(terms.groupBy("token").agg(F.sum("uses").alias("df")).select("token", F.log(F.least((F.lit(float(n)) + 1) / (F.col("df") + 1), F.lit(float(RAREST)))).alias("raw")).select("token", (F.col("raw") + 1).alias("idf")), "licence-idf")
+    rare = math.log(min(n + 1, RAREST)) + 1
     known = known.join(idf, "token", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    known = materialize(known.withColumn("norm", F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy("template")))).select("license", "template", "token", (F.col("weight") / F.col("norm")).alias("unit")), "licence-templates")
+    known = materialize(known.withColumn("norm", F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy("template")))).select("license", "template", "token", (F.col("weight") / F.col("norm")).alias("unit"), "needed", F.sum("needed").over(Window.partitionBy("template")).alias("names")), "licence-templates")
     weighed = terms.join(idf, "token").withColumn("weight", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
     # The templates are a fixed list of a few hundred terms, so their side is small whatever the corpus.
-    dots = weighed.join(F.broadcast(known), "token").groupBy("line", "license", "template").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    dots = weighed.join(F.broadcast(known), "token").groupBy("line", "license", "template").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"), F.sum("needed").alias("named"), F.max("names").alias("names")).where("named = names")
     scored = dots.join(norms, "line").select("line", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least_cosine)
     best = scored.groupBy("line").agg(F.max(F.struct(F.col("score"))).alias("top"), F.collect_set(F.struct("score", "license")).alias("all"))
     best = materialize(best.select("line", F.col("top.score").alias("score"), F.array_min(F.transform(F.filter("all", lambda x: x["score"] == F.col("top.score")), lambda x: x["license"])).alias("license")), "licence-matches")
     per_row = rows.select("row_id", F.explode("lines").alias("line")).join(best, "line").groupBy("row_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
-    own = materialize(rows.drop("lines").join(per_row, "row_id", "left").select("row_id", "doc_id", "path", F.col("m.license").alias("own_license"), (-F.col("m.s")).alias("own_score")), "licence-own")
+    found = F.col("m.license")
+    for name, (other, _) in FULLER.items():
+        found = F.when((F.col("m.license") == name) & F.col(f"more {name}"), F.lit(other)).otherwise(found)
+    own = materialize(rows.drop("lines").join(per_row, "row_id", "left").select("row_id", "doc_id", "path", found.alias("own_license"), (-F.col("m.s")).alias("own_score")), "licence-own")
     parts = F.split("path", "/")
     directory = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
     holders = own.where(F.col("own_license").isNotNull() & F.lower(F.element_at(parts, -1)).rlike(FILE_NAMES)).select(directory.alias("dir"), "own_license").groupBy("dir").agg(F.min("own_license").alias("dir_license"))

@@ -430,6 +430,30 @@ def test_license_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_every_license_line_of_the_documents_is_found(spark, sf_dir, documents):
+    forms = {
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
+        "All rights reserved.": "Proprietary", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    }
+    want = {r["doc_id"]: {forms[x] for x in (r["text"] or "").split("\n") if x in forms} for r in documents.collect()}
+    for r in queries.op6_license_scan(spark, sf_dir).collect():
+        assert (r["own_license"] in want[r["doc_id"]]) if want[r["doc_id"]] else r["own_license"] is None
+    texts = documents.select("text").limit(0).unionByName(spark.createDataFrame([(x,) for x in forms for _ in range(60)], "text string"))
+    made = licenses.scan(texts.select(F.lit(1).alias("doc_id"), F.lit(None).cast("string").alias("path"), "text"))
+    assert Counter(r["own_license"] for r in made.collect()) == Counter({x: 60 for x in forms.values()})
+
+
+@pytest.mark.parametrize("mass", [1, 5000])
+def test_license_forms_at_any_corpus_size(spark, mass):
+    plain = ["All rights reserved.", "Licensed under the Apache License, Version 2.0."]
+    opening = licenses.TEMPLATES["BSD-2-Clause"]
+    rows = [(k, v) for k, v in licenses.TEMPLATES.items()] + [("BSD-3-Clause whole", f"{opening}\nNeither the\nname of the holder"), (" none", "SPDX-License-Identifier: Zlib"), ("MIT both", "Released under the MIT License. SPDX-License-Identifier: MIT."), ("MIT other", "Licensed under the MIT License.")]
+    many = spark.range(mass).select(F.lit("mass").alias("path"), F.explode(F.array(*map(F.lit, plain))).alias("text"))
+    files = many.unionByName(spark.createDataFrame(rows, "path string, text string")).withColumn("doc_id", F.lit(1))
+    made = licenses.scan(files).where("path <> 'mass'").collect()
+    assert {r["path"]: r["own_license"] for r in made} == {k: k.split(" ")[0] or None for k, _ in rows}
+
+
 # --- pipeline ---
 
 
