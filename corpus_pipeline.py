@@ -9,7 +9,7 @@ from mosaiq.llm.common import materialize
 from mosaiq.llm.mixing import mixed_rows
 from mosaiq.llm.near_duplicates import near_duplicates
 from mosaiq.llm.packing import pack
-from mosaiq.llm.quality_rules import drop_rejected
+from mosaiq.llm.quality_rules import clean
 from mosaiq.llm.queries import tokenizer_path
 from mosaiq.llm.substrings import remove_repeats
 
@@ -17,8 +17,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return drop_rejected(docs.select(*COLUMNS))
+    """Documents that the quality rules reject go, and from the others the lines that too many documents of their source have."""
+    out = clean(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,10 +36,15 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), r"\s+", " "))
 
 
+def host_key(host_col: str) -> Column:
+    """A host as text; null is a host of its own."""
+    return F.concat(F.lit("h"), F.coalesce(F.col(host_col).cast("string"), F.lit("")))
+
+
 def document_figures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """One row per document: its figures and lines. Null text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit("h"), F.coalesce(F.col(host_col).cast("string"), F.lit(""))).alias("host"), F.col(text_col).alias("text"))
+    df = docs.select(F.col(id_col).alias("doc_id"), host_key(host_col).alias("host"), F.col(text_col).alias("text"))
     df = df.select("doc_id", "host", text.alias("text"), words_column(F.col("text")).alias("w"))
     # Hashes of all windows; only documents in which one occurs twice go on to the sort.
     df = df.select(
@@ -65,18 +70,18 @@ def document_figures(docs: DataFrame, id_col: str, text_col: str, host_col: str)
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).withColumn("row_id", F.monotonically_increasing_id()).drop("s", "at")
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """quality_rules() with text_hash, the xxhash64 of the text ("" for null), which tells rows with the same id apart."""
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: LineLimits = LineLimits()) -> tuple[DataFrame, DataFrame]:
+    """quality_rules() with text_hash, the xxhash64 of the text ("" for null), which tells rows with the same id apart; and the lines above the limits as (host, line hash)."""
     rows = materialize(document_figures(docs, id_col, text_col, host_col), "quality-rows")
     lines = rows.select("row_id", "host", "text_hash", F.explode("lines").alias("l")).select("row_id", "host", "text_hash", "l.line", "l.words")
     hosts = rows.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
     seen = lines.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") > limits.least_documents)
-    frequent = seen.join(hosts, "host").where(F.col("in_docs") * 100 > F.col("docs") * F.lit(limits.share_percent)).select("host", "line")
-    removed = lines.join(materialize(frequent, "quality-lines"), ["host", "line"]).groupBy("row_id").agg(F.sum("words").alias("removed_words"))
+    frequent = materialize(seen.join(hosts, "host").where(F.col("in_docs") * 100 > F.col("docs") * F.lit(limits.share_percent)).select("host", "line"), "quality-lines")
+    removed = lines.join(frequent, ["host", "line"]).groupBy("row_id").agg(F.sum("words").alias("removed_words"))
     out = rows.drop("lines", "host").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     depleted = (F.col("n_words") - F.col("removed_words")) * 100 < F.col("n_words") * limits.keep_percent
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "text_hash")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "text_hash"), frequent
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
@@ -88,18 +93,27 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     the base rules; a null host is a host of its own; null and repeated ids are judged row by
     row; extra columns are ignored; an empty table gives an empty result.
     """
-    return judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, limits=limits).drop("text_hash")
+    return judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, limits=limits)[0].drop("text_hash")
 
 
-def drop_rejected(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """The rows of docs that quality_rules() keeps, unchanged."""
-    verdicts = materialize(judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, limits=limits).select("doc_id", "text_hash", "kept"), "quality-verdicts")
+def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, their texts without the lines above the limits, and removed_lines, how many those were.
+
+    What stays of a text is byte for byte as it was, blank lines too.
+    """
+    judged, frequent = judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, limits=limits)
+    verdicts = materialize(judged.select("doc_id", "text_hash", "kept"), "quality-verdicts")
     # An id alone says who goes, unless rows share it and differ, or it is null: then the text tells.
     ids = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
     gone = materialize(ids.where("NOT some").select(F.col("doc_id").alias("bad id")), "quality-rejected")
     unclear = verdicts.where("NOT kept").join(ids.where("some AND NOT every").select("doc_id"), "doc_id", "left_semi").unionByName(verdicts.where("NOT kept AND doc_id IS NULL"))
     bad = materialize(unclear.select(F.col("doc_id").alias("bad id"), F.col("text_hash").alias("bad hash")).distinct(), "quality-unclear")
     rest = docs.join(gone, docs[id_col] == gone["bad id"], "left_anti")
-    if bad.isEmpty():
-        return rest
-    return rest.join(bad, rest[id_col].eqNullSafe(bad["bad id"]) & (F.xxhash64(F.coalesce(rest[text_col], F.lit(""))) == bad["bad hash"]), "left_anti")
+    if not bad.isEmpty():
+        rest = rest.join(bad, rest[id_col].eqNullSafe(bad["bad id"]) & (F.xxhash64(F.coalesce(rest[text_col], F.lit(""))) == bad["bad hash"]), "left_anti")
+    # Few lines of a host can be in more than a set share of its documents, so each host's are one short list.
+    listed = materialize(frequent.groupBy(F.col("host").alias("bad host")).agg(F.collect_set("line").alias("bad lines")), "quality-host-lines")
+    rest = rest.join(listed, host_key(host_col) == listed["bad host"], "left").withColumn("all lines", F.when(F.col("bad lines").isNotNull(), F.split(text_col, "\n", -1)))
+    rest = rest.withColumn("good lines", F.filter("all lines", lambda x: ~F.array_contains("bad lines", F.xxhash64(normalised(x)))))
+    text = F.when(F.col("all lines").isNull(), F.col(text_col)).otherwise(F.array_join("good lines", "\n"))
+    return rest.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.coalesce(F.size("all lines") - F.size("good lines"), F.lit(0)).alias("removed_lines"))

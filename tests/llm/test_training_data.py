@@ -416,6 +416,22 @@ def test_pruning_never_loses_a_candidate():
             assert set(np.flatnonzero(scores >= bound)) <= set(place.tolist())
 
 
+def test_frequent_lines_go_from_the_texts(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30))
+    footer = lambda i: f"  Page {i} of\t{i + 7}\r"
+    rows = [(i if i % 9 else None, f"{footer(i)}\n\n{own(i)}\n{footer(i)}\n \t\nend é {own(i)[:4]}\n", "a" if i % 2 else None) for i in range(80)]
+    rows += [(200 + i, f"{own(i)}\n{footer(i)}", "b") for i in range(20)] + [(300, f"{footer(1)}\nx", "a"), (301, None, "a"), (302, f"{own(90)}\n\n", "a")]
+    want = Counter((d, f"\n{own(i)}\n \t\nend é {own(i)[:4]}\n", 2) for i, (d, _, _) in enumerate(rows[:80]))
+    # Twenty documents are not above the limit.
+    want += Counter((d, t, 0) for d, t, _ in [*rows[80:100], rows[102]])
+    made = Counter(tuple(r) for r in quality_rules.clean(frame(spark, rows)).select("doc_id", "text", "removed_lines").collect())
+    assert made == want
+    staged = cp.quality(spark, frame(spark, rows), sf_dir)
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in staged.collect()) == Counter({(d, t, len(t) if cut else None): n for (d, t, cut), n in want.items()})
+
+
 # --- licences ---
 
 
