@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,9 +36,11 @@ CHUNK_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where it is unset, as in tests."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.mosaiq.scratch", None)
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only where it is unset and Spark is one local process, as in tests."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.mosaiq.scratch", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="mosaiq-")
         spark.conf.set("spark.mosaiq.scratch", path)
     return path.rstrip("/")
@@ -48,14 +51,35 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     This cuts lineage at a table which survives lost executors, fixes what is not repeatable
     (row ids, batch limits), and gives the optimizer a real size to choose its joins by. The
-    tables live as long as the folder's owner keeps them.
+    tables live until discard(), or as long as the folder's owner keeps them.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/mosaiq-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Scratch tables of this process that are not discarded, oldest first.
+_written: list[str] = []
+
+
+def tables_written() -> int:
+    """A mark for discard()."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the scratch tables written after the mark, but for those in keep; nothing that is still to run may read them."""
+    held = {f for df in keep for f in df.inputFiles()}
+    jvm = spark.sparkContext._jvm
+    for path in _written[since:]:
+        if not any(path.rsplit("/", 1)[-1] in f for f in held):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _written.remove(path)
+
+
 def prepare(spark: SparkSession, rows: int = 2500) -> None:
     """Ready the session for Python functions: ship the package, and send at most so many rows to a worker at once.
 
@@ -189,10 +213,3 @@ def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(mix(words + np.uint64(seed)) * up, out=total[1:])
     return mix((total[width:] - total[:-width]) * down[:n])
-
-
-def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Limits of each bucket in ascending keys, where a bucket is an equal share of the 64-bit range."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
-    at = np.searchsorted(keys, edges)
-    return np.concatenate([[0], at]), np.concatenate([at, [len(keys)]])

@@ -1,10 +1,14 @@
 """Questions from groups of documents to shares of a hash space, and the answers back.
 
 A bundle is some megabytes of rows in one compressed cell, with an id that is fixed by writing it.
-A task asks about the distinct hashes of a bundle: it sorts them and sends each equal share of the
-64-bit range to that share's bucket, once per bundle however often it occurs there. A bucket sees
-every bundle that has a hash and answers each. So hot values cost one entry per bundle, rows of a
-shuffle are few and even, and the traffic is 8 to 20 bytes per distinct hash and bundle.
+A task asks about the distinct hashes of a bundle: it sorts them and sends each of FAN equal shares
+of the hash range, as one row, to that share's slot.
+
+Up to PER_BUCKET * FAN bundles, a slot is answered at once. Beyond, the slot's bundles form groups
+of that many. A group adds equal hashes up, and asks on its own behalf, FAN finer slots each time,
+until slots are small enough; the answers go back the same way. So each bundle writes FAN rows
+and each group FAN more, whatever their number: rows are in proportion to the input, and a value
+that all bundles have costs a slot one entry per group.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, by_bucket, materialize, prepare, release_memory, slices
+from .common import CHUNK_BYTES, materialize, prepare, release_memory, slices
 
-#: Bundles whose questions one bucket should hold.
-BUNDLES_PER_BUCKET = 12
-LEAST_BUCKETS = 48
+#: Slots that one bundle, or one group, asks.
+FAN = 48
+#: Bundles whose whole questions one task should hold; less than FAN.
+PER_BUCKET = 4
 
 BUNDLE = "bid long, payload binary"
 
@@ -66,8 +71,17 @@ def bundle(rows: DataFrame, text: str, label: str, limit: int = CHUNK_BYTES) ->
     return materialize(rows.mapInArrow(make, BUNDLE), label)
 
 
-def bucket_count(bundles: DataFrame) -> int:
-    return max(LEAST_BUCKETS, bundles.count() // BUNDLES_PER_BUCKET)
+def levels_for(bundles: int) -> int:
+    """How often slots are refined: FAN ** levels slots share the questions of so many bundles."""
+    levels = 1
+    while bundles > PER_BUCKET * FAN**levels:
+        levels += 1
+    return levels
+
+
+def slot_of(spread: np.ndarray, slots: int) -> np.ndarray:
+    """The equal share of the 64-bit range in which each value lies. A slot's FAN finer slots lie within it."""
+    return ((spread >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -80,18 +94,36 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def ask(bid: int, keys: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, bid, keys, extra): ascending keys and, in extra, columns of the same length."""
-    starts, stops = by_bucket(keys, buckets)
-    full = np.flatnonzero(stops > starts)
-    if len(full):
-        blobs = [pack_keys(keys[starts[b] : stops[b]]) for b in full]
-        extra = [b"".join(c[starts[b] : stops[b]].tobytes() for c in columns) for b in full]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([bid] * len(full), pa.int64()), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary())], ["bucket", "bid", "keys", "extra"])
+Spread = Callable[[np.ndarray], np.ndarray]
+ASK = pa.schema([("slot", pa.int64()), ("bid", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
+ASKED = "slot long, bid long, keys binary, extra binary"
+ANSWER = "bid long, keys binary, extra binary"
 
 
-ASKED = "bucket int, bid long, keys binary, extra binary"
-ANSWER = "bid long, keys binary, extra binary"
+def ask(bid: int, keys: np.ndarray, columns: list[np.ndarray], slots: int, spread: Spread | None = None) -> pa.RecordBatch:
+    """Rows (slot, bid, keys, extra): ascending keys and, in extra, columns of the same length. Bundles ask FAN slots.
+
+    spread turns keys into values that fill the 64-bit range, by which slots are chosen; keys that do so themselves need none.
+    """
+    slot = slot_of(keys if spread is None else spread(keys), slots)
+    if spread is not None:
+        order = np.argsort(slot, kind="stable")
+        slot, keys, columns = slot[order], keys[order], [c[order] for c in columns]
+    starts = np.flatnonzero(group_starts(slot))
+    stops = np.append(starts[1:], len(slot))
+    blobs = [pack_keys(keys[a:b]) for a, b in zip(starts, stops, strict=True)]
+    extra = [b"".join(pack_column(c[a:b]) for c in columns) for a, b in zip(starts, stops, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(slot[starts]), pa.array(np.full(len(starts), bid)), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary())], schema=ASK)
+
+
+def pack_column(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, as most have few bytes that are not zero."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def unpack_column(blob: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def unpack(keys: list[bytes], extra: list[bytes], kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -103,36 +135,76 @@ def unpack(keys: list[bytes], extra: list[bytes], kinds: list[str]) -> tuple[np.
         at = 0
         for out, kind in zip(columns, kinds, strict=True):
             width = np.dtype(kind).itemsize * int(n)
-            out.append(np.frombuffer(blob[at : at + width], kind))
+            out.append(unpack_column(blob[at : at + width], kind))
             at += width
     return whole, [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)], counts
 
 
-Decide = Callable[[np.ndarray, list[np.ndarray], np.ndarray], tuple[np.ndarray, list[np.ndarray]]]
+Combine = Callable[[np.ndarray, list[np.ndarray]], tuple[np.ndarray, list[np.ndarray]]]
+Decide = Callable[[np.ndarray, list[np.ndarray]], tuple[np.ndarray, list[np.ndarray]]]
+
 
+def entries(table: pa.Table, kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """unpack() of the rows of a table of questions or answers."""
+    return unpack(table.column("keys").to_pylist(), table.column("extra").to_pylist(), kinds)
 
-def answers_of(table: pa.Table, kinds: list[str], decide: Decide) -> list[tuple[int, bytes, bytes]]:
-    """The answer rows of one bucket; see answer()."""
-    bids = table.column("bid").to_pylist()
-    keys, columns, counts = unpack(table.column("keys").to_pylist(), table.column("extra").to_pylist(), kinds)
-    keep, made = decide(keys, columns, np.repeat(np.arange(len(bids)), counts))
+
+def replies(bids: list[int], counts: np.ndarray, keys: np.ndarray, keep: np.ndarray, made: list[np.ndarray]) -> pa.Table:
+    """Answer rows to bids, which had counts of the keys one after another: the kept keys with the columns made for them."""
     ends = np.concatenate([[0], np.cumsum(counts)])
     out = []
     for i, bid in enumerate(bids):
         part = slice(ends[i], ends[i + 1])
         if (chosen := keep[part]).any():
-            out.append((bid, pack_keys(keys[part][chosen]), b"".join(c[part][chosen].tobytes() for c in made)))
-    return out
-
-
-def answer(asked: DataFrame, kinds: list[str], decide: Decide) -> DataFrame:
-    """Per bucket, decide(keys, columns, bundle number) -> (which entries to answer, answer columns of all entries)."""
+            out.append((bid, pack_keys(keys[part][chosen]), b"".join(pack_column(c[part][chosen]) for c in made)))
+    columns = list(zip(*out, strict=True)) or [(), (), ()]
+    return pa.table({"bid": pa.array(columns[0], pa.int64()), "keys": pa.array(columns[1], pa.binary()), "extra": pa.array(columns[2], pa.binary())})
+
+
+def settle(asked: DataFrame, units: int, levels: int, kinds: list[str], combine: Combine, finish: Callable[[DataFrame], DataFrame], made: list[str], spread: Spread | None = None, slots: int | None = None) -> DataFrame:
+    """Answers (bid, keys, extra) to what units asked, by way of groups as far as levels say.
+
+    combine(keys, columns) -> ascending distinct keys and their joined columns, in the same types;
+    finish turns questions at the finest slots into answers with columns of the types in made.
+    """
+    slots = slots or FAN
+    if levels == 1:
+        return finish(asked)
+    groups = -(-units // (PER_BUCKET * FAN if slots == FAN else FAN))
+    held = materialize(asked.withColumn("node", F.col("slot") * groups + F.pmod(F.xxhash64("bid"), F.lit(groups))), "exchange")
+    finer = slots * FAN
+
+    def up(table: pa.Table) -> pa.Table:
+        keys, columns, _ = entries(table, kinds)
+        joined, values = combine(keys, columns)
+        return pa.Table.from_batches([ask(table.column("node")[0].as_py(), joined, [v.astype(k) for v, k in zip(values, kinds, strict=True)], finer, spread)])
+
+    def down(left: pa.Table, right: pa.Table) -> pa.Table:
+        asking, _, counts = entries(left, kinds)
+        keys, columns, _ = entries(right, made)
+        order = np.argsort(keys, kind="stable")
+        keys, columns = keys[order], [c[order] for c in columns]
+        out, ends = [], np.concatenate([[0], np.cumsum(counts)])
+        for i, bid in enumerate(left.column("bid").to_pylist()):
+            mine = find(keys, asking[ends[i] : ends[i + 1]])[0]
+            if mine.any():
+                out.append((bid, pack_keys(keys[mine]), b"".join(pack_column(c[mine]) for c in columns)))
+        rows = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table({"bid": pa.array(rows[0], pa.int64()), "keys": pa.array(rows[1], pa.binary()), "extra": pa.array(rows[2], pa.binary())})
+
+    above = settle(held.groupBy("node").applyInArrow(up, ASKED), groups, levels - 1, kinds, combine, finish, made, spread, finer)
+    return held.groupBy("node").cogroup(above.groupBy("bid")).applyInArrow(down, ANSWER)
+
+
+def answer(asked: DataFrame, bundles: int, kinds: list[str], combine: Combine, decide: Decide, made: list[str], spread: Spread | None = None) -> DataFrame:
+    """Per slot, decide(keys, columns) -> (which entries to answer, answer columns of all entries); keys come once for each asker."""
 
     def group(table: pa.Table) -> pa.Table:
-        columns = list(zip(*answers_of(table, kinds, decide), strict=True)) or [(), (), ()]
-        return pa.table({"bid": pa.array(columns[0], pa.int64()), "keys": pa.array(columns[1], pa.binary()), "extra": pa.array(columns[2], pa.binary())})
+        keys, columns, counts = entries(table, kinds)
+        keep, values = decide(keys, columns)
+        return replies(table.column("bid").to_pylist(), counts, keys, keep, values)
 
-    return asked.groupBy("bucket").applyInArrow(group, ANSWER)
+    return settle(asked, bundles, levels_for(bundles), kinds, combine, lambda rows: rows.groupBy("slot").applyInArrow(group, ANSWER), made, spread)
 
 
 def with_answers(bundles: DataFrame, answers: DataFrame, kinds: list[str], apply: Callable[[int, pa.RecordBatch, np.ndarray, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:

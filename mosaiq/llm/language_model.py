@@ -1,286 +1,490 @@
-"""A hierarchical Pitman-Yor language model over the letters of tokens, gathered from the whole corpus.
-
-A text is its lower-cased words, each spelled byte by byte, with a space between two and an end
-symbol after the last. A context of CONTEXT bytes is a restaurant whose parent is the context
-without its farthest byte, down to the empty context and a uniform base, so all contexts that end
-alike share parents. Seating is sampled by Gibbs sweeps over the table counts of all dishes of a
-level at a time, and predictive probabilities are averaged over the samples after a burn-in.
-
-Contexts that agree on their two nearest bytes form one subtree and meet in one bucket of the key
-space, where the subtree is sampled as arrays. Above it are 256 contexts of one byte and the
-empty one: at most 256 * 256 numbers, whatever the corpus, which are sampled on the driver.
-Counts are added up per bundle before they travel; bundles get back one log probability for each
-distinct n-gram they hold. A word's counts, for the unigram base score, travel the same way.
+"""A hierarchical Pitman-Yor language model over tokens, gathered from the whole corpus.
+
+A text is its lower-cased words and one end. Every token is a context: a restaurant whose dishes
+are the tokens seen after it (an end is the context of a text's first token). All contexts share
+one parent, the restaurant of single tokens, whose base is uniform over the tokens learned and one
+more that stands for all others. Customers of the parent are the tables of the contexts, so the
+levels hold one common state. Seating is sampled by Gibbs (see seating), discounts and strengths
+are fitted between the rounds, and predictive probabilities are averaged over the last SAMPLES.
+
+1. Words: bundles ask the slots of the hash space; a slot adds up counts and gives each word a number.
+2. Pairs: bundles ask with pairs of numbers. A slot holds pairs whatever their context, so a context of
+   any size is split over all slots.
+3. Rounds: a slot of pairs reseats customers given its words' place in the parent and the tables of
+   each context, then tells the slots of words what it has. They seat the parent's customers that
+   are new or gone, reseat others, and answer. What other slots do in a round is seen after it.
+4. Bundles get, for their distinct words and pairs, the counts and tables of each sample, and score.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, prepare, release_memory, slices
-from .exchange import ANSWER, ASKED, answer, answers_of, ask, bucket_count, bundle, decode_table, find, group_starts, unpack, with_several_answers
-
-#: Bytes of context; up to 6 fit a 64-bit key.
-CONTEXT = 5
-END, PAD, SPACE = 0, 0x0A, 0x20
-#: Discount and strength of the restaurants by the length of their context.
-DISCOUNT = (0.0, 0.3, 0.5, 0.6, 0.7, 0.75, 0.8)
-STRENGTH = (1.0,) * 7
-BURN_IN, SAMPLES = 3, 4
-#: Bundles are large, since what travels is distinct n-grams; their texts are handled a part at a time.
-BUNDLE_BYTES, PART_BYTES = 16 << 20, 2 << 20
-#: Log probabilities travel in steps of 1 / STEPS, sixteen bits each.
-STEPS = 4096
-#: Customers seated one by one; further ones in blocks of twice the size each, with a Poisson number of new tables.
-ONE_BY_ONE = 32
-
-
-def seat(customers: np.ndarray, urge: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Sampled table counts: a customer opens a table with odds of urge to (customers seated - discount * tables)."""
-    tables = (customers > 0).astype(np.float64)
-    live = np.flatnonzero(customers > 1)
-    for i in range(1, ONE_BY_ONE):
-        live = live[customers[live] > i]
-        if not len(live):
-            return tables.astype(np.int64)
-        tables[live] += rng.random(len(live)) * (urge[live] + i - discount * tables[live]) < urge[live]
-    low = ONE_BY_ONE
-    while len(live := live[customers[live] > low]):
-        many = np.minimum(customers[live], 2 * low) - low
-        chance = urge[live] / (urge[live] + low + many / 2 - discount * tables[live])
-        tables[live] += np.minimum(rng.poisson(chance * many), many)
-        low *= 2
-    return tables.astype(np.int64)
-
-
-class Level:
-    """The restaurants of one context length: dishes sorted by restaurant, with each dish's place at the parent level."""
-
-    def __init__(self, restaurant: np.ndarray, parent: np.ndarray, discount: float, strength: float):
-        self.restaurant, self.parent, self.discount, self.strength = restaurant, parent, discount, strength
-        self.count = int(restaurant[-1]) + 1 if len(restaurant) else 0
-
-    def totals(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.restaurant, values, self.count)
-
-    def urge(self, tables: np.ndarray, above: np.ndarray) -> np.ndarray:
-        return (self.strength + self.discount * self.totals(tables))[self.restaurant] * above[self.parent]
-
-    def predict(self, customers: np.ndarray, tables: np.ndarray, above: np.ndarray) -> np.ndarray:
-        full = (self.strength + self.totals(customers))[self.restaurant]
-        return (customers - self.discount * tables + self.urge(tables, above)) / full
-
-
-def gibbs(levels: list[Level], counts: np.ndarray, base: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """levels from the longest context to the shortest -> (averaged probability of each dish of the longest, and of the shortest; tables of the shortest)."""
-    rng = np.random.default_rng(seed)
-    customers, tables = [counts], []
-    for i, level in enumerate(levels):
-        tables.append(np.minimum(customers[i], 1))
-        if i + 1 < len(levels):
-            customers.append(np.bincount(level.parent, tables[i], len(levels[i + 1].restaurant)).astype(np.int64))
-    long, short = np.zeros(len(counts)), np.zeros(len(levels[-1].restaurant))
-
-    def predictions() -> list[np.ndarray]:
-        out = [base]
-        for level, c, t in zip(reversed(levels), reversed(customers), reversed(tables), strict=True):
-            out.append(level.predict(c, t, out[-1]))
-        return out[::-1]
-
-    for sweep in range(BURN_IN + SAMPLES):
-        above = predictions()
-        for i, level in enumerate(levels):
-            tables[i] = seat(customers[i], level.urge(tables[i], above[i + 1]), level.discount, rng)
-            if i + 1 < len(levels):
-                customers[i + 1] = np.bincount(level.parent, tables[i], len(levels[i + 1].restaurant)).astype(np.int64)
-        if sweep >= BURN_IN:
-            above = predictions()
-            long += above[0] / SAMPLES
-            short += above[-2] / SAMPLES
-    return long, short, tables[-1]
-
-
-def spelled(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram key at each symbol of all texts, and the limits of the texts.
-
-    Keys sort by the two nearest context bytes, spread over the 64-bit range, then by the farther
-    ones and the symbol.
+from . import exchange
+from .common import Words, discard, materialize, mix, prepare, release_memory, slices, tables_written
+from .exchange import ANSWER, ASKED, ask, bundle, decode_table, encode_table, entries, find, levels_for, pack_keys, replies, settle, unpack_keys, with_answers, with_several_answers
+from .seating import Seating, digamma
+
+ROUNDS, SAMPLES = 5, 3
+#: Customers of each dish that a round reseats.
+STEPS = 6
+#: Text bytes of a bundle, and of the part that is split into words at a time.
+BUNDLE_BYTES, PART_BYTES = 8 << 20, 2 << 20
+#: The end of a text, as a word that no text holds.
+END = xxhash.xxh3_64_intdigest(b" ")
+MOST_WORDS = 1 << 32
+
+
+@dataclass(frozen=True)
+class Fit:
+    """Discount and strength of the parent and of the contexts, and the parent's totals."""
+
+    discount: tuple[float, float] = (0.5, 0.7)
+    strength: tuple[float, float] = (1.0, 1.0)
+    customers: int = 0
+    tables: int = 0
+    words: int = 0
+
+    def single(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Probability of tokens in the parent."""
+        fresh = (self.strength[0] + self.discount[0] * self.tables) / (self.words + 1)
+        return (customers - self.discount[0] * tables + fresh) / (self.strength[0] + self.customers)
+
+
+def refit(fit: Fit, totals: dict[str, float]) -> Fit:
+    """Discounts and strengths from the expected auxiliary variables of their sampler, with priors Beta(1, 1) and Gamma(1, 1).
+
+    A restaurant of c customers and t tables has -log x with x ~ Beta(strength + 1, c - 1), and y ~
+    Bernoulli(strength / (strength + discount * i)) for i = 1 .. t - 1; the customers of a table give the z.
     """
-    texts = len(words.first) - 1
-    counts = np.diff(words.first)
-    text = words.text_of_word()
-    width = np.diff(words.ends).astype(np.int64)
-    lengths = np.bincount(text, width + 1, texts).astype(np.int64) + (counts == 0)
-    limits = np.concatenate([[0], np.cumsum(lengths)])
-    shift = np.repeat((np.arange(texts) + 1) * CONTEXT + limits[:-1] - words.first[:-1] - words.ends[words.first[:-1]], counts) + np.arange(words.count)
-    flat = np.full(limits[-1] + CONTEXT * texts, PAD, np.uint8)
-    flat[np.arange(len(words.packed)) + np.repeat(shift, width)] = words.packed
-    flat[words.ends[1:] + shift] = SPACE
-    flat[limits[1:] + CONTEXT * (np.arange(texts) + 1) - 1] = END
-    at = np.arange(limits[-1]) + np.repeat((np.arange(texts) + 1) * CONTEXT, lengths)
-    near = (flat[at - 1].astype(np.uint16) << np.uint16(8) | flat[at - 2]) * np.uint16(40503)
-    keys = near.astype(np.uint64) << np.uint64(48) | flat[at]
-    for j in range(3, CONTEXT + 1):
-        keys |= flat[at - j].astype(np.uint64) << np.uint64(8 * (CONTEXT - j + 1))
-    return keys, limits
-
-
-_UNSPREAD = pow(40503, -1, 1 << 16)
-
-
-def subtree(keys: np.ndarray) -> tuple[list[Level], np.ndarray, np.ndarray]:
-    """Levels of ascending distinct keys, and the nearest byte and the symbol of the dishes of the shortest."""
-    symbol = keys & np.uint64(0xFF)
-    levels, restaurant = [], keys >> np.uint64(8)
-    rows = keys
-    for length in range(CONTEXT, 1, -1):
-        dish_rows = rows
-        # The parent's dish: the farthest byte of the context dropped.
-        drop = np.uint64(8 * (CONTEXT - length + 1))
-        parent_key = (dish_rows >> (drop + np.uint64(8)) << (drop + np.uint64(8))) | (dish_rows & np.uint64(0xFF))
-        parents, place = np.unique(parent_key, return_inverse=True)
-        room = np.cumsum(group_starts(restaurant)) - 1 if len(restaurant) else np.zeros(0, np.int64)
-        levels.append(Level(room, place, DISCOUNT[length], STRENGTH[length]))
-        if length == 2:
-            near = (dish_rows >> np.uint64(48)) * np.uint64(_UNSPREAD) & np.uint64(0xFFFF)
-            nearest, symbol = near >> np.uint64(8), dish_rows & np.uint64(0xFF)
-            levels[-1].parent = (nearest * np.uint64(256) + symbol).astype(np.int64)
-            return levels, nearest.astype(np.int64), symbol.astype(np.int64)
-        rows, restaurant = parents, parents >> (drop + np.uint64(8))
-    raise AssertionError
-
-
-def top_levels(tables: np.ndarray) -> np.ndarray:
-    """Probabilities of each symbol after each byte, from the tables (256 x 256) that the subtrees send up."""
-    nearest, symbol = np.divmod(np.arange(65536), 256)
-    levels = [Level(nearest, symbol, DISCOUNT[1], STRENGTH[1]), Level(np.zeros(256, np.int64), np.zeros(256, np.int64), DISCOUNT[0], STRENGTH[0])]
-    return gibbs(levels, tables.ravel().astype(np.int64), np.full(1, 1 / 256), 17)[0]
+    customers, tables = int(totals["customers"]), int(totals["tables"])
+    logs, draws, all_draws = context_terms(np.array([customers]), np.array([tables]), fit.discount[0], fit.strength[0])
+    new = []
+    for level, (a, y, n, bends) in enumerate([(logs, draws, all_draws, totals["bends"]), (totals["logs"], totals["draws"], totals["all_draws"], totals["pair_bends"])]):
+        strength = (1 + y) / (1 + a)
+        discount = (1 + n - y) / (2 + n - y + bends)
+        new.append((min(0.95, max(0.01, discount)), min(1e6, max(1e-3, strength))))
+    return replace(fit, discount=(new[0][0], new[1][0]), strength=(new[0][1], new[1][1]), customers=customers, tables=tables)
+
+
+def context_terms(customers: np.ndarray, tables: np.ndarray, discount: float, strength: float) -> tuple[float, float, int]:
+    """Sums over restaurants of the expected -log x, of the expected y, and of the number of y."""
+    big = customers > 1
+    logs = (digamma(strength + customers[big]) - digamma(strength + 1)).sum()
+    t = tables[tables > 1]
+    y = strength / discount * (digamma(strength / discount + t) - digamma(strength / discount + 1))
+    return float(logs), float(y.sum()), int((t - 1).sum())
+
+
+# --- words ---
 
 
 def _distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how many of those counted each has."""
+    """Distinct keys and the sum of counted for each."""
     coded = pa.array(keys.view(np.int64)).dictionary_encode()
     values = coded.dictionary.to_numpy(zero_copy_only=False).view(np.uint64)
     return values, np.bincount(coded.indices.to_numpy(), counted, len(values)).astype(np.int64)
 
 
-def _questions(buckets: int, of_words: bool):
+def _added(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ascending distinct keys and the sums of their columns."""
+    values, place = np.unique(keys, return_inverse=True)
+    return values, [np.bincount(place, c, len(values)).astype(np.int64) for c in columns]
+
+
+def _ask_words(fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts = []
+                keys, counts = [], []
                 for rows in slices(iter([decode_table(payload.as_py())]), "text", PART_BYTES):
                     train = rows.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
                     words = Words(rows.column(1), lower=True)
-                    if of_words:
-                        parts.append(_distinct(words.hashes(), train[words.text_of_word()]))
-                    else:
-                        grams, limits = spelled(words)
-                        parts.append(_distinct(grams, np.repeat(train, np.diff(limits))))
-                keys, counts, _ = _totals(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-                yield from ask(bid, keys, [counts.astype(np.uint32)], buckets)
+                    some, often = _distinct(words.hashes(), train[words.text_of_word()])
+                    keys += [some, np.array([END], np.uint64)]
+                    counts += [often, np.array([train.sum()], np.int64)]
+                whole, (total,) = _added(np.concatenate(keys), [np.concatenate(counts)])
+                yield ask(bid, whole, [total], fan)
         release_memory()
 
     return run
 
 
-def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending distinct keys, the sum of their counts, and each entry's place in them."""
-    values, place = np.unique(keys, return_inverse=True)
-    return values, np.bincount(place, counts, len(values)).astype(np.int64), place
+def _number_words(slots: int):
+    """Per slot: answers (count, number), and a row of state; the word of rank r in slot s has number r * slots + s + 1."""
 
+    def run(table: pa.Table) -> pa.Table:
+        slot = table.column("slot")[0].as_py()
+        keys, (counts,), lengths = entries(table, ["i8"])
+        values, (total,) = _added(keys, [counts])
+        some = total > 0
+        numbers = np.where(some, (np.cumsum(some) - 1) * slots + slot + 1, 0)
+        if len(numbers) and numbers.max() >= MOST_WORDS:
+            raise ValueError("more distinct words than pairs can be numbered by")
+        at = np.searchsorted(values, keys)
+        answers = replies(table.column("bid").to_pylist(), lengths, keys, some[at], [total[at], numbers[at].astype(np.uint32)])
+        empty = np.zeros(0, np.int64).tobytes()
+        state = {"slot": [slot], "tokens": [int(total.sum())], "words": [int(some.sum())], "counts": [total[some].tobytes()], "tables": [np.zeros(int(some.sum()), np.int64).tobytes()], "sizes": [empty], "kept": [empty]}
+        return _with_kind(answers, pa.table(state, schema=WORD_STATE), WORDS)
 
-def _word_counts(table: pa.Table) -> pa.Table:
-    seen = {}
+    return run
 
-    def decide(keys: np.ndarray, columns: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        values, total, place = _totals(keys, columns[0])
-        seen["tokens"], seen["distinct"] = int(total.sum()), int((total > 0).sum())
-        return total[place] > 0, [total[place]]
 
-    rows = answers_of(table, ["u4"], decide)
-    bids, keys, extra = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
-    none = [None] * len(bids)
-    return pa.table({"bid": pa.array([*bids, -1], pa.int64()), "keys": pa.array([*keys, b""], pa.binary()), "extra": pa.array([*extra, b""], pa.binary()), "tokens": pa.array([*none, seen["tokens"]], pa.int64()), "kinds": pa.array([*none, seen["distinct"]], pa.int64())})
+WORD_STATE = pa.schema([("slot", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("counts", pa.binary()), ("tables", pa.binary()), ("sizes", pa.binary()), ("kept", pa.binary())])
+PAIR_STATE = pa.schema([("slot", pa.int64()), ("pairs", pa.binary()), ("counts", pa.binary()), ("tables", pa.binary()), ("sizes", pa.binary()), ("kept", pa.binary())])
+SUMS = ("customers", "tables_sum", "bends", "logs", "draws", "all_draws")
+_KIND = [("kind", pa.int32()), ("bid", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())]
+WORDS = pa.schema([*_KIND, *WORD_STATE, *((s, pa.float64()) for s in SUMS)])
+PAIRS = pa.schema([*_KIND, *PAIR_STATE, ("bends", pa.float64())])
 
 
-def _sent_up(table: pa.Table) -> pa.Table:
-    keys, columns, _ = unpack(table.column("keys").to_pylist(), table.column("extra").to_pylist(), ["u4"])
-    values, counts, _ = _totals(keys, columns[0])
-    levels, nearest, symbol = subtree(values)
-    tables = gibbs(levels, counts, np.full(65536, 1 / 256), int(values[0] >> np.uint64(16)) if len(values) else 0)[2]
-    return pa.table({"nearest": nearest, "symbol": symbol, "tables": tables})
+def _with_kind(messages: pa.Table, state: pa.Table, schema: pa.Schema) -> pa.Table:
+    """One table of messages (kind 0) and state (kind 1)."""
+    parts = [t.append_column("kind", pa.array(np.full(t.num_rows, kind, np.int32))) for kind, t in enumerate([messages, state])]
+    return pa.concat_tables([pa.table([p.column(f.name).cast(f.type) if f.name in p.column_names else pa.nulls(p.num_rows, f.type) for f in schema], schema=schema) for p in parts])
 
 
-def _probabilities(above: np.ndarray):
-    def decide(keys: np.ndarray, columns: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        values, counts, place = _totals(keys, columns[0])
-        levels, _, _ = subtree(values)
-        found = np.log10(gibbs(levels, counts, above, int(values[0] >> np.uint64(16)) if len(values) else 0)[0])
-        return np.ones(len(keys), dtype=bool), [np.rint(np.minimum(-found * STEPS, 65535)).astype(np.uint16)[place]]
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.float64(): "double"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
-    return decide
 
+def _i8(table: pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(table.column(name)[0].as_py(), np.int64)
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
+def by_slot(slots: int):
+    """Numbers of words to values by which exchange finds the slot that numbered them."""
 
-def _sums(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    return total[limits[1:]] - total[limits[:-1]]
+    def spread(numbers: np.ndarray) -> np.ndarray:
+        slot = (numbers - np.uint64(1)) % np.uint64(slots)
+        return ((slot << np.uint64(32)) // np.uint64(slots) + np.uint64(1)) << np.uint64(32)
 
+    return spread
 
-def _score(tokens: int, kinds: int, ends: int):
-    bottom = np.log10(tokens + 0.5 * (kinds + 1))
 
-    def part(rows: pa.RecordBatch, known: np.ndarray, counts: np.ndarray, grams: np.ndarray, logs: np.ndarray) -> pa.Table:
-        words = Words(rows.column(1), lower=True)
-        # Only distinct words and n-grams are looked up.
-        hit, at = find(words.distinct_hashes(), known)
-        seen = (np.where(hit, counts[at], 0) if len(known) else np.zeros(len(words.dictionary)))[words.codes]
-        base = _sums(np.log10(seen + 0.5), words.first) + np.log10(ends + 0.5) - (np.diff(words.first) + 1) * bottom
-        symbols, limits = spelled(words)
-        coded = pa.array(symbols.view(np.int64)).dictionary_encode()
-        distinct = logs[find(coded.dictionary.to_numpy(zero_copy_only=False).view(np.uint64), grams)[1]]
-        score = _sums(distinct[coded.indices.to_numpy()].astype(np.float64), limits) / -STEPS
-        n_known = _sums((seen > 0).astype(np.float64), words.first).astype(np.int64) + (ends > 0)
-        train = rows.column(2).to_numpy(zero_copy_only=False)
-        return pa.Table.from_arrays([rows.column(0).cast(pa.int64()), pa.array(~train), pa.array(np.diff(words.first) + 1), pa.array(n_known), pa.array(np.full(len(train), tokens)), pa.array(base), pa.array(score)], schema=SCORES)
+def _seat_words(slots: int, fit: Fit, seed: int, keep: bool):
+    """Per slot of words: customers as the pairs now have tables; answers (customers, tables, tables of the word as a context), new state, sums."""
 
+    def run(asked: pa.Table, state: pa.Table) -> pa.Table:
+        slot = state.column("slot")[0].as_py()
+        keys, columns, lengths = entries(asked, ["i8", "i8"]) if asked.num_rows else (np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2, np.zeros(0, np.int64))
+        rank = (keys.astype(np.int64) - 1) // slots
+        counts, tables = _i8(state, "counts"), _i8(state, "tables")
+        target, context = (np.bincount(rank, c, len(counts)).astype(np.int64) for c in columns)
+        rng = np.random.default_rng([seed, slot])
+        seating = Seating(tables, _i8(state, "sizes"), fit.discount[0], rng)
+        urge = np.full(len(counts), (fit.strength[0] + fit.discount[0] * max(fit.tables, fit.words)) / (fit.words + 1))
+        seating.change(target, urge)
+        live = np.flatnonzero(seating.customers > 1)
+        for _ in range(STEPS):
+            seating.leave(live)
+            seating.join(live, urge[live])
+        kept = np.concatenate([_i8(state, "kept"), seating.customers, seating.tables, context]) if keep else _i8(state, "kept")
+        made = [seating.customers[rank], seating.tables[rank], context[rank]]
+        answers = replies(asked.column("bid").to_pylist(), lengths, keys, np.ones(len(keys), dtype=bool), made)
+        logs, draws, all_draws = context_terms(counts, context, fit.discount[1], fit.strength[1])
+        sums = zip(SUMS, (seating.customers.sum(), seating.tables.sum(), seating.bends(), logs, draws, all_draws), strict=True)
+        new = {"slot": [slot], "tokens": state.column("tokens"), "words": state.column("words"), "counts": state.column("counts"), "tables": [seating.tables.tobytes()], "sizes": [seating.sizes.tobytes()], "kept": [kept.tobytes()]}
+        return _with_kind(answers, pa.table({**new, **{k: pa.array([float(v)]) for k, v in sums}}), WORDS)
+
+    return run
+
+
+# --- pairs ---
+
+
+def _tokens(bid: int, rows: pa.RecordBatch, known: np.ndarray, counts: np.ndarray, numbers: np.ndarray, tokens: int, words: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """A bundle's documents as numbers with their base scores; all numbers one after another, and whether each is learned from."""
+    bottom = math.log10(tokens + 0.5 * (words + 1))
+    of_end = find(np.array([END], np.uint64), known)
+    end = (int(counts[of_end[1][0]]), int(numbers[of_end[1][0]])) if len(known) and of_end[0][0] else (0, 0)
+    parts, flat, learned = [], [], []
+    for some in slices(iter([rows]), "text", PART_BYTES):
+        split = Words(some.column(1), lower=True)
+        hit, at = find(split.distinct_hashes(), known)
+        number = np.where(hit, numbers[at], 0)[split.codes] if len(known) and split.count else np.zeros(split.count, np.int64)
+        seen = np.where(hit, counts[at], 0)[split.codes] if len(known) and split.count else np.zeros(split.count, np.int64)
+        length = np.diff(split.first) + 1
+        limits = np.concatenate([[0], np.cumsum(length)])
+        ids = np.full(limits[-1], end[1], np.uint32)
+        inside = np.ones(limits[-1], dtype=bool)
+        inside[limits[1:] - 1] = False
+        ids[inside] = number
+        total = np.concatenate([[0.0], np.cumsum(np.log10(seen + 0.5))])
+        hits = np.concatenate([[0], np.cumsum(seen > 0)])
+        base = total[split.first[1:]] - total[split.first[:-1]] + math.log10(end[0] + 0.5) - length * bottom
+        train = some.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        parts.append(pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(~train), pa.array(length), pa.array(hits[split.first[1:]] - hits[split.first[:-1]] + (end[0] > 0)), pa.array(base), pa.LargeListArray.from_arrays(pa.array(limits), pa.array(ids))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids"]))
+        flat.append(ids)
+        learned.append(np.repeat(train, length))
+    whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    return whole, np.concatenate(flat), np.concatenate(learned)
+
+
+def pairs_of(ids: np.ndarray) -> np.ndarray:
+    """(token before, token) of every token as one number; what comes before a text is the end of the one before, or an end like it."""
+    before = np.concatenate([ids[-1:], ids[:-1]]).astype(np.uint64)
+    return before << np.uint64(32) | ids
+
+
+QUESTIONS = pa.schema([("kind", pa.int32()), ("slot", pa.int64()), ("bid", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary()), ("payload", pa.binary())])
+
+
+def _ask_pairs(tokens: int, words: int, fan: int, slots: int):
+    """Per bundle: its documents as numbers (kind 0), questions for its pairs (kind 1) and for its words (kind 2)."""
+
+    def run(bid: int, rows: pa.RecordBatch | None, known: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
+        if rows is None:
+            return QUESTIONS.empty_table()
+        documents, ids, learned = _tokens(bid, rows, known, *columns, tokens, words)
+        keys, counts = _distinct(pairs_of(ids), learned.astype(np.float64))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        real = (keys >> np.uint64(32) > 0) & (keys & np.uint64(MOST_WORDS - 1) > 0)
+        keys, counts = keys[real], counts[real]
+        of_words = np.unique(ids).astype(np.uint64)
+        of_words = of_words[of_words > 0]
+        nothing = np.zeros(len(of_words), np.int64)
+        asked = [ask(bid, keys, [counts, np.zeros(len(keys), np.uint8)], fan, mix), ask(bid, of_words, [nothing, nothing], fan, by_slot(slots))]
+        out = [pa.table({"kind": pa.array([0], pa.int32()), "slot": pa.array([0]), "bid": pa.array([bid]), "keys": pa.array([b""]), "extra": pa.array([b""]), "payload": pa.array([encode_table(documents)])}, schema=QUESTIONS)]
+        for kind, some in enumerate(asked, 1):
+            out.append(pa.table([pa.array(np.full(some.num_rows, kind, np.int32)), *some.columns, pa.nulls(some.num_rows, pa.binary())], schema=QUESTIONS))
+        release_memory()
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _join_pairs(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Counts added up, and whether several askers stand behind a pair."""
+    values, place, often = np.unique(keys, return_inverse=True, return_counts=True)
+    return values, [np.bincount(place, columns[0], len(values)).astype(np.int64), ((np.bincount(place, columns[1], len(values)) > 0) | (often > 1)).astype(np.uint8)]
+
+
+def _words_asked(slot: int, pairs: np.ndarray, tables: np.ndarray, fan: int, slots: int) -> pa.Table:
+    """Questions of a slot of pairs: for each word the tables of its dishes, and those in its own restaurant."""
+    numbers, place = np.unique(np.concatenate([pairs & np.uint64(MOST_WORDS - 1), pairs >> np.uint64(32)]), return_inverse=True)
+    dish = np.bincount(place[: len(pairs)], tables, len(numbers)).astype(np.int64)
+    context = np.bincount(place[len(pairs) :], tables, len(numbers)).astype(np.int64)
+    return pa.Table.from_batches([ask(slot, numbers, [dish, context], fan, by_slot(slots))])
+
+
+def _first_pairs(fan: int, slots: int):
+    """Per slot of pairs: those learned, at one table each, and what they ask."""
+
+    def run(table: pa.Table) -> pa.Table:
+        slot = table.column("slot")[0].as_py()
+        keys, (counts, several), _ = entries(table, ["i8", "u1"])
+        pairs, (total, _) = _join_pairs(keys, [counts, several])
+        pairs, total = pairs[total > 0], total[total > 0]
+        one = np.ones(len(pairs), np.int64)
+        state = {"slot": [slot], "pairs": [pack_keys(pairs)], "counts": [total.tobytes()], "tables": [b""], "sizes": [b""], "kept": [b""], "bends": [0.0]}
+        return _pair_rows(slot, pairs, one, fan, slots, state)
+
+    return run
+
+
+def _pair_rows(slot: int, pairs: np.ndarray, tables: np.ndarray, fan: int, slots: int, state: dict) -> pa.Table:
+    return _with_kind(_words_asked(slot, pairs, tables, fan, slots), pa.table(state), PAIRS)
+
+
+def _seat_pairs(fan: int, slots: int, fit: Fit, seed: int, keep: bool):
+    """Per slot of pairs: customers reseated, what they ask, new state and bends."""
+
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        slot = state.column("slot")[0].as_py()
+        pairs, counts = unpack_keys(state.column("pairs")[0].as_py()), _i8(state, "counts")
+        numbers, (customers, tables, context), _ = entries(answers, ["i8", "i8", "i8"]) if answers.num_rows else (np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 3, None)
+        order = np.argsort(numbers)
+        numbers, customers, tables, context = numbers[order], customers[order], tables[order], context[order].astype(np.float64)
+        alone = counts == 1
+        live = pairs[~alone]
+        above = fit.single(customers, tables)[np.searchsorted(numbers, live & np.uint64(MOST_WORDS - 1))]
+        room = np.searchsorted(numbers, live >> np.uint64(32))
+        rng = np.random.default_rng([seed, slot])
+        urge = lambda: (fit.strength[1] + fit.discount[1] * context[room]) * above
+        if state.column("tables")[0].as_py():
+            seating = Seating(_i8(state, "tables"), _i8(state, "sizes"), fit.discount[1], rng)
+        else:
+            seating = Seating(np.zeros(len(live), np.int64), np.zeros(0, np.int64), fit.discount[1], rng)
+            seating.change(counts[~alone], urge())
+        every = np.arange(len(live))
+        for _ in range(STEPS):
+            gone = seating.leave(every)
+            np.subtract.at(context, room[gone], 1)
+            opened = seating.join(every, urge())
+            np.add.at(context, room[opened], 1)
+        whole = np.ones(len(pairs), np.int64)
+        whole[~alone] = seating.tables
+        kept = state.column("kept")[0].as_py() + (seating.tables.tobytes() if keep else b"")
+        new = {"slot": [slot], "pairs": state.column("pairs"), "counts": state.column("counts"), "tables": [seating.tables.tobytes()], "sizes": [seating.sizes.tobytes()], "kept": [kept], "bends": [seating.bends()]}
+        release_memory()
+        return _pair_rows(slot, pairs, whole, fan, slots, new)
+
+    return run
+
+
+def _tell_pairs(samples: int):
+    """Answers to those who asked for pairs: (count, tables of each sample) unless they count a pair once and nobody else has it."""
+
+    def run(asked: pa.Table, state: pa.Table) -> pa.Table:
+        keys, (counts, several), lengths = entries(asked, ["i8", "u1"])
+        pairs, total = unpack_keys(state.column("pairs")[0].as_py()), _i8(state, "counts")
+        live = total > 1
+        tables = np.ones((samples, len(pairs)), np.int64)
+        tables[:, live] = _i8(state, "kept").reshape(samples, -1)
+        hit, at = find(keys, pairs)
+        keep = hit & ((total[at] > 1) | (several > 0) | (total[at] != counts)) if len(pairs) else hit
+        made = [total[at], *(t[at] for t in tables)] if len(pairs) else [np.zeros(len(keys), np.int64)] * (samples + 1)
+        return replies(asked.column("bid").to_pylist(), lengths, keys, keep, made)
+
+    return run
+
+
+def _tell_words(slots: int, samples: int):
+    """Answers to those who asked for words: (count, then customers, tables and tables as a context of each sample)."""
+
+    def run(asked: pa.Table, state: pa.Table) -> pa.Table:
+        keys, _, lengths = entries(asked, ["i8", "i8"])
+        rank = (keys.astype(np.int64) - 1) // slots
+        counts = _i8(state, "counts")
+        rows = _i8(state, "kept").reshape(3 * samples, len(counts))
+        return replies(asked.column("bid").to_pylist(), lengths, keys, np.ones(len(keys), dtype=bool), [counts[rank], *(r[rank] for r in rows)])
+
+    return run
+
+
+# --- scores ---
+
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def probabilities(pairs: np.ndarray, single: tuple, pair: tuple, fits: list[Fit]) -> np.ndarray:
+    """The averaged predictive probability of each pair.
+
+    single: numbers of words, counts, and (customers, tables, tables as a context) of each sample;
+    pair: pairs, counts, and tables of each sample.
+    """
+    numbers, counts, states = single
+    known, often, tables = pair
+    w_hit, w = find(pairs & np.uint64(MOST_WORDS - 1), numbers)
+    v_hit, v = find(pairs >> np.uint64(32), numbers)
+    p_hit, p = find(pairs, known)
+    pick = lambda hit, values, at: np.where(hit, values[at], 0) if len(values) else np.zeros(len(hit), np.int64)
+    total, count = pick(v_hit, counts, v), pick(p_hit, often, p)
+    out = np.zeros(len(pairs))
+    for s, fit in enumerate(fits):
+        above = fit.single(pick(w_hit, states[3 * s], w), pick(w_hit, states[3 * s + 1], w))
+        d, a = fit.discount[1], fit.strength[1]
+        out += (count - d * pick(p_hit, tables[s], p) + (a + d * pick(v_hit, states[3 * s + 2], v)) * above) / (a + total)
+    return out / len(fits)
+
+
+def _score(tokens: int, fits: list[Fit]):
     def run(bid: int, rows: pa.RecordBatch | None, found: list[tuple[np.ndarray, list[np.ndarray]]]) -> pa.Table:
         if rows is None:
             return SCORES.empty_table()
-        (known, (counts,)), (grams, (logs,)) = found
-        return pa.concat_tables([part(some, known, counts, grams, logs) for some in slices(iter([rows]), "text", PART_BYTES)])
+        (known, (often, *tables)), (numbers, (counts, *states)) = found
+        lists = rows.column("ids")
+        ids, limits = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        pairs, place = np.unique(pairs_of(ids), return_inverse=True)
+        # A pair without an answer is learned from here alone, once, or not at all.
+        learned = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(limits))
+        here = np.bincount(place[learned], minlength=len(pairs)).astype(np.int64)
+        real = (pairs >> np.uint64(32) > 0) & (pairs & np.uint64(MOST_WORDS - 1) > 0)
+        hit, at = find(pairs, known)
+        own = np.where(real, here, 0)
+        count = np.where(hit, often[at], own) if len(known) else own
+        per_sample = [np.where(hit, t[at], own) if len(known) else own for t in tables]
+        logs = np.log10(probabilities(pairs, (numbers, counts, states), (pairs, count, per_sample), fits))[place]
+        total = np.concatenate([[0.0], np.cumsum(logs)])
+        n = rows.num_rows
+        out = [rows.column(i) for i in range(4)]
+        return pa.Table.from_arrays([*out, pa.array(np.full(n, tokens)), rows.column("base_score"), pa.array(total[limits[1:]] - total[limits[:-1]])], schema=SCORES)
 
     return run
 
 
+def _totals(rows: DataFrame, names: dict[str, str]) -> dict[str, float]:
+    """Sums of a few columns over the rows of state, one of each slot."""
+    got = rows.where("kind = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in names.items())).first()
+    return got.asDict()
+
+
 def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Log10 probabilities of all texts under the model and a smoothed unigram, learned from the rows where train holds.
 
     One row per row of docs: doc_id, held_out (train does not hold), n_tokens (words and one end),
-    n_known, train_tokens, base_score, score. Null text is an empty text: its end is its only
-    token. Null and repeated ids are rows like others; other columns are ignored; an empty table
-    gives an empty result; without training rows every symbol is equally likely.
+    n_known, train_tokens, base_score, score. Words that were not learned count as one further
+    token, in both scores. Null text is an empty text: its end is its only token. Null and
+    repeated ids are rows like others; other columns are ignored; an empty table gives an empty
+    result; without training rows nothing is known and all scores are 0. One document must fit a
+    worker's memory some thirty times over.
     """
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), train.alias("train"))
+    spark = docs.sparkSession
+    prepare(spark)
+    mark = tables_written()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     bundles = bundle(rows, "text", "lm-bundles", BUNDLE_BYTES)
-    buckets = bucket_count(bundles)
-    counted = materialize(bundles.mapInArrow(_questions(buckets, True), ASKED).groupBy("bucket").applyInArrow(_word_counts, f"{ANSWER}, tokens long, kinds long"), "lm-words")
-    ends = rows.where("train").count()
-    tokens, kinds = counted.where("bid = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    # Both the tables sent up and the probabilities need these; they are much smaller than the text.
-    grams = materialize(bundles.mapInArrow(_questions(buckets, False), ASKED), "lm-grams")
-    tables = np.zeros((256, 256))
-    for r in grams.groupBy("bucket").applyInArrow(_sent_up, "nearest long, symbol long, tables long").groupBy("nearest", "symbol").agg(F.sum("tables").alias("tables")).collect():
-        tables[r["nearest"], r["symbol"]] = r["tables"]
-    logs = answer(grams, ["u4"], _probabilities(top_levels(tables)))
+    count = bundles.count()
+    levels = levels_for(count)
+    fan = exchange.FAN
+    slots = fan**levels
+    made: dict[str, DataFrame] = {}
+
+    def number(asked: DataFrame) -> DataFrame:
+        made["words"] = materialize(asked.groupBy("slot").applyInArrow(_number_words(slots), _ddl(WORDS)), "lm-words")
+        return made["words"].where("kind = 0").select("bid", "keys", "extra")
+
+    numbered = settle(bundles.mapInArrow(_ask_words(fan), ASKED), count, levels, ["i8"], _added, number, ["i8", "u4"])
+    known = _totals(made["words"], {"tokens": "tokens", "words": "words"})
+    fit = Fit(words=int(known["words"]))
+    questions = materialize(with_answers(bundles, numbered, ["i8", "u4"], _ask_pairs(int(known["tokens"]), fit.words, fan, slots), "kind int, slot long, bid long, keys binary, extra binary, payload binary"), "lm-questions")
+    discard(spark, mark, (questions, made["words"]))
+    fits: list[Fit] = []
+
+    def sample(asked: DataFrame) -> DataFrame:
+        """All rounds; then the answers of the slots of pairs."""
+        nonlocal fit
+        mark = tables_written()
+        pairs = materialize(asked.groupBy("slot").applyInArrow(_first_pairs(fan, slots), _ddl(PAIRS)), "lm-pairs")
+        for turn in range(ROUNDS + 1):
+            keep = turn > ROUNDS - SAMPLES
+            seat = _seat_words(slots, fit, 2 * turn, keep)
+            before = made["words"].where("kind = 1")
+
+            def finish(told: DataFrame, seat=seat, before=before) -> DataFrame:
+                made["words"] = materialize(told.groupBy("slot").cogroup(before.groupBy("slot")).applyInArrow(seat, _ddl(WORDS)), "lm-words")
+                return made["words"].where("kind = 0").select("bid", "keys", "extra")
+
+            told = pairs.where("kind = 0").select("slot", "bid", "keys", "extra")
+            answers = settle(told, slots, levels, ["i8", "i8"], _added, finish, ["i8", "i8", "i8"], by_slot(slots))
+            now = _totals(made["words"], {"customers": "customers", "tables": "tables_sum", **{k: k for k in SUMS[2:]}}) | _totals(pairs, {"pair_bends": "bends"})
+            fit = replace(fit, customers=int(now["customers"]), tables=int(now["tables"]))
+            if keep:
+                fits.append(fit)
+            if turn < ROUNDS:
+                fit = refit(fit, now) if turn else fit
+                seat_pairs = _seat_pairs(fan, slots, fit, 2 * turn + 1, turn + 1 > ROUNDS - SAMPLES)
+                pairs = materialize(pairs.where("kind = 1").groupBy("slot").cogroup(answers.groupBy("bid")).applyInArrow(seat_pairs, _ddl(PAIRS)), "lm-pairs")
+            discard(spark, mark, (pairs, made["words"]))
+        return asked.groupBy("slot").cogroup(pairs.where("kind = 1").groupBy("slot")).applyInArrow(_tell_pairs(SAMPLES), ANSWER)
+
+    def tell(asked: DataFrame) -> DataFrame:
+        return asked.groupBy("slot").cogroup(made["words"].where("kind = 1").groupBy("slot")).applyInArrow(_tell_words(slots, SAMPLES), ANSWER)
+
+    of_kind = lambda kind: questions.where(F.col("kind") == kind).select("slot", "bid", "keys", "extra")
+    of_pairs, of_words = ["i8"] * (1 + SAMPLES), ["i8"] * (1 + 3 * SAMPLES)
+    pair_answers = settle(of_kind(1), count, levels, ["i8", "u1"], _join_pairs, sample, of_pairs, mix)
+    word_answers = settle(of_kind(2), count, levels, ["i8", "i8"], _added, tell, of_words, by_slot(slots))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_several_answers(bundles, [counted.where("bid >= 0"), logs], [["i8"], ["u2"]], _score(tokens + ends, kinds + (ends > 0), ends), schema)
+    return with_several_answers(questions.where("kind = 0").select("bid", "payload"), [pair_answers, word_answers], [of_pairs, of_words], _score(int(known["tokens"]), fits), schema)

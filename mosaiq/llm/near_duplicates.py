@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange
 from .common import Words, materialize, mix, odd_numbers, prepare, release_memory, slices, window_hashes
 from .components import components
-from .exchange import ASKED, BUNDLE, answer, ask, bucket_count, decode_table, encode_table, find, group_starts, with_answers
+from .exchange import ASKED, BUNDLE, answer, ask, decode_table, encode_table, find, group_starts, with_answers
 
 COORDINATES = 64
 #: At a similarity of 0.75, 64 coordinates agree on fewer than 30 with a probability near 1e-6.
@@ -111,25 +112,26 @@ def _pair_keys(matrix: np.ndarray) -> np.ndarray:
     return mix(matrix.astype(np.uint64) | np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))
 
 
-def _post(buckets: int):
+def _post(fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys, counts = np.unique(_pair_keys(_matrix(decode_table(payload.as_py()).column(2))), return_counts=True)
-                yield from ask(bid, keys, [counts.astype(np.uint32)], buckets)
+                yield ask(bid, keys, [counts.astype(np.int64)], fan)
 
     return run
 
 
-def _shared(keys: np.ndarray, columns: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def _totals(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    values, place = np.unique(keys, return_inverse=True)
+    return values, [np.bincount(place, columns[0], len(values)).astype(np.int64)]
+
+
+def _shared(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Pairs that two classes or more have, with their number."""
-    order = np.argsort(keys, kind="stable")
-    at = np.flatnonzero(group_starts(keys[order]))
-    if not len(at):
-        return np.zeros(0, dtype=bool), [columns[0]]
-    total = np.empty(len(keys), dtype=np.uint32)
-    total[order] = np.repeat(np.add.reduceat(columns[0][order], at), np.diff(np.append(at, len(keys)))).astype(np.uint32)
-    return total > 1, [total]
+    values, (total,) = _totals(keys, columns)
+    often = total[np.searchsorted(values, keys)]
+    return often > 1, [often]
 
 
 def _prefixes(matches: int):
@@ -321,9 +323,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
     reps = materialize(classes, "near-classes")
     bundles = materialize(reps.select("rep", "n_shingles", "signature").mapInArrow(_bundle_classes, BUNDLE), "near-bundles")
-    buckets = bucket_count(bundles)
-    often = answer(bundles.mapInArrow(_post(buckets), ASKED), ["u4"], _shared)
-    live = materialize(with_answers(bundles, often, ["u4"], _prefixes(matches), "rep long, signature binary, posts array<long>"), "near-posts")
+    often = answer(bundles.mapInArrow(_post(exchange.FAN), ASKED), bundles.count(), ["i8"], _totals, _shared, ["i8"])
+    live = materialize(with_answers(bundles, often, ["i8"], _prefixes(matches), "rep long, signature binary, posts array<long>"), "near-posts")
     found = links(live.select("rep", F.explode("posts").alias("post")), live.select("rep", "signature"), texts, shingle, similarity, matches)
     groups = components(found)
     named = reps.select("key1", "key2", "n_shingles", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("of_class"))

@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange
 from .common import Words, mix, window_hashes
-from .exchange import ASKED, answer, ask, bucket_count, bundle, decode_table, find, group_starts, with_answers
+from .exchange import ASK, ASKED, answer, ask, bundle, decode_table, find, group_starts, with_answers
 
 GRAM = 8
 SEEDS = {"gram": 11, "low": 23, "high": 37}
@@ -66,7 +67,7 @@ class Passages:
         return low, (window_hashes(mix(self.hashes), self.passage, SEEDS["high"]) >> np.uint64(32)).astype(np.uint32)
 
 
-def _post_and_probe(passage: int, buckets: int):
+def _post_and_probe(passage: int, fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -82,27 +83,30 @@ def _post_and_probe(passage: int, buckets: int):
                 if len(at):
                     several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
                     flags = np.logical_or.reduceat(block, at).astype(np.uint8) | several.astype(np.uint8) << 1
-                    yield from ask(bid, value[at], [flags], buckets)
+                    yield ask(bid, value[at], [flags], fan)
 
     return run
 
 
-def _hit(keys: np.ndarray, columns: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Values under which a block is posted and that more than one document has."""
+def _join_flags(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ascending distinct values, and whether a block is posted under each (1) and more than one document has it (2)."""
     order = np.argsort(keys, kind="stable")
     at = np.flatnonzero(group_starts(keys[order]))
     if not len(at):
-        return np.zeros(0, dtype=bool), []
+        return keys, columns
     flags, size = np.bitwise_or.reduceat(columns[0][order], at), np.diff(np.append(at, len(keys)))
-    good = (flags & 1 > 0) & ((size > 1) | (flags & 2 > 0))
-    keep = np.zeros(len(keys), dtype=bool)
-    keep[order] = np.repeat(good, size)
-    return keep, []
+    return keys[order][at], [flags | ((size > 1) << 1).astype(np.uint8)]
+
 
+def _hit(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Values under which a block is posted and that more than one document has."""
+    values, (flags,) = _join_flags(keys, columns)
+    return (flags == 3)[find(keys, values)[1]] if len(values) else np.zeros(0, dtype=bool), []
 
-def _extend(passage: int, buckets: int):
+
+def _extend(passage: int, fan: int):
     def run(bid: int, rows: pa.RecordBatch | None, hits: np.ndarray, _: list[np.ndarray]) -> pa.Table:
-        empty = pa.schema([("bucket", pa.int32()), ("bid", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())]).empty_table()
+        empty = ASK.empty_table()
         if not len(hits):
             return empty
         p = Passages(rows, passage)
@@ -121,13 +125,23 @@ def _extend(passage: int, buckets: int):
         at = np.flatnonzero(group_starts(low, high))
         if not len(at):
             return empty
-        return pa.Table.from_batches(ask(bid, low[at], [high[at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)], buckets), empty.schema)
+        return pa.Table.from_batches([ask(bid, low[at], [high[at], np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)], fan)])
 
     return run
 
 
-def _first_owner(keys: np.ndarray, columns: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The smallest document that has the passage, for bundles with a larger one."""
+def _join_owners(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct passages with the smallest and the largest document that has each."""
+    high, least, most = columns
+    order = np.lexsort((high, keys))
+    at = np.flatnonzero(group_starts(keys[order], high[order]))
+    if not len(at):
+        return keys, columns
+    return keys[order][at], [high[order][at], np.minimum.reduceat(least[order], at), np.maximum.reduceat(most[order], at)]
+
+
+def _first_owner(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The smallest document that has the passage, for askers with a larger one."""
     high, least, most = columns
     order = np.lexsort((high, keys))
     at = np.flatnonzero(group_starts(keys[order], high[order]))
@@ -198,9 +212,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError(f"passage must be {2 * GRAM} words or more")
     carry = carry or []
     bundles = bundle(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried {c}") for c in carry)), "text", "substring-bundles")
-    buckets = bucket_count(bundles)
-    hits = answer(bundles.mapInArrow(_post_and_probe(passage, buckets), ASKED), ["u1"], _hit)
-    owners = answer(with_answers(bundles, hits, [], _extend(passage, buckets), ASKED), ["u4", "i8", "i8"], _first_owner)
+    count = bundles.count()
+    hits = answer(bundles.mapInArrow(_post_and_probe(passage, exchange.FAN), ASKED), count, ["u1"], _join_flags, _hit, [])
+    owners = answer(with_answers(bundles, hits, [], _extend(passage, exchange.FAN), ASKED), count, ["u4", "i8", "i8"], _join_owners, _first_owner, ["u4", "i8"])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     schema = "doc_id long, n_words long, n_removed long, removed array<struct<begin: long, end: long>>, kept_text string" + (f", {kinds}" if kinds else "")
     from pyspark.sql.pandas.types import to_arrow_schema
