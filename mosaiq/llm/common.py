@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -70,7 +71,10 @@ def tables_written() -> int:
 
 
 def discard(spark: SparkSession, since: int, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Delete the scratch tables written after the mark, but for those in keep; nothing that is still to run may read them."""
+    """Delete the scratch tables written after the mark, but for those in keep; nothing that is still to run may read them.
+
+    Shuffle files that no plan refers to any longer go too, as soon as Spark learns of it.
+    """
     held = {f for df in keep for f in df.inputFiles()}
     jvm = spark.sparkContext._jvm
     for path in _written[since:]:
@@ -78,6 +82,8 @@ def discard(spark: SparkSession, since: int, keep: tuple[DataFrame, ...] = ()) -
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
             _written.remove(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def prepare(spark: SparkSession, rows: int = 2500) -> None:

@@ -8,8 +8,10 @@ levels hold one common state. Seating is sampled by Gibbs (see seating), discoun
 are fitted between the rounds, and predictive probabilities are averaged over the last SAMPLES.
 
 1. Words: bundles ask the slots of the hash space; a slot adds up counts and gives each word a number.
-2. Pairs: bundles ask with pairs of numbers. A slot holds pairs whatever their context, so a context of
-   any size is split over all slots.
+2. Pairs of tokens: bundles learn from short hashes which pairs others may have too. A pair that one
+   bundle alone has, once, is one customer at one table and needs no seating: the bundle tells the slots
+   of words how many such tables there are. It asks about all other pairs by their numbers. A slot holds
+   pairs whatever their context, so a context of any size is split over all slots.
 3. Rounds: a slot of pairs reseats customers given its words' place in the parent and the tables of
    each context, then tells the slots of words what it has. They seat the parent's customers that
    are new or gone, reseat others, and answer. What other slots do in a round is seen after it.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .common import Words, discard, materialize, mix, prepare, release_memory, slices, tables_written
-from .exchange import ANSWER, ASKED, ask, bundle, decode_table, encode_table, entries, find, levels_for, pack_keys, replies, settle, unpack_keys, with_answers, with_several_answers
+from .exchange import ANSWER, ASKED, answer, ask, bundle, decode_table, encode_table, entries, find, levels_for, pack_keys, replies, settle, unpack_keys, with_answers, with_several_answers
 from .seating import Seating, digamma
 
 ROUNDS, SAMPLES = 5, 3
@@ -119,26 +121,45 @@ def _ask_words(fan: int):
 
 
 def _number_words(slots: int):
-    """Per slot: answers (count, number), and a row of state; the word of rank r in slot s has number r * slots + s + 1."""
+    """Per slot: answers (count, number), and a row of state; the word of rank r by count in slot s has number r * slots + s + 1.
+
+    State holds the words learned twice or more. The others, counted as once, are one customer at one table each.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         slot = table.column("slot")[0].as_py()
         keys, (counts,), lengths = entries(table, ["i8"])
         values, (total,) = _added(keys, [counts])
-        some = total > 0
-        numbers = np.where(some, (np.cumsum(some) - 1) * slots + slot + 1, 0)
-        if len(numbers) and numbers.max() >= MOST_WORDS:
+        some = np.flatnonzero(total)
+        some = some[np.argsort(-total[some], kind="stable")]
+        numbers = np.zeros(len(values), np.int64)
+        numbers[some] = np.arange(len(some)) * slots + slot + 1
+        if len(some) and numbers.max() >= MOST_WORDS:
             raise ValueError("more distinct words than pairs can be numbered by")
         at = np.searchsorted(values, keys)
-        answers = replies(table.column("bid").to_pylist(), lengths, keys, some[at], [total[at], numbers[at].astype(np.uint32)])
-        empty = np.zeros(0, np.int64).tobytes()
-        state = {"slot": [slot], "tokens": [int(total.sum())], "words": [int(some.sum())], "counts": [total[some].tobytes()], "tables": [np.zeros(int(some.sum()), np.int64).tobytes()], "sizes": [empty], "kept": [empty]}
+        answers = replies(table.column("bid").to_pylist(), lengths, keys, numbers[at] > 0, [total[at], numbers[at].astype(np.uint32)])
+        twice = total[some][total[some] > 1]
+        none, empty = np.zeros(len(twice), np.int64).tobytes(), np.zeros(0, np.int64).tobytes()
+        state = {"slot": [slot], "tokens": [int(total.sum())], "words": [len(some)], "once": [len(some) - len(twice)], "counts": [twice.tobytes()], "fixed": [none + none], "tables": [none], "sizes": [empty], "kept": [empty]}
         return _with_kind(answers, pa.table(state, schema=WORD_STATE), WORDS)
 
     return run
 
 
-WORD_STATE = pa.schema([("slot", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("counts", pa.binary()), ("tables", pa.binary()), ("sizes", pa.binary()), ("kept", pa.binary())])
+def _fix(slots: int):
+    """Per slot of words: the tables of pairs that no slot of pairs holds, for good, as dishes and in contexts; no answers."""
+
+    def run(asked: pa.Table, state: pa.Table) -> pa.Table:
+        keys, columns, _ = entries(asked, ["i8", "i8"]) if asked.num_rows else (np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2, None)
+        rank = (keys.astype(np.int64) - 1) // slots
+        fixed = np.concatenate([np.bincount(rank, c, len(_i8(state, "counts"))).astype(np.int64) for c in columns])
+        new = {c: state.column(c) for c in state.column_names} | {"fixed": [fixed.tobytes()]}
+        return _with_kind(replies([], np.zeros(0, np.int64), keys[:0], keys[:0] > 0, []), pa.table(new, schema=WORD_STATE), WORDS)
+
+    return run
+
+
+WORD_STATE = pa.schema([("slot", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("once", pa.int64()), ("counts", pa.binary()), ("fixed", pa.binary()), ("tables", pa.binary()), ("sizes", pa.binary()), ("kept", pa.binary())])
 PAIR_STATE = pa.schema([("slot", pa.int64()), ("pairs", pa.binary()), ("counts", pa.binary()), ("tables", pa.binary()), ("sizes", pa.binary()), ("kept", pa.binary())])
 SUMS = ("customers", "tables_sum", "bends", "logs", "draws", "all_draws")
 _KIND = [("kind", pa.int32()), ("bid", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())]
@@ -179,7 +200,9 @@ def _seat_words(slots: int, fit: Fit, seed: int, keep: bool):
         keys, columns, lengths = entries(asked, ["i8", "i8"]) if asked.num_rows else (np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2, np.zeros(0, np.int64))
         rank = (keys.astype(np.int64) - 1) // slots
         counts, tables = _i8(state, "counts"), _i8(state, "tables")
-        target, context = (np.bincount(rank, c, len(counts)).astype(np.int64) for c in columns)
+        fixed = _i8(state, "fixed").reshape(2, len(counts))
+        rank = np.minimum(rank, len(counts))  # words learned once come last, and are all alike
+        target, context = (np.bincount(rank, c, len(counts) + 1).astype(np.int64)[:-1] + f for c, f in zip(columns, fixed, strict=True))
         rng = np.random.default_rng([seed, slot])
         seating = Seating(tables, _i8(state, "sizes"), fit.discount[0], rng)
         urge = np.full(len(counts), (fit.strength[0] + fit.discount[0] * max(fit.tables, fit.words)) / (fit.words + 1))
@@ -189,11 +212,12 @@ def _seat_words(slots: int, fit: Fit, seed: int, keep: bool):
             seating.leave(live)
             seating.join(live, urge[live])
         kept = np.concatenate([_i8(state, "kept"), seating.customers, seating.tables, context]) if keep else _i8(state, "kept")
-        made = [seating.customers[rank], seating.tables[rank], context[rank]]
+        made = [np.append(c, 1)[rank] for c in (seating.customers, seating.tables, context)]
         answers = replies(asked.column("bid").to_pylist(), lengths, keys, np.ones(len(keys), dtype=bool), made)
         logs, draws, all_draws = context_terms(counts, context, fit.discount[1], fit.strength[1])
-        sums = zip(SUMS, (seating.customers.sum(), seating.tables.sum(), seating.bends(), logs, draws, all_draws), strict=True)
-        new = {"slot": [slot], "tokens": state.column("tokens"), "words": state.column("words"), "counts": state.column("counts"), "tables": [seating.tables.tobytes()], "sizes": [seating.sizes.tobytes()], "kept": [kept.tobytes()]}
+        once = state.column("once")[0].as_py()
+        sums = zip(SUMS, (seating.customers.sum() + once, seating.tables.sum() + once, seating.bends(), logs, draws, all_draws), strict=True)
+        new = {c: state.column(c) for c in WORD_STATE.names} | {"tables": [seating.tables.tobytes()], "sizes": [seating.sizes.tobytes()], "kept": [kept.tobytes()]}
         return _with_kind(answers, pa.table({**new, **{k: pa.array([float(v)]) for k, v in sums}}), WORDS)
 
     return run
@@ -202,17 +226,16 @@ def _seat_words(slots: int, fit: Fit, seed: int, keep: bool):
 # --- pairs ---
 
 
-def _tokens(bid: int, rows: pa.RecordBatch, known: np.ndarray, counts: np.ndarray, numbers: np.ndarray, tokens: int, words: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    """A bundle's documents as numbers with their base scores; all numbers one after another, and whether each is learned from."""
+def _tokens(rows: pa.RecordBatch, known: np.ndarray, counts: np.ndarray, numbers: np.ndarray, tokens: int, words: int) -> pa.RecordBatch:
+    """A bundle's documents as numbers, with their base scores; in the first row, the numbers of its words that are learned twice or more."""
     bottom = math.log10(tokens + 0.5 * (words + 1))
     of_end = find(np.array([END], np.uint64), known)
     end = (int(counts[of_end[1][0]]), int(numbers[of_end[1][0]])) if len(known) and of_end[0][0] else (0, 0)
-    parts, flat, learned = [], [], []
+    parts, columns = [], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids"]
     for some in slices(iter([rows]), "text", PART_BYTES):
         split = Words(some.column(1), lower=True)
         hit, at = find(split.distinct_hashes(), known)
-        number = np.where(hit, numbers[at], 0)[split.codes] if len(known) and split.count else np.zeros(split.count, np.int64)
-        seen = np.where(hit, counts[at], 0)[split.codes] if len(known) and split.count else np.zeros(split.count, np.int64)
+        number, seen = (np.where(hit, c[at], 0)[split.codes] if len(known) and split.count else np.zeros(split.count, np.int64) for c in (numbers, counts))
         length = np.diff(split.first) + 1
         limits = np.concatenate([[0], np.cumsum(length)])
         ids = np.full(limits[-1], end[1], np.uint32)
@@ -223,11 +246,13 @@ def _tokens(bid: int, rows: pa.RecordBatch, known: np.ndarray, counts: np.ndarra
         hits = np.concatenate([[0], np.cumsum(seen > 0)])
         base = total[split.first[1:]] - total[split.first[:-1]] + math.log10(end[0] + 0.5) - length * bottom
         train = some.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        parts.append(pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(~train), pa.array(length), pa.array(hits[split.first[1:]] - hits[split.first[:-1]] + (end[0] > 0)), pa.array(base), pa.LargeListArray.from_arrays(pa.array(limits), pa.array(ids))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids"]))
-        flat.append(ids)
-        learned.append(np.repeat(train, length))
+        n_known = hits[split.first[1:]] - hits[split.first[:-1]] + (end[0] > 0)
+        parts.append(pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(~train), pa.array(length), pa.array(n_known), pa.array(base), pa.LargeListArray.from_arrays(pa.array(limits), pa.array(ids))], columns))
     whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-    return whole, np.concatenate(flat), np.concatenate(learned)
+    often = np.sort(numbers[counts > 1])
+    limits = np.full(whole.num_rows + 1, len(often))
+    limits[0] = 0
+    return pa.RecordBatch.from_arrays([*whole.columns, pa.LargeListArray.from_arrays(pa.array(limits), pa.array(often))], [*columns, "often"])
 
 
 def pairs_of(ids: np.ndarray) -> np.ndarray:
@@ -236,38 +261,70 @@ def pairs_of(ids: np.ndarray) -> np.ndarray:
     return before << np.uint64(32) | ids
 
 
+def prints(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of so many bits, at the upper end of 64."""
+    return mix(pairs) & np.uint64((1 << 64) - (1 << (64 - bits)))
+
+
+def learned_pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a bundle, how often it learns each, whether both tokens are known, and each token's place in them."""
+    lists = rows.column("ids")
+    coded = pa.array(pairs_of(lists.flatten().to_numpy()).view(np.int64)).dictionary_encode()
+    pairs, place = coded.dictionary.to_numpy(zero_copy_only=False).view(np.uint64), coded.indices.to_numpy()
+    learned = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+    counts = np.bincount(place, learned, len(pairs)).astype(np.int64)
+    return pairs, counts, (pairs >> np.uint64(32) > 0) & (pairs & np.uint64(MOST_WORDS - 1) > 0), place
+
+
 QUESTIONS = pa.schema([("kind", pa.int32()), ("slot", pa.int64()), ("bid", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary()), ("payload", pa.binary())])
 
 
-def _ask_pairs(tokens: int, words: int, fan: int, slots: int):
-    """Per bundle: its documents as numbers (kind 0), questions for its pairs (kind 1) and for its words (kind 2)."""
+def _question_rows(bid: int, asked: list[pa.RecordBatch], payload: bytes | None = None) -> pa.Table:
+    """Questions of kinds 1, 2 ..., and the payload as kind 0."""
+    out = [pa.table([pa.array(np.full(some.num_rows, kind, np.int32)), *some.columns, pa.nulls(some.num_rows, pa.binary())], schema=QUESTIONS) for kind, some in enumerate(asked, 1)]
+    if payload is not None:
+        out.append(pa.table([pa.array([0], pa.int32()), pa.array([0]), pa.array([bid]), pa.array([b""]), pa.array([b""]), pa.array([payload])], schema=QUESTIONS))
+    release_memory()
+    return pa.concat_tables(out)
+
+
+def _number_tokens(tokens: int, words: int, fan: int, bits: int):
+    """Per bundle: its documents as numbers, and the prints of its pairs."""
 
     def run(bid: int, rows: pa.RecordBatch | None, known: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
         if rows is None:
             return QUESTIONS.empty_table()
-        documents, ids, learned = _tokens(bid, rows, known, *columns, tokens, words)
-        keys, counts = _distinct(pairs_of(ids), learned.astype(np.float64))
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        real = (keys >> np.uint64(32) > 0) & (keys & np.uint64(MOST_WORDS - 1) > 0)
-        keys, counts = keys[real], counts[real]
-        of_words = np.unique(ids).astype(np.uint64)
-        of_words = of_words[of_words > 0]
-        nothing = np.zeros(len(of_words), np.int64)
-        asked = [ask(bid, keys, [counts, np.zeros(len(keys), np.uint8)], fan, mix), ask(bid, of_words, [nothing, nothing], fan, by_slot(slots))]
-        out = [pa.table({"kind": pa.array([0], pa.int32()), "slot": pa.array([0]), "bid": pa.array([bid]), "keys": pa.array([b""]), "extra": pa.array([b""]), "payload": pa.array([encode_table(documents)])}, schema=QUESTIONS)]
-        for kind, some in enumerate(asked, 1):
-            out.append(pa.table([pa.array(np.full(some.num_rows, kind, np.int32)), *some.columns, pa.nulls(some.num_rows, pa.binary())], schema=QUESTIONS))
-        release_memory()
-        return pa.concat_tables(out)
+        documents = _tokens(rows, known, *columns, tokens, words)
+        pairs, _, real, _ = learned_pairs(documents)
+        return _question_rows(bid, [ask(bid, (keys := np.unique(prints(pairs[real], bits))), [np.zeros(len(keys), np.uint8)], fan)], encode_table(documents))
 
     return run
 
 
-def _join_pairs(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Counts added up, and whether several askers stand behind a pair."""
-    values, place, often = np.unique(keys, return_inverse=True, return_counts=True)
-    return values, [np.bincount(place, columns[0], len(values)).astype(np.int64), ((np.bincount(place, columns[1], len(values)) > 0) | (often > 1)).astype(np.uint8)]
+def _several(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Prints, and 1 for those that more than one asker has."""
+    values, often = np.unique(keys, return_counts=True)
+    return values, [(often > 1).astype(np.uint8) if not columns else ((often > 1) | (np.bincount(np.searchsorted(values, keys), columns[0], len(values)) > 0)).astype(np.uint8)]
+
+
+def _ask_pairs(fan: int, slots: int, bits: int):
+    """Per bundle, which knows the prints that others have too: questions for pairs and for words, with the tables of all other pairs."""
+
+    def run(bid: int, rows: pa.RecordBatch | None, shared: np.ndarray, _: list[np.ndarray]) -> pa.Table:
+        if rows is None:
+            return QUESTIONS.empty_table()
+        pairs, counts, real, _ = learned_pairs(rows)
+        open_pairs = real & ((counts > 1) | find(prints(pairs, bits), shared)[0])
+        alone = pairs[real & ~open_pairs & (counts > 0)]
+        numbers = rows.column("often")[0].values.to_numpy().astype(np.uint64)
+        tables = []
+        for side in (alone & np.uint64(MOST_WORDS - 1), alone >> np.uint64(32)):
+            hit, at = find(side, numbers)
+            tables.append(np.bincount(at[hit], minlength=len(numbers)).astype(np.int64))
+        order = np.argsort(pairs[open_pairs])
+        return _question_rows(bid, [ask(bid, pairs[open_pairs][order], [counts[open_pairs][order]], fan, mix), ask(bid, numbers, tables, fan, by_slot(slots))])
+
+    return run
 
 
 def _words_asked(slot: int, pairs: np.ndarray, tables: np.ndarray, fan: int, slots: int) -> pa.Table:
@@ -283,8 +340,8 @@ def _first_pairs(fan: int, slots: int):
 
     def run(table: pa.Table) -> pa.Table:
         slot = table.column("slot")[0].as_py()
-        keys, (counts, several), _ = entries(table, ["i8", "u1"])
-        pairs, (total, _) = _join_pairs(keys, [counts, several])
+        keys, counts, _ = entries(table, ["i8"])
+        pairs, (total,) = _added(keys, counts)
         pairs, total = pairs[total > 0], total[total > 0]
         one = np.ones(len(pairs), np.int64)
         state = {"slot": [slot], "pairs": [pack_keys(pairs)], "counts": [total.tobytes()], "tables": [b""], "sizes": [b""], "kept": [b""], "bends": [0.0]}
@@ -334,18 +391,17 @@ def _seat_pairs(fan: int, slots: int, fit: Fit, seed: int, keep: bool):
 
 
 def _tell_pairs(samples: int):
-    """Answers to those who asked for pairs: (count, tables of each sample) unless they count a pair once and nobody else has it."""
+    """Answers to those who asked for pairs: (count, tables of each sample); none for pairs that were not learned."""
 
     def run(asked: pa.Table, state: pa.Table) -> pa.Table:
-        keys, (counts, several), lengths = entries(asked, ["i8", "u1"])
+        keys, _, lengths = entries(asked, ["i8"])
         pairs, total = unpack_keys(state.column("pairs")[0].as_py()), _i8(state, "counts")
         live = total > 1
         tables = np.ones((samples, len(pairs)), np.int64)
         tables[:, live] = _i8(state, "kept").reshape(samples, -1)
         hit, at = find(keys, pairs)
-        keep = hit & ((total[at] > 1) | (several > 0) | (total[at] != counts)) if len(pairs) else hit
         made = [total[at], *(t[at] for t in tables)] if len(pairs) else [np.zeros(len(keys), np.int64)] * (samples + 1)
-        return replies(asked.column("bid").to_pylist(), lengths, keys, keep, made)
+        return replies(asked.column("bid").to_pylist(), lengths, keys, hit, made)
 
     return run
 
@@ -368,24 +424,26 @@ def _tell_words(slots: int, samples: int):
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def probabilities(pairs: np.ndarray, single: tuple, pair: tuple, fits: list[Fit]) -> np.ndarray:
+def probabilities(pairs: np.ndarray, own: np.ndarray, single: tuple, pair: tuple, fits: list[Fit]) -> np.ndarray:
     """The averaged predictive probability of each pair.
 
-    single: numbers of words, counts, and (customers, tables, tables as a context) of each sample;
-    pair: pairs, counts, and tables of each sample.
+    single: numbers of words, counts, and (customers, tables, tables as a context) of each sample; a
+    word with a number that is not among them is learned once. pair: pairs, counts, and tables of each
+    sample; of a pair not among them, own says whether it is learned, once.
     """
     numbers, counts, states = single
     known, often, tables = pair
     w_hit, w = find(pairs & np.uint64(MOST_WORDS - 1), numbers)
     v_hit, v = find(pairs >> np.uint64(32), numbers)
     p_hit, p = find(pairs, known)
-    pick = lambda hit, values, at: np.where(hit, values[at], 0) if len(values) else np.zeros(len(hit), np.int64)
-    total, count = pick(v_hit, counts, v), pick(p_hit, often, p)
+    v_else, w_else = (pairs >> np.uint64(32) > 0).astype(np.int64), (pairs & np.uint64(MOST_WORDS - 1) > 0).astype(np.int64)
+    pick = lambda hit, values, at, other: np.where(hit, values[at], other) if len(values) else other
+    total, count = pick(v_hit, counts, v, v_else), pick(p_hit, often, p, own)
     out = np.zeros(len(pairs))
     for s, fit in enumerate(fits):
-        above = fit.single(pick(w_hit, states[3 * s], w), pick(w_hit, states[3 * s + 1], w))
+        above = fit.single(pick(w_hit, states[3 * s], w, w_else), pick(w_hit, states[3 * s + 1], w, w_else))
         d, a = fit.discount[1], fit.strength[1]
-        out += (count - d * pick(p_hit, tables[s], p) + (a + d * pick(v_hit, states[3 * s + 2], v)) * above) / (a + total)
+        out += (count - d * pick(p_hit, tables[s], p, own) + (a + d * pick(v_hit, states[3 * s + 2], v, v_else)) * above) / (a + total)
     return out / len(fits)
 
 
@@ -394,18 +452,9 @@ def _score(tokens: int, fits: list[Fit]):
         if rows is None:
             return SCORES.empty_table()
         (known, (often, *tables)), (numbers, (counts, *states)) = found
-        lists = rows.column("ids")
-        ids, limits = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-        pairs, place = np.unique(pairs_of(ids), return_inverse=True)
-        # A pair without an answer is learned from here alone, once, or not at all.
-        learned = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(limits))
-        here = np.bincount(place[learned], minlength=len(pairs)).astype(np.int64)
-        real = (pairs >> np.uint64(32) > 0) & (pairs & np.uint64(MOST_WORDS - 1) > 0)
-        hit, at = find(pairs, known)
-        own = np.where(real, here, 0)
-        count = np.where(hit, often[at], own) if len(known) else own
-        per_sample = [np.where(hit, t[at], own) if len(known) else own for t in tables]
-        logs = np.log10(probabilities(pairs, (numbers, counts, states), (pairs, count, per_sample), fits))[place]
+        limits = rows.column("ids").offsets.to_numpy()
+        pairs, here, real, place = learned_pairs(rows)
+        logs = np.log10(probabilities(pairs, np.where(real, here, 0), (numbers, counts, states), (known, often, tables), fits))[place]
         total = np.concatenate([[0.0], np.cumsum(logs)])
         n = rows.num_rows
         out = [rows.column(i) for i in range(4)]
@@ -448,8 +497,26 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     numbered = settle(bundles.mapInArrow(_ask_words(fan), ASKED), count, levels, ["i8"], _added, number, ["i8", "u4"])
     known = _totals(made["words"], {"tokens": "tokens", "words": "words"})
     fit = Fit(words=int(known["words"]))
-    questions = materialize(with_answers(bundles, numbered, ["i8", "u4"], _ask_pairs(int(known["tokens"]), fit.words, fan, slots), "kind int, slot long, bid long, keys binary, extra binary, payload binary"), "lm-questions")
-    discard(spark, mark, (questions, made["words"]))
+    bits = min(64, int(known["tokens"]).bit_length() + 8)
+    shape = "kind int, slot long, bid long, keys binary, extra binary, payload binary"
+    documents = materialize(with_answers(bundles, numbered, ["i8", "u4"], _number_tokens(int(known["tokens"]), fit.words, fan, bits), shape), "lm-documents")
+    discard(spark, mark, (documents, made["words"]))
+    of_kind = lambda df, kind: df.where(F.col("kind") == kind).select("slot", "bid", "keys", "extra")
+    held = documents.where("kind = 0").select("bid", "payload")
+
+    def decide(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        values, (shared,) = _several(keys, columns)
+        return shared[np.searchsorted(values, keys)] > 0, []
+
+    shared = answer(of_kind(documents, 1), count, ["u1"], _several, decide, [])
+    questions = materialize(with_answers(held, shared, [], _ask_pairs(fan, slots, bits), shape), "lm-questions")
+
+    def fix(asked: DataFrame) -> DataFrame:
+        made["words"] = materialize(asked.groupBy("slot").cogroup(made["words"].where("kind = 1").groupBy("slot")).applyInArrow(_fix(slots), _ddl(WORDS)), "lm-words")
+        return made["words"].where("kind = 0").select("bid", "keys", "extra")
+
+    settle(of_kind(questions, 2), count, levels, ["i8", "i8"], _added, fix, [], by_slot(slots))
+    discard(spark, mark, (documents, questions, made["words"]))
     fits: list[Fit] = []
 
     def sample(asked: DataFrame) -> DataFrame:
@@ -482,9 +549,8 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     def tell(asked: DataFrame) -> DataFrame:
         return asked.groupBy("slot").cogroup(made["words"].where("kind = 1").groupBy("slot")).applyInArrow(_tell_words(slots, SAMPLES), ANSWER)
 
-    of_kind = lambda kind: questions.where(F.col("kind") == kind).select("slot", "bid", "keys", "extra")
     of_pairs, of_words = ["i8"] * (1 + SAMPLES), ["i8"] * (1 + 3 * SAMPLES)
-    pair_answers = settle(of_kind(1), count, levels, ["i8", "u1"], _join_pairs, sample, of_pairs, mix)
-    word_answers = settle(of_kind(2), count, levels, ["i8", "i8"], _added, tell, of_words, by_slot(slots))
+    pair_answers = settle(of_kind(questions, 1), count, levels, ["i8"], _added, sample, of_pairs, mix)
+    word_answers = settle(of_kind(questions, 2), count, levels, ["i8", "i8"], _added, tell, of_words, by_slot(slots))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_several_answers(questions.where("kind = 0").select("bid", "payload"), [pair_answers, word_answers], [of_pairs, of_words], _score(int(known["tokens"]), fits), schema)
+    return with_several_answers(held, [pair_answers, word_answers], [of_pairs, of_words], _score(int(known["tokens"]), fits), schema)
