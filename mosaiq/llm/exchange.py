@@ -27,7 +27,7 @@ from .common import CHUNK_BYTES, materialize, prepare, release_memory, slices
 #: Slots that one bundle, or one group, asks.
 FAN = 48
 #: Bundles whose whole questions one task should hold; less than FAN.
-PER_BUCKET = 4
+PER_BUCKET = 8
 
 BUNDLE = "bid long, payload binary"
 
@@ -84,14 +84,53 @@ def slot_of(spread: np.ndarray, slots: int) -> np.ndarray:
     return ((spread >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _expand(blob: bytes) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    return np.frombuffer(_ZSTD.decompress(blob[8:], size) if size else b"", np.uint8)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, as most have few bytes that are not zero."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def _from_planes(raw: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, byte plane by byte plane: the upper planes are nearly all zero and compress away."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Ascending keys as differences."""
+    return _squeeze(_planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8")))
 
 
 def unpack_keys(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(_expand(blob), "<u8"), dtype=np.uint64)
+
+
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    return _squeeze(b"".join(map(_planes, columns)))
+
+
+def unpack(keys: list[bytes], extra: list[bytes], kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """All keys, the extra columns of the given numpy types, and how many keys each row had."""
+    parts = [unpack_keys(k) for k in keys]
+    counts = np.array([len(p) for p in parts], dtype=np.int64)
+    columns: list[list[np.ndarray]] = [[] for _ in kinds]
+    for n, blob in zip(counts, extra, strict=True):
+        raw, at = _expand(blob), 0
+        for out, kind in zip(columns, kinds, strict=True):
+            width = np.dtype(kind).itemsize * int(n)
+            out.append(_from_planes(raw[at : at + width], kind))
+            at += width
+    whole = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return whole, [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)], counts
 
 
 Spread = Callable[[np.ndarray], np.ndarray]
@@ -112,34 +151,10 @@ def ask(bid: int, keys: np.ndarray, columns: list[np.ndarray], slots: int, sprea
     starts = np.flatnonzero(group_starts(slot))
     stops = np.append(starts[1:], len(slot))
     blobs = [pack_keys(keys[a:b]) for a, b in zip(starts, stops, strict=True)]
-    extra = [b"".join(pack_column(c[a:b]) for c in columns) for a, b in zip(starts, stops, strict=True)]
+    extra = [pack_columns([c[a:b] for c in columns]) for a, b in zip(starts, stops, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(slot[starts]), pa.array(np.full(len(starts), bid)), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary())], schema=ASK)
 
 
-def pack_column(values: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, as most have few bytes that are not zero."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
-
-
-def unpack_column(blob: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
-def unpack(keys: list[bytes], extra: list[bytes], kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """All keys, the extra columns of the given numpy types, and how many keys each row had."""
-    counts = np.array([len(k) // 8 for k in keys], dtype=np.int64)
-    whole = np.concatenate([unpack_keys(k) for k in keys]) if keys else np.zeros(0, np.uint64)
-    columns: list[list[np.ndarray]] = [[] for _ in kinds]
-    for n, blob in zip(counts, extra, strict=True):
-        at = 0
-        for out, kind in zip(columns, kinds, strict=True):
-            width = np.dtype(kind).itemsize * int(n)
-            out.append(unpack_column(blob[at : at + width], kind))
-            at += width
-    return whole, [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True)], counts
-
-
 Combine = Callable[[np.ndarray, list[np.ndarray]], tuple[np.ndarray, list[np.ndarray]]]
 Decide = Callable[[np.ndarray, list[np.ndarray]], tuple[np.ndarray, list[np.ndarray]]]
 
@@ -156,7 +171,7 @@ def replies(bids: list[int], counts: np.ndarray, keys: np.ndarray, keep: np.ndar
     for i, bid in enumerate(bids):
         part = slice(ends[i], ends[i + 1])
         if (chosen := keep[part]).any():
-            out.append((bid, pack_keys(keys[part][chosen]), b"".join(pack_column(c[part][chosen]) for c in made)))
+            out.append((bid, pack_keys(keys[part][chosen]), pack_columns([c[part][chosen] for c in made])))
     columns = list(zip(*out, strict=True)) or [(), (), ()]
     return pa.table({"bid": pa.array(columns[0], pa.int64()), "keys": pa.array(columns[1], pa.binary()), "extra": pa.array(columns[2], pa.binary())})
 
@@ -188,7 +203,7 @@ def settle(asked: DataFrame, units: int, levels: int, kinds: list[str], combine:
         for i, bid in enumerate(left.column("bid").to_pylist()):
             mine = find(keys, asking[ends[i] : ends[i + 1]])[0]
             if mine.any():
-                out.append((bid, pack_keys(keys[mine]), b"".join(pack_column(c[mine]) for c in columns)))
+                out.append((bid, pack_keys(keys[mine]), pack_columns([c[mine] for c in columns])))
         rows = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"bid": pa.array(rows[0], pa.int64()), "keys": pa.array(rows[1], pa.binary()), "extra": pa.array(rows[2], pa.binary())})
 
@@ -202,6 +217,7 @@ def answer(asked: DataFrame, bundles: int, kinds: list[str], combine: Combine, d
     def group(table: pa.Table) -> pa.Table:
         keys, columns, counts = entries(table, kinds)
         keep, values = decide(keys, columns)
+        release_memory()
         return replies(table.column("bid").to_pylist(), counts, keys, keep, values)
 
     return settle(asked, bundles, levels_for(bundles), kinds, combine, lambda rows: rows.groupBy("slot").applyInArrow(group, ANSWER), made, spread)
@@ -234,6 +250,12 @@ def with_several_answers(bundles: DataFrame, answers: list[DataFrame], kinds: li
     return bundles.groupBy("bid").cogroup(every.groupBy("bid")).applyInArrow(group, schema)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct values."""
+    values = np.sort(values)
+    return values[group_starts(values)]
+
+
 def group_starts(*sorted_columns: np.ndarray) -> np.ndarray:
     """True where a new group of equal rows begins."""
     first = np.ones(len(sorted_columns[0]), dtype=bool)

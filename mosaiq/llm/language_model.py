@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .common import Words, discard, materialize, mix, prepare, release_memory, slices, tables_written
-from .exchange import ANSWER, ASKED, answer, ask, bundle, decode_table, encode_table, entries, find, levels_for, pack_keys, replies, settle, unpack_keys, with_answers, with_several_answers
+from .exchange import ANSWER, ASKED, answer, ask, bundle, decode_table, distinct, encode_table, entries, find, levels_for, pack_keys, replies, settle, unpack_keys, with_answers, with_several_answers
 from .seating import Seating, digamma
 
-ROUNDS, SAMPLES = 5, 3
+ROUNDS, SAMPLES = 4, 2
 #: Customers of each dish that a round reseats.
 STEPS = 6
 #: Text bytes of a bundle, and of the part that is split into words at a time.
-BUNDLE_BYTES, PART_BYTES = 8 << 20, 2 << 20
+BUNDLE_BYTES, PART_BYTES = 4 << 20, 2 << 20
 #: The end of a text, as a word that no text holds.
 END = xxhash.xxh3_64_intdigest(b" ")
 MOST_WORDS = 1 << 32
@@ -276,27 +276,33 @@ def learned_pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
     return pairs, counts, (pairs >> np.uint64(32) > 0) & (pairs & np.uint64(MOST_WORDS - 1) > 0), place
 
 
-QUESTIONS = pa.schema([("kind", pa.int32()), ("slot", pa.int64()), ("bid", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary()), ("payload", pa.binary())])
+QUESTIONS = pa.schema([("kind", pa.int32()), ("slot", pa.int64()), ("bid", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
 
 
-def _question_rows(bid: int, asked: list[pa.RecordBatch], payload: bytes | None = None) -> pa.Table:
-    """Questions of kinds 1, 2 ..., and the payload as kind 0."""
-    out = [pa.table([pa.array(np.full(some.num_rows, kind, np.int32)), *some.columns, pa.nulls(some.num_rows, pa.binary())], schema=QUESTIONS) for kind, some in enumerate(asked, 1)]
-    if payload is not None:
-        out.append(pa.table([pa.array([0], pa.int32()), pa.array([0]), pa.array([bid]), pa.array([b""]), pa.array([b""]), pa.array([payload])], schema=QUESTIONS))
-    release_memory()
-    return pa.concat_tables(out)
-
-
-def _number_tokens(tokens: int, words: int, fan: int, bits: int):
-    """Per bundle: its documents as numbers, and the prints of its pairs."""
+def _number_tokens(tokens: int, words: int):
+    """Per bundle: its documents as numbers."""
+    schema = pa.schema([("bid", pa.int64()), ("payload", pa.binary())])
 
     def run(bid: int, rows: pa.RecordBatch | None, known: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
         if rows is None:
-            return QUESTIONS.empty_table()
-        documents = _tokens(rows, known, *columns, tokens, words)
-        pairs, _, real, _ = learned_pairs(documents)
-        return _question_rows(bid, [ask(bid, (keys := np.unique(prints(pairs[real], bits))), [np.zeros(len(keys), np.uint8)], fan)], encode_table(documents))
+            return schema.empty_table()
+        documents = encode_table(_tokens(rows, known, *columns, tokens, words))
+        release_memory()
+        return pa.table([pa.array([bid], pa.int64()), pa.array([documents], pa.binary())], schema=schema)
+
+    return run
+
+
+def _ask_prints(fan: int, bits: int):
+    """Per bundle of documents as numbers: the prints of its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                pairs, _, real, _ = learned_pairs(decode_table(payload.as_py()))
+                keys = distinct(prints(pairs[real], bits))
+                yield ask(bid, keys, [np.zeros(len(keys), np.uint8)], fan)
+        release_memory()
 
     return run
 
@@ -322,7 +328,9 @@ def _ask_pairs(fan: int, slots: int, bits: int):
             hit, at = find(side, numbers)
             tables.append(np.bincount(at[hit], minlength=len(numbers)).astype(np.int64))
         order = np.argsort(pairs[open_pairs])
-        return _question_rows(bid, [ask(bid, pairs[open_pairs][order], [counts[open_pairs][order]], fan, mix), ask(bid, numbers, tables, fan, by_slot(slots))])
+        asked = [ask(bid, pairs[open_pairs][order], [counts[open_pairs][order]], fan, mix), ask(bid, numbers, tables, fan, by_slot(slots))]
+        release_memory()
+        return pa.concat_tables([pa.table([pa.array(np.full(some.num_rows, kind, np.int32)), *some.columns], schema=QUESTIONS) for kind, some in enumerate(asked, 1)])
 
     return run
 
@@ -498,18 +506,16 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     known = _totals(made["words"], {"tokens": "tokens", "words": "words"})
     fit = Fit(words=int(known["words"]))
     bits = min(64, int(known["tokens"]).bit_length() + 8)
-    shape = "kind int, slot long, bid long, keys binary, extra binary, payload binary"
-    documents = materialize(with_answers(bundles, numbered, ["i8", "u4"], _number_tokens(int(known["tokens"]), fit.words, fan, bits), shape), "lm-documents")
+    documents = materialize(with_answers(bundles, numbered, ["i8", "u4"], _number_tokens(int(known["tokens"]), fit.words), "bid long, payload binary"), "lm-documents")
     discard(spark, mark, (documents, made["words"]))
     of_kind = lambda df, kind: df.where(F.col("kind") == kind).select("slot", "bid", "keys", "extra")
-    held = documents.where("kind = 0").select("bid", "payload")
 
     def decide(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         values, (shared,) = _several(keys, columns)
         return shared[np.searchsorted(values, keys)] > 0, []
 
-    shared = answer(of_kind(documents, 1), count, ["u1"], _several, decide, [])
-    questions = materialize(with_answers(held, shared, [], _ask_pairs(fan, slots, bits), shape), "lm-questions")
+    shared = answer(documents.mapInArrow(_ask_prints(fan, bits), ASKED), count, ["u1"], _several, decide, [])
+    questions = materialize(with_answers(documents, shared, [], _ask_pairs(fan, slots, bits), "kind int, slot long, bid long, keys binary, extra binary"), "lm-questions")
 
     def fix(asked: DataFrame) -> DataFrame:
         made["words"] = materialize(asked.groupBy("slot").cogroup(made["words"].where("kind = 1").groupBy("slot")).applyInArrow(_fix(slots), _ddl(WORDS)), "lm-words")
@@ -553,4 +559,4 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     pair_answers = settle(of_kind(questions, 1), count, levels, ["i8"], _added, sample, of_pairs, mix)
     word_answers = settle(of_kind(questions, 2), count, levels, ["i8", "i8"], _added, tell, of_words, by_slot(slots))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_several_answers(held, [pair_answers, word_answers], [of_pairs, of_words], _score(int(known["tokens"]), fits), schema)
+    return with_several_answers(documents, [pair_answers, word_answers], [of_pairs, of_words], _score(int(known["tokens"]), fits), schema)
