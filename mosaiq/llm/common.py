@@ -11,6 +11,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -82,8 +83,10 @@ def discard(spark: SparkSession, since: int, keep: tuple[DataFrame, ...] = ()) -
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
             _written.remove(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round finds is let go of a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def prepare(spark: SparkSession, rows: int = 2500) -> None:

@@ -217,7 +217,6 @@ def answer(asked: DataFrame, bundles: int, kinds: list[str], combine: Combine, d
     def group(table: pa.Table) -> pa.Table:
         keys, columns, counts = entries(table, kinds)
         keep, values = decide(keys, columns)
-        release_memory()
         return replies(table.column("bid").to_pylist(), counts, keys, keep, values)
 
     return settle(asked, bundles, levels_for(bundles), kinds, combine, lambda rows: rows.groupBy("slot").applyInArrow(group, ANSWER), made, spread)

@@ -27,19 +27,20 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
 from .common import Words, discard, materialize, mix, prepare, release_memory, slices, tables_written
-from .exchange import ANSWER, ASKED, answer, ask, bundle, decode_table, distinct, encode_table, entries, find, levels_for, pack_keys, replies, settle, unpack_keys, with_answers, with_several_answers
+from .exchange import ANSWER, ASKED, BUNDLE, answer, ask, decode_table, distinct, encode_table, entries, find, levels_for, pack_keys, replies, settle, unpack_keys, with_answers, with_several_answers
 from .seating import Seating, digamma
 
 ROUNDS, SAMPLES = 4, 2
 #: Customers of each dish that a round reseats.
 STEPS = 6
-#: Text bytes of a bundle, and of the part that is split into words at a time.
-BUNDLE_BYTES, PART_BYTES = 4 << 20, 2 << 20
+#: Text bytes of a bundle.
+BUNDLE_BYTES = 4 << 20
 #: The end of a text, as a word that no text holds.
 END = xxhash.xxh3_64_intdigest(b" ")
 MOST_WORDS = 1 << 32
@@ -89,32 +90,57 @@ def context_terms(customers: np.ndarray, tables: np.ndarray, discount: float, st
 # --- words ---
 
 
-def _distinct(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sum of counted for each."""
-    coded = pa.array(keys.view(np.int64)).dictionary_encode()
-    values = coded.dictionary.to_numpy(zero_copy_only=False).view(np.uint64)
-    return values, np.bincount(coded.indices.to_numpy(), counted, len(values)).astype(np.int64)
-
-
 def _added(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Ascending distinct keys and the sums of their columns."""
     values, place = np.unique(keys, return_inverse=True)
     return values, [np.bincount(place, c, len(values)).astype(np.int64) for c in columns]
 
 
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bundles: documents as codes, each text's words and then END, which is code 0; in the first row, the hash of each code."""
+    bid = TaskContext.get().partitionId() << 24
+    for rows in slices(batches, "text", BUNDLE_BYTES):
+        words = Words(rows.column(1), lower=True)
+        limits = words.first + np.arange(len(words.first))
+        codes = np.zeros(limits[-1], np.uint32)
+        inside = np.ones(limits[-1], dtype=bool)
+        inside[limits[1:] - 1] = False
+        codes[inside] = words.codes + 1
+        hashes = np.append(np.array([END], np.uint64), words.distinct_hashes())
+        train = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        columns = [rows.column(0).cast(pa.int64()), pa.array(~train), pa.LargeListArray.from_arrays(pa.array(limits), pa.array(codes)), _in_first_row(hashes, len(train))]
+        yield pa.RecordBatch.from_pydict({"bid": pa.array([bid], pa.int64()), "payload": pa.array([encode_table(pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "codes", "hashes"]))], pa.binary())})
+        bid += 1
+    release_memory()
+
+
+def _in_first_row(values: np.ndarray, rows: int) -> pa.Array:
+    limits = np.full(rows + 1, len(values))
+    limits[0] = 0
+    return pa.LargeListArray.from_arrays(pa.array(limits), pa.array(values))
+
+
+def _of_first_row(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return rows.column(name)[0].values.to_numpy(zero_copy_only=False)
+
+
+def codes_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All codes of a bundle, the limits of its texts in them, and whether each is learned from."""
+    lists = rows.column("codes")
+    limits = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy(), limits, np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(limits))
+
+
 def _ask_words(fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, counts = [], []
-                for rows in slices(iter([decode_table(payload.as_py())]), "text", PART_BYTES):
-                    train = rows.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-                    words = Words(rows.column(1), lower=True)
-                    some, often = _distinct(words.hashes(), train[words.text_of_word()])
-                    keys += [some, np.array([END], np.uint64)]
-                    counts += [often, np.array([train.sum()], np.int64)]
-                whole, (total,) = _added(np.concatenate(keys), [np.concatenate(counts)])
-                yield ask(bid, whole, [total], fan)
+                rows = decode_table(payload.as_py())
+                codes, _, learned = codes_of(rows)
+                hashes = _of_first_row(rows, "hashes")
+                counts = np.bincount(codes[learned], minlength=len(hashes))
+                order = np.argsort(hashes)
+                yield ask(bid, hashes[order], [counts[order]], fan)
         release_memory()
 
     return run
@@ -226,39 +252,10 @@ def _seat_words(slots: int, fit: Fit, seed: int, keep: bool):
 # --- pairs ---
 
 
-def _tokens(rows: pa.RecordBatch, known: np.ndarray, counts: np.ndarray, numbers: np.ndarray, tokens: int, words: int) -> pa.RecordBatch:
-    """A bundle's documents as numbers, with their base scores; in the first row, the numbers of its words that are learned twice or more."""
-    bottom = math.log10(tokens + 0.5 * (words + 1))
-    of_end = find(np.array([END], np.uint64), known)
-    end = (int(counts[of_end[1][0]]), int(numbers[of_end[1][0]])) if len(known) and of_end[0][0] else (0, 0)
-    parts, columns = [], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids"]
-    for some in slices(iter([rows]), "text", PART_BYTES):
-        split = Words(some.column(1), lower=True)
-        hit, at = find(split.distinct_hashes(), known)
-        number, seen = (np.where(hit, c[at], 0)[split.codes] if len(known) and split.count else np.zeros(split.count, np.int64) for c in (numbers, counts))
-        length = np.diff(split.first) + 1
-        limits = np.concatenate([[0], np.cumsum(length)])
-        ids = np.full(limits[-1], end[1], np.uint32)
-        inside = np.ones(limits[-1], dtype=bool)
-        inside[limits[1:] - 1] = False
-        ids[inside] = number
-        total = np.concatenate([[0.0], np.cumsum(np.log10(seen + 0.5))])
-        hits = np.concatenate([[0], np.cumsum(seen > 0)])
-        base = total[split.first[1:]] - total[split.first[:-1]] + math.log10(end[0] + 0.5) - length * bottom
-        train = some.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        n_known = hits[split.first[1:]] - hits[split.first[:-1]] + (end[0] > 0)
-        parts.append(pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(~train), pa.array(length), pa.array(n_known), pa.array(base), pa.LargeListArray.from_arrays(pa.array(limits), pa.array(ids))], columns))
-    whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-    often = np.sort(numbers[counts > 1])
-    limits = np.full(whole.num_rows + 1, len(often))
-    limits[0] = 0
-    return pa.RecordBatch.from_arrays([*whole.columns, pa.LargeListArray.from_arrays(pa.array(limits), pa.array(often))], [*columns, "often"])
-
-
-def pairs_of(ids: np.ndarray) -> np.ndarray:
+def pairs_of(codes: np.ndarray) -> np.ndarray:
     """(token before, token) of every token as one number; what comes before a text is the end of the one before, or an end like it."""
-    before = np.concatenate([ids[-1:], ids[:-1]]).astype(np.uint64)
-    return before << np.uint64(32) | ids
+    before = np.concatenate([codes[-1:], codes[:-1]]).astype(np.uint64)
+    return before << np.uint64(32) | codes
 
 
 def prints(pairs: np.ndarray, bits: int) -> np.ndarray:
@@ -266,41 +263,57 @@ def prints(pairs: np.ndarray, bits: int) -> np.ndarray:
     return mix(pairs) & np.uint64((1 << 64) - (1 << (64 - bits)))
 
 
-def learned_pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs of a bundle, how often it learns each, whether both tokens are known, and each token's place in them."""
-    lists = rows.column("ids")
-    coded = pa.array(pairs_of(lists.flatten().to_numpy()).view(np.int64)).dictionary_encode()
+def learned_pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct pairs of a bundle: the code before, the code, the pair of numbers, how often it is learned here; and each token's pair.
+
+    A pair of numbers is 0 where a token is not known.
+    """
+    codes, _, learned = codes_of(rows)
+    coded = pa.array(pairs_of(codes).view(np.int64)).dictionary_encode()
     pairs, place = coded.dictionary.to_numpy(zero_copy_only=False).view(np.uint64), coded.indices.to_numpy()
-    learned = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
-    counts = np.bincount(place, learned, len(pairs)).astype(np.int64)
-    return pairs, counts, (pairs >> np.uint64(32) > 0) & (pairs & np.uint64(MOST_WORDS - 1) > 0), place
+    counts = np.bincount(place[learned], minlength=len(pairs))
+    numbers = _of_first_row(rows, "numbers").astype(np.uint64)
+    before, code = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(MOST_WORDS - 1)).astype(np.int64)
+    v, w = numbers[before], numbers[code]
+    return before, code, np.where((v > 0) & (w > 0), v << np.uint64(32) | w, np.uint64(0)), counts, place
 
 
 QUESTIONS = pa.schema([("kind", pa.int32()), ("slot", pa.int64()), ("bid", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary())])
 
 
 def _number_tokens(tokens: int, words: int):
-    """Per bundle: its documents as numbers."""
+    """Per bundle: its documents with their base scores, and of each code the number and whether it is learned twice or more."""
+    bottom = math.log10(tokens + 0.5 * (words + 1))
     schema = pa.schema([("bid", pa.int64()), ("payload", pa.binary())])
 
     def run(bid: int, rows: pa.RecordBatch | None, known: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
         if rows is None:
             return schema.empty_table()
-        documents = encode_table(_tokens(rows, known, *columns, tokens, words))
+        hit, at = find(_of_first_row(rows, "hashes"), known)
+        counts, numbers = (np.where(hit, c[at], 0) if len(known) else np.zeros(len(hit), np.int64) for c in columns)
+        codes, limits, _ = codes_of(rows)
+        base = _sums(np.log10(counts + 0.5)[codes], limits) - np.diff(limits) * bottom
+        made = [rows.column(0), rows.column(1), pa.array(_sums((counts > 0)[codes], limits).astype(np.int64)), pa.array(base), rows.column("codes"), _in_first_row(numbers.astype(np.uint32), rows.num_rows), _in_first_row(counts > 1, rows.num_rows)]
+        documents = encode_table(pa.RecordBatch.from_arrays(made, ["doc_id", "held_out", "n_known", "base_score", "codes", "numbers", "often"]))
         release_memory()
         return pa.table([pa.array([bid], pa.int64()), pa.array([documents], pa.binary())], schema=schema)
 
     return run
 
 
+def _sums(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return total[limits[1:]] - total[limits[:-1]]
+
+
 def _ask_prints(fan: int, bits: int):
     """Per bundle of documents as numbers: the prints of its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                pairs, _, real, _ = learned_pairs(decode_table(payload.as_py()))
-                keys = distinct(prints(pairs[real], bits))
+                pairs = learned_pairs(decode_table(payload.as_py()))[2]
+                keys = distinct(prints(pairs[pairs > 0], bits))
                 yield ask(bid, keys, [np.zeros(len(keys), np.uint8)], fan)
         release_memory()
 
@@ -319,17 +332,15 @@ def _ask_pairs(fan: int, slots: int, bits: int):
     def run(bid: int, rows: pa.RecordBatch | None, shared: np.ndarray, _: list[np.ndarray]) -> pa.Table:
         if rows is None:
             return QUESTIONS.empty_table()
-        pairs, counts, real, _ = learned_pairs(rows)
-        open_pairs = real & ((counts > 1) | find(prints(pairs, bits), shared)[0])
-        alone = pairs[real & ~open_pairs & (counts > 0)]
-        numbers = rows.column("often")[0].values.to_numpy().astype(np.uint64)
-        tables = []
-        for side in (alone & np.uint64(MOST_WORDS - 1), alone >> np.uint64(32)):
-            hit, at = find(side, numbers)
-            tables.append(np.bincount(at[hit], minlength=len(numbers)).astype(np.int64))
+        before, code, pairs, counts, _ = learned_pairs(rows)
+        open_pairs = (pairs > 0) & ((counts > 1) | find(prints(pairs, bits), shared)[0])
+        alone = (pairs > 0) & ~open_pairs & (counts > 0)
+        numbers, often = _of_first_row(rows, "numbers").astype(np.uint64), _of_first_row(rows, "often")
+        order = np.argsort(numbers[often])
+        numbers = numbers[often][order]
+        tables = [np.bincount(side[alone], minlength=len(often))[often][order] for side in (code, before)]
         order = np.argsort(pairs[open_pairs])
         asked = [ask(bid, pairs[open_pairs][order], [counts[open_pairs][order]], fan, mix), ask(bid, numbers, tables, fan, by_slot(slots))]
-        release_memory()
         return pa.concat_tables([pa.table([pa.array(np.full(some.num_rows, kind, np.int32)), *some.columns], schema=QUESTIONS) for kind, some in enumerate(asked, 1)])
 
     return run
@@ -392,7 +403,6 @@ def _seat_pairs(fan: int, slots: int, fit: Fit, seed: int, keep: bool):
         whole[~alone] = seating.tables
         kept = state.column("kept")[0].as_py() + (seating.tables.tobytes() if keep else b"")
         new = {"slot": [slot], "pairs": state.column("pairs"), "counts": state.column("counts"), "tables": [seating.tables.tobytes()], "sizes": [seating.sizes.tobytes()], "kept": [kept], "bends": [seating.bends()]}
-        release_memory()
         return _pair_rows(slot, pairs, whole, fan, slots, new)
 
     return run
@@ -432,26 +442,18 @@ def _tell_words(slots: int, samples: int):
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def probabilities(pairs: np.ndarray, own: np.ndarray, single: tuple, pair: tuple, fits: list[Fit]) -> np.ndarray:
-    """The averaged predictive probability of each pair.
+def probabilities(before: np.ndarray, code: np.ndarray, counts: np.ndarray, words: list[np.ndarray], tables: list[np.ndarray], fits: list[Fit]) -> np.ndarray:
+    """The averaged predictive probability of pairs of codes.
 
-    single: numbers of words, counts, and (customers, tables, tables as a context) of each sample; a
-    word with a number that is not among them is learned once. pair: pairs, counts, and tables of each
-    sample; of a pair not among them, own says whether it is learned, once.
+    counts: of each pair; tables: of each pair in each sample; words: of each code its count, and its
+    (customers, tables, tables as a context) in each sample.
     """
-    numbers, counts, states = single
-    known, often, tables = pair
-    w_hit, w = find(pairs & np.uint64(MOST_WORDS - 1), numbers)
-    v_hit, v = find(pairs >> np.uint64(32), numbers)
-    p_hit, p = find(pairs, known)
-    v_else, w_else = (pairs >> np.uint64(32) > 0).astype(np.int64), (pairs & np.uint64(MOST_WORDS - 1) > 0).astype(np.int64)
-    pick = lambda hit, values, at, other: np.where(hit, values[at], other) if len(values) else other
-    total, count = pick(v_hit, counts, v, v_else), pick(p_hit, often, p, own)
-    out = np.zeros(len(pairs))
+    out = np.zeros(len(code))
     for s, fit in enumerate(fits):
-        above = fit.single(pick(w_hit, states[3 * s], w, w_else), pick(w_hit, states[3 * s + 1], w, w_else))
         d, a = fit.discount[1], fit.strength[1]
-        out += (count - d * pick(p_hit, tables[s], p, own) + (a + d * pick(v_hit, states[3 * s + 2], v, v_else)) * above) / (a + total)
+        share = (a + d * words[3 * s + 3]) / (a + words[0])
+        above = fit.single(words[3 * s + 1], words[3 * s + 2])
+        out += (counts - d * tables[s]) / (a + words[0])[before] + share[before] * above[code]
     return out / len(fits)
 
 
@@ -459,14 +461,19 @@ def _score(tokens: int, fits: list[Fit]):
     def run(bid: int, rows: pa.RecordBatch | None, found: list[tuple[np.ndarray, list[np.ndarray]]]) -> pa.Table:
         if rows is None:
             return SCORES.empty_table()
-        (known, (often, *tables)), (numbers, (counts, *states)) = found
-        limits = rows.column("ids").offsets.to_numpy()
-        pairs, here, real, place = learned_pairs(rows)
-        logs = np.log10(probabilities(pairs, np.where(real, here, 0), (numbers, counts, states), (known, often, tables), fits))[place]
-        total = np.concatenate([[0.0], np.cumsum(logs)])
-        n = rows.num_rows
-        out = [rows.column(i) for i in range(4)]
-        return pa.Table.from_arrays([*out, pa.array(np.full(n, tokens)), rows.column("base_score"), pa.array(total[limits[1:]] - total[limits[:-1]])], schema=SCORES)
+        (known, of_pairs), (numbers, of_words) = found
+        limits = rows.column("codes").offsets.to_numpy()
+        before, code, pairs, here, place = learned_pairs(rows)
+        # A pair without an answer is learned from here alone, once, or not at all; so is a word, anywhere.
+        hit, at = find(pairs, known)
+        own = np.where(pairs > 0, here, 0)
+        counts, *tables = (np.where(hit, c[at], own) if len(known) else own for c in of_pairs)
+        mine = _of_first_row(rows, "numbers").astype(np.uint64)
+        hit, at = find(mine, numbers)
+        words = [np.where(hit, c[at], mine > 0) if len(numbers) else (mine > 0).astype(np.int64) for c in of_words]
+        logs = np.log10(probabilities(before, code, counts, words, tables, fits))[place]
+        out = [rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(limits)), rows.column("n_known"), pa.array(np.full(rows.num_rows, tokens)), rows.column("base_score"), pa.array(_sums(logs, limits))]
+        return pa.Table.from_arrays(out, schema=SCORES)
 
     return run
 
@@ -491,7 +498,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     prepare(spark)
     mark = tables_written()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    bundles = bundle(rows, "text", "lm-bundles", BUNDLE_BYTES)
+    bundles = materialize(rows.mapInArrow(_spell, BUNDLE), "lm-bundles")
     count = bundles.count()
     levels = levels_for(count)
     fan = exchange.FAN
@@ -503,6 +510,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
         return made["words"].where("kind = 0").select("bid", "keys", "extra")
 
     numbered = settle(bundles.mapInArrow(_ask_words(fan), ASKED), count, levels, ["i8"], _added, number, ["i8", "u4"])
+    discard(spark, mark, (bundles, made["words"]))
     known = _totals(made["words"], {"tokens": "tokens", "words": "words"})
     fit = Fit(words=int(known["words"]))
     bits = min(64, int(known["tokens"]).bit_length() + 8)
@@ -517,6 +525,8 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     shared = answer(documents.mapInArrow(_ask_prints(fan, bits), ASKED), count, ["u1"], _several, decide, [])
     questions = materialize(with_answers(documents, shared, [], _ask_pairs(fan, slots, bits), "kind int, slot long, bid long, keys binary, extra binary"), "lm-questions")
 
+    discard(spark, mark, (documents, questions, made["words"]))
+
     def fix(asked: DataFrame) -> DataFrame:
         made["words"] = materialize(asked.groupBy("slot").cogroup(made["words"].where("kind = 1").groupBy("slot")).applyInArrow(_fix(slots), _ddl(WORDS)), "lm-words")
         return made["words"].where("kind = 0").select("bid", "keys", "extra")

@@ -75,11 +75,13 @@ class Seating:
         return np.searchsorted(self.ends, self.start[who] + (self.rng.random(len(who)) * self.customers[who]).astype(np.int64), side="right")
 
     def _rebuild(self, opened: np.ndarray) -> None:
-        """Empty tables go, and each dish in opened gets a table of one customer."""
-        some = self.sizes > 0
-        owner, sizes = np.concatenate([self.owner[some], opened]), np.concatenate([self.sizes[some], np.ones(len(opened), np.int64)])
-        order = np.argsort(owner, kind="stable")
-        self.owner, self.sizes = owner[order], sizes[order]
+        """Empty tables go, and each dish in opened, which ascends, gets a table of one customer."""
+        if not self.sizes.all():
+            some = self.sizes > 0
+            self.owner, self.sizes = self.owner[some], self.sizes[some]
+        if len(opened):
+            at = np.searchsorted(self.owner, opened, side="right")
+            self.owner, self.sizes = np.insert(self.owner, at, opened), np.insert(self.sizes, at, 1)
         self._index()
 
     def leave(self, who: np.ndarray) -> np.ndarray:
@@ -111,29 +113,43 @@ class Seating:
 
     def change(self, target: np.ndarray, urge: np.ndarray) -> None:
         """Customers come or go until each dish has its target."""
-        for _ in range(TOGETHER):
-            if not len(more := np.flatnonzero(self.customers < target)):
-                break
-            self.join(more, urge[more])
-        for _ in range(TOGETHER):
-            if not len(less := np.flatnonzero(self.customers > target)):
-                break
-            self.leave(less)
-            self._rebuild(less[:0])
-        far = np.flatnonzero(self.customers != target)
-        if len(far):
-            first = np.cumsum(self.tables) - self.tables
-            parts, at = [], 0
-            for i in far:
-                a, b = first[i], first[i] + self.tables[i]
-                sizes, step = self.sizes[a:b], int(target[i] - self.customers[i])
-                new = seat_many(sizes, step, float(urge[i]), self.discount, self.rng) if step > 0 else sizes - self.rng.multivariate_hypergeometric(sizes, -step, method="marginals")
-                new = new[new > 0]
-                parts += [self.sizes[at:a], new]
-                at, self.tables[i], self.customers[i] = b, len(new), target[i]
-            self.sizes = np.concatenate([*parts, self.sizes[at:]])
-            self.owner = np.repeat(np.arange(len(self.tables)), self.tables)
-            self._index()
+        for turn in range(TOGETHER):
+            off = np.flatnonzero(self.customers != target)
+            if not len(off):
+                return
+            if turn % 4 == 3 and 2 * len(off) < len(target):
+                return self._change_some(off, target[off], urge[off])
+            more = self.customers[off] < target[off]
+            if not more.all():
+                self.leave(off[~more])
+                self._rebuild(off[:0])
+            if more.any():
+                self.join(off[more], urge[off[more]])
+        first = np.cumsum(self.tables) - self.tables
+        parts, at = [], 0
+        for i in np.flatnonzero(self.customers != target):
+            a, b = first[i], first[i] + self.tables[i]
+            sizes, step = self.sizes[a:b], int(target[i] - self.customers[i])
+            new = seat_many(sizes, step, float(urge[i]), self.discount, self.rng) if step > 0 else sizes - self.rng.multivariate_hypergeometric(sizes, -step, method="marginals")
+            new = new[new > 0]
+            parts += [self.sizes[at:a], new]
+            at, self.tables[i], self.customers[i] = b, len(new), target[i]
+        self.sizes = np.concatenate([*parts, self.sizes[at:]])
+        self.owner = np.repeat(np.arange(len(self.tables)), self.tables)
+        self._index()
+
+    def _change_some(self, dishes: np.ndarray, target: np.ndarray, urge: np.ndarray) -> None:
+        """change() for a few dishes, without the others being moved about."""
+        chosen = np.zeros(len(self.tables), dtype=bool)
+        chosen[dishes] = True
+        mine = chosen[self.owner]
+        some = Seating(self.tables[dishes], self.sizes[mine], self.discount, self.rng)
+        some.change(target, urge)
+        owner = np.concatenate([self.owner[~mine], dishes[some.owner]])
+        order = np.argsort(owner, kind="stable")
+        self.owner, self.sizes = owner[order], np.concatenate([self.sizes[~mine], some.sizes])[order]
+        self.tables[dishes], self.customers[dishes] = some.tables, some.customers
+        self._index()
 
     def bends(self) -> float:
         """What the seating says about the discount: the expected sum of 1 - z over all but the first customer of each table."""
