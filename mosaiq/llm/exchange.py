@@ -118,6 +118,11 @@ def pack_columns(columns: list[np.ndarray]) -> bytes:
     return _squeeze(b"".join(map(_planes, columns)))
 
 
+def unpack_columns(blob: bytes, kind: str) -> np.ndarray:
+    """The one column that was packed."""
+    return _from_planes(_expand(blob), kind)
+
+
 def unpack(keys: list[bytes], extra: list[bytes], kinds: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """All keys, the extra columns of the given numpy types, and how many keys each row had."""
     parts = [unpack_keys(k) for k in keys]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .common import Words, discard, materialize, mix, prepare, release_memory, slices, tables_written
-from .exchange import ANSWER, ASKED, BUNDLE, answer, ask, decode_table, distinct, encode_table, entries, find, levels_for, pack_keys, replies, settle, unpack_keys, with_answers, with_several_answers
+from .exchange import ANSWER, ASKED, BUNDLE, answer, ask, decode_table, distinct, encode_table, entries, find, levels_for, pack_columns, pack_keys, replies, settle, unpack_columns, unpack_keys, with_answers, with_several_answers
 from .seating import Seating, digamma
 
 ROUNDS, SAMPLES = 4, 2
@@ -101,19 +101,27 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bid = TaskContext.get().partitionId() << 24
     for rows in slices(batches, "text", BUNDLE_BYTES):
         words = Words(rows.column(1), lower=True)
+        # Codes by falling frequency, which keeps them short.
+        order = np.argsort(-np.bincount(words.codes, minlength=len(words.dictionary)), kind="stable")
+        code = np.empty(len(order), np.uint32)
+        code[order] = np.arange(1, len(order) + 1)
         limits = words.first + np.arange(len(words.first))
         codes = np.zeros(limits[-1], np.uint32)
         inside = np.ones(limits[-1], dtype=bool)
         inside[limits[1:] - 1] = False
-        codes[inside] = words.codes + 1
-        hashes = np.append(np.array([END], np.uint64), words.distinct_hashes())
+        codes[inside] = code[words.codes]
+        hashes = np.append(np.array([END], np.uint64), words.distinct_hashes()[order])
         train = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        columns = [rows.column(0).cast(pa.int64()), pa.array(~train), pa.LargeListArray.from_arrays(pa.array(limits), pa.array(codes)), _in_first_row(hashes, len(train))]
-        yield pa.RecordBatch.from_pydict({"bid": pa.array([bid], pa.int64()), "payload": pa.array([encode_table(pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "codes", "hashes"]))], pa.binary())})
+        columns = [rows.column(0).cast(pa.int64()), pa.array(~train), pa.array(np.diff(limits)), _blob(pack_columns([codes]), len(train)), _in_first_row(hashes, len(train))]
+        yield pa.RecordBatch.from_pydict({"bid": pa.array([bid], pa.int64()), "payload": pa.array([encode_table(pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "codes", "hashes"]))], pa.binary())})
         bid += 1
     release_memory()
 
 
+def _blob(value: bytes, rows: int) -> pa.Array:
+    return pa.array([value, *[None] * (rows - 1)], pa.binary())
+
+
 def _in_first_row(values: np.ndarray, rows: int) -> pa.Array:
     limits = np.full(rows + 1, len(values))
     limits[0] = 0
@@ -126,9 +134,8 @@ def _of_first_row(rows: pa.RecordBatch, name: str) -> np.ndarray:
 
 def codes_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All codes of a bundle, the limits of its texts in them, and whether each is learned from."""
-    lists = rows.column("codes")
-    limits = lists.offsets.to_numpy()
-    return lists.flatten().to_numpy(), limits, np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(limits))
+    limits = np.concatenate([[0], np.cumsum(rows.column("n_tokens").to_numpy())])
+    return unpack_columns(rows.column("codes")[0].as_py(), "u4"), limits, np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(limits))
 
 
 def _ask_words(fan: int):
@@ -293,8 +300,8 @@ def _number_tokens(tokens: int, words: int):
         counts, numbers = (np.where(hit, c[at], 0) if len(known) else np.zeros(len(hit), np.int64) for c in columns)
         codes, limits, _ = codes_of(rows)
         base = _sums(np.log10(counts + 0.5)[codes], limits) - np.diff(limits) * bottom
-        made = [rows.column(0), rows.column(1), pa.array(_sums((counts > 0)[codes], limits).astype(np.int64)), pa.array(base), rows.column("codes"), _in_first_row(numbers.astype(np.uint32), rows.num_rows), _in_first_row(counts > 1, rows.num_rows)]
-        documents = encode_table(pa.RecordBatch.from_arrays(made, ["doc_id", "held_out", "n_known", "base_score", "codes", "numbers", "often"]))
+        made = [*rows.columns[:4], pa.array(_sums((counts > 0)[codes], limits).astype(np.int64)), pa.array(base), _in_first_row(numbers.astype(np.uint32), rows.num_rows), _in_first_row(counts > 1, rows.num_rows)]
+        documents = encode_table(pa.RecordBatch.from_arrays(made, [*rows.schema.names[:4], "n_known", "base_score", "numbers", "often"]))
         release_memory()
         return pa.table([pa.array([bid], pa.int64()), pa.array([documents], pa.binary())], schema=schema)
 
@@ -462,7 +469,7 @@ def _score(tokens: int, fits: list[Fit]):
         if rows is None:
             return SCORES.empty_table()
         (known, of_pairs), (numbers, of_words) = found
-        limits = rows.column("codes").offsets.to_numpy()
+        limits = np.concatenate([[0], np.cumsum(rows.column("n_tokens").to_numpy())])
         before, code, pairs, here, place = learned_pairs(rows)
         # A pair without an answer is learned from here alone, once, or not at all; so is a word, anywhere.
         hit, at = find(pairs, known)
@@ -472,7 +479,7 @@ def _score(tokens: int, fits: list[Fit]):
         hit, at = find(mine, numbers)
         words = [np.where(hit, c[at], mine > 0) if len(numbers) else (mine > 0).astype(np.int64) for c in of_words]
         logs = np.log10(probabilities(before, code, counts, words, tables, fits))[place]
-        out = [rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(limits)), rows.column("n_known"), pa.array(np.full(rows.num_rows, tokens)), rows.column("base_score"), pa.array(_sums(logs, limits))]
+        out = [rows.column("doc_id"), rows.column("held_out"), rows.column("n_tokens"), rows.column("n_known"), pa.array(np.full(rows.num_rows, tokens)), rows.column("base_score"), pa.array(_sums(logs, limits))]
         return pa.Table.from_arrays(out, schema=SCORES)
 
     return run
