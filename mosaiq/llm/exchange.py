@@ -44,27 +44,28 @@ def decode_table(blob: bytes) -> pa.RecordBatch:
         return reader.read_next_batch()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition in batches of about limit bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for piece in slices(batches, text, limit):
+        held.append(piece)
+        size += piece.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def bundle(rows: DataFrame, text: str, label: str, limit: int = CHUNK_BYTES) -> DataFrame:
     """rows in bundles of about limit bytes of text, written to the scratch folder."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bid = TaskContext.get().partitionId() << 24
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_pydict({"bid": pa.array([bid], pa.int64()), "payload": pa.array([encode_table(whole)], pa.binary())})
-
-        for piece in slices(batches, text, limit):
-            held.append(piece)
-            size += piece.nbytes
-            if size >= limit:
-                yield out()
-                bid, held, size = bid + 1, [], 0
-        if held:
-            yield out()
-        held = []
+        for whole in gathered(batches, text, limit):
+            yield pa.RecordBatch.from_pydict({"bid": pa.array([bid], pa.int64()), "payload": pa.array([encode_table(whole)], pa.binary())})
+            bid += 1
         release_memory()
 
     prepare(rows.sparkSession)

@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import Words, discard, materialize, mix, prepare, release_memory, slices, tables_written
-from .exchange import ANSWER, ASKED, BUNDLE, answer, ask, decode_table, distinct, encode_table, entries, find, levels_for, pack_columns, pack_keys, replies, settle, unpack_columns, unpack_keys, with_answers, with_several_answers
+from .common import Words, discard, materialize, mix, prepare, release_memory, tables_written
+from .exchange import ANSWER, ASKED, BUNDLE, answer, ask, decode_table, distinct, encode_table, entries, find, gathered, levels_for, pack_columns, pack_keys, replies, settle, unpack_columns, unpack_keys, with_answers, with_several_answers
 from .seating import Seating, digamma
 
 ROUNDS, SAMPLES = 4, 2
 #: Customers of each dish that a round reseats.
-STEPS = 6
+STEPS = 4
 #: Text bytes of a bundle.
 BUNDLE_BYTES = 4 << 20
 #: The end of a text, as a word that no text holds.
@@ -99,7 +99,7 @@ def _added(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, lis
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bundles: documents as codes, each text's words and then END, which is code 0; in the first row, the hash of each code."""
     bid = TaskContext.get().partitionId() << 24
-    for rows in slices(batches, "text", BUNDLE_BYTES):
+    for rows in gathered(batches, "text", BUNDLE_BYTES):
         words = Words(rows.column(1), lower=True)
         # Codes by falling frequency, which keeps them short.
         order = np.argsort(-np.bincount(words.codes, minlength=len(words.dictionary)), kind="stable")
