@@ -10,18 +10,46 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-# The openings of public licence texts, then short lines that name a licence.
+_BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TWO = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU_HEADER = """This {thing} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version.
+This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details.
+You should have received a copy of the GNU {kind} along with this {thing}."""
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+
+
+def _gnu(kind: str, version: str, thing: str = "program") -> str:
+    old = version.startswith("2")
+    return _GNU_HEADER.format(kind=kind, version=version, thing=thing, stop=";" if old else ":", comma=";" if old else ",")
+
+
+# The notices that public licences ask for, whole where they are short, then their openings and short lines that name a licence.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.",
-    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License.",
-    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License.",
-    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "Apache-2.0 opening": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "Apache-2.0 file": 'Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.',
+    "MIT": _MIT_GRANT + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "MIT grant": _MIT_GRANT,
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-2-Clause": f"{_BSD_OPENING} {_BSD_TWO} {_BSD_END}",
+    "BSD-2-Clause opening": _BSD_OPENING,
+    "BSD-3-Clause": f"{_BSD_OPENING} {_BSD_TWO} {_BSD_THIRD} {_BSD_END}",
+    "GPL-2.0": _gnu("General Public License", "2"),
+    "GPL-3.0": _gnu("General Public License", "3"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "library"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3", "library"),
+    "AGPL-3.0": _gnu("Affero General Public License", "3"),
+    "GPL-2.0 file": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "GPL-3.0 file": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "LGPL-2.1 file": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "LGPL-3.0 file": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "AGPL-3.0 file": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MPL-2.0 file": "Mozilla Public License Version 2.0 1. Definitions",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Proprietary": "All rights reserved.",
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
@@ -46,9 +74,9 @@ TEMPLATES = {
 }
 TEMPLATES |= {f"CC-{x}-4.0 short": f"Licensed under CC {x} 4.0." for x in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")}
 TEMPLATES |= {f"{x} SPDX": f"SPDX-License-Identifier: {x}" for x in sorted({k.split(" ")[0] for k in TEMPLATES} - {"Proprietary"})}
-#: A licence whose opening is another's too: that other one, and what only its text goes on to say.
-FULLER = {"BSD-2-Clause": ("BSD-3-Clause", r"(?i)neither\s+the\s+names?\b")}
-TRIGGERS = r"licen[cs]e|copyright|permission|redistribut|public domain|rights reserved|spdx"
+#: What says nothing more than that rights are held; any licence in the same file goes before it.
+WEAKEST = "Proprietary"
+TRIGGERS = r"licen[cs]e|copyright|permission|redistribut|public domain|rights reserved|spdx|warrant|liab|free software"
 FILE_NAMES = r"^(licen[cs]e|copying|notice|unlicense)(\..*)?$"
 LEAST_COSINE = 0.6
 #: A word that fewer than one in so many headers have weighs as if one in so many had it, at any size of the corpus.
@@ -66,23 +94,41 @@ def name_words(template: str, text: str) -> set[str]:
     return {w for w in words(template.split(" ")[0]) & words(text) if "spdx" in words(text) or not w.isdigit()}
 
 
+def header_texts(text: Column) -> Column:
+    """What of a text may state a licence, as distinct strings of words.
+
+    Lines that speak of licences, one by one; paragraphs that do, however their lines are broken
+    and commented; and all such paragraphs of the text together, which is the header or the licence
+    file as a whole. A paragraph ends where a line has no letter or digit.
+    """
+    speaks = lambda x: F.lower(x).rlike(TRIGGERS)
+    plain = lambda x: F.array_join(tokens(x), " ")
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(whole, "\n"), speaks)
+    paragraphs = F.transform(F.filter(F.split(whole, r"\n(?:[^\p{L}\p{N}\n]*\n)+"), speaks), plain)
+    together = F.when(F.size(paragraphs) > 1, F.array(F.array_join(paragraphs, " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(speaks(whole), F.array_distinct(F.concat(F.transform(lines, plain), paragraphs, together))).otherwise(F.array().cast("array<string>"))
+
+
 def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """The licence of every file; one row per row of files.
 
-    Columns: doc_id, path, own_license and own_score (best template of any line that speaks of
-    licences, by cosine), license (own or inherited), license_from ("own", "directory" or null),
-    license_dir (the directory it comes from). A file without one of its own inherits from the
-    nearest directory above it, its own first, that holds a licence file (FILE_NAMES) with a
-    match; of several the smallest licence name counts. A template that names its licence matches
-    only lines with that name (name_words), whatever else they share. All lines of a text are looked at. A null
+    Columns: doc_id, path, own_license and own_score (best template of any of the file's
+    header_texts(), by cosine of TF-IDF), license (own or inherited), license_from ("own",
+    "directory" or null), license_dir (the directory it comes from). A file without one of its own
+    inherits from the nearest directory above it, its own first, that holds a licence file
+    (FILE_NAMES) with a match; of several the smallest licence name counts. A template that names
+    its licence matches only what holds that name (name_words), whatever else they share, and
+    WEAKEST counts only where nothing else matches. Whole texts are looked at, however long. A null
     text has no licence; a null path inherits nothing; ties of score go to the smaller name;
-    repeated rows are judged one by one; an empty table gives an empty result.
+    repeated rows are judged one by one; other columns are ignored; an empty table gives an empty
+    result.
     """
     templates = TEMPLATES if templates is None else templates
     spark = files.sparkSession
-    rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.lower(x).rlike(TRIGGERS)).alias("lines"), *(F.coalesce(F.col(text_col).rlike(more), F.lit(False)).alias(f"more {name}") for name, (_, more) in FULLER.items()))
+    rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), header_texts(F.col(text_col)).alias("lines"))
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "licence-rows")
-    # Headers are the distinct lines; copies of one cost a single row.
+    # Headers are distinct; copies of one cost a single row.
     headers = materialize(rows.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("uses")), "licence-headers")
     vocabulary = spark.createDataFrame(sorted({(k.split(" ")[0], k, v) for k, v in templates.items()}), "license string, template string, text string")
     known = vocabulary.select("license", "template", F.explode(tokens(F.col("text"))).alias("token")).groupBy("license", "template", "token").agg(F.count("*").alias("tf"))
@@ -101,13 +147,11 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     # The templates are a fixed list of a few hundred terms, so their side is small whatever the corpus.
     dots = weighed.join(F.broadcast(known), "token").groupBy("line", "license", "template").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"), F.sum("needed").alias("named"), F.max("names").alias("names")).where("named = names")
     scored = dots.join(norms, "line").select("line", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least_cosine)
-    best = scored.groupBy("line").agg(F.max(F.struct(F.col("score"))).alias("top"), F.collect_set(F.struct("score", "license")).alias("all"))
-    best = materialize(best.select("line", F.col("top.score").alias("score"), F.array_min(F.transform(F.filter("all", lambda x: x["score"] == F.col("top.score")), lambda x: x["license"])).alias("license")), "licence-matches")
-    per_row = rows.select("row_id", F.explode("lines").alias("line")).join(best, "line").groupBy("row_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
-    found = F.col("m.license")
-    for name, (other, _) in FULLER.items():
-        found = F.when((F.col("m.license") == name) & F.col(f"more {name}"), F.lit(other)).otherwise(found)
-    own = materialize(rows.drop("lines").join(per_row, "row_id", "left").select("row_id", "doc_id", "path", found.alias("own_license"), (-F.col("m.s")).alias("own_score")), "licence-own")
+    # Least first: the weakest last, then by falling score, then by name.
+    rank = F.struct((F.col("license") == WEAKEST).alias("weak"), (-F.col("score")).alias("s"), "license")
+    best = materialize(scored.groupBy("line").agg(F.min(rank).alias("m")), "licence-matches")
+    per_row = rows.select("row_id", F.explode("lines").alias("line")).join(best, "line").groupBy("row_id").agg(F.min("m").alias("m"))
+    own = materialize(rows.drop("lines").join(per_row, "row_id", "left").select("row_id", "doc_id", "path", F.col("m.license").alias("own_license"), (-F.col("m.s")).alias("own_score")), "licence-own")
     parts = F.split("path", "/")
     directory = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
     holders = own.where(F.col("own_license").isNotNull() & F.lower(F.element_at(parts, -1)).rlike(FILE_NAMES)).select(directory.alias("dir"), "own_license").groupBy("dir").agg(F.min("own_license").alias("dir_license"))
