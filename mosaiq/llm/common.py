@@ -105,6 +105,22 @@ def fold(key: str | Column, parts: int) -> Column:
     return F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % parts
 
 
+def rows_kept(rows: DataFrame, verdicts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows whose verdict (doc_id, text_hash, kept) is to keep them; text_hash is the xxhash64 of the text, "" for null.
+
+    An id alone says who goes, unless rows share it and differ, or it is null: then the text tells.
+    """
+    verdicts = materialize(verdicts.select("doc_id", "text_hash", "kept"), "verdicts")
+    ids = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
+    gone = materialize(ids.where("NOT some").select(F.col("doc_id").alias("bad id")), "rejected")
+    unclear = verdicts.where("NOT kept").join(ids.where("some AND NOT every").select("doc_id"), "doc_id", "left_semi").unionByName(verdicts.where("NOT kept AND doc_id IS NULL"))
+    bad = materialize(unclear.select(F.col("doc_id").alias("bad id"), F.col("text_hash").alias("bad hash")).distinct(), "unclear")
+    rest = rows.join(gone, rows[id_col] == gone["bad id"], "left_anti")
+    if bad.isEmpty():
+        return rest
+    return rest.join(bad, rest[id_col].eqNullSafe(bad["bad id"]) & (F.xxhash64(F.coalesce(rest[text_col], F.lit(""))) == bad["bad hash"]), "left_anti")
+
+
 def words_column(text: Column) -> Column:
     """The words of a text as an array; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

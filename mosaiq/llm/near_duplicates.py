@@ -2,15 +2,17 @@
 
 1. A document's set of word shingles becomes a signature of COORDINATES minima; documents with the
    same set are one class from here on, so copies cost one row each.
-2. Every class is posted under its (coordinate, value) pairs, and the bundles learn from the
-   buckets of the hash space how many classes have each pair. Pairs that nobody else has can't
-   collide. A class with fewer shared pairs than the match threshold is skipped; any other posts
-   its rarest shared pairs only: two classes that agree on the threshold meet in one of them.
-3. Classes that meet form neighbourhoods. Within one, collisions over whole signatures are counted,
-   block against block, and pairs at the threshold are confirmed on the full sets. In a very large
-   one, blocks first meet a few pivots only, and what shares posts and is not joined by then goes on.
-   A task returns a spanning forest of its links, never all pairs of a group.
-4. Components of the links.
+2. Every class is posted under its (coordinate, value) pairs, and the bundles learn from the slots
+   of the hash space how many classes have each pair: the lengths of the posting lists. Lists of
+   one can't collide. Prefix: a class keeps its shortest lists only, all but threshold - 1 of those
+   it shares; two classes that agree on the threshold meet in one of them. Skip: a class that
+   shares fewer lists than the threshold is left out.
+3. In every list, each class is merged with the list's first one: collisions are counted over both
+   signatures, and pairs at the threshold are confirmed on the full sets. That is linear.
+4. Skip: a list whose classes are in one component by now has nothing to add. In any other, classes
+   of different components are merged in the same way, block against block, so that a list of any
+   length is split over tasks. Those that collide with none go; the rest are confirmed.
+5. Components of the links. A task returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import Words, materialize, mix, odd_numbers, prepare, release_memory, slices, window_hashes
+from .common import Words, discard, materialize, mix, odd_numbers, prepare, release_memory, rows_kept, slices, tables_written, window_hashes
 from .components import components
 from .exchange import ASKED, BUNDLE, answer, ask, decode_table, encode_table, find, group_starts, with_answers
 
@@ -32,13 +34,8 @@ COORDINATES = 64
 #: At a similarity of 0.75, 64 coordinates agree on fewer than 30 with a probability near 1e-6.
 MATCHES = 30
 SHINGLE = 5
-#: Classes that one task compares with one another.
-BLOCK = 512
-#: A neighbourhood of so many blocks is compared block against block at once, so a member meets at most WHOLE * BLOCK others.
-WHOLE = 8
-#: Members of a larger one that all its blocks are compared with, and how often that is done.
-PIVOTS = 16
-TURNS = 2
+#: Classes, and shingles of classes, that one task holds on a side.
+BLOCK, BLOCK_SHINGLES = 512, 4 << 20
 ROWS_PER_BUNDLE = 10_000
 
 
@@ -87,7 +84,7 @@ def _sign(width: int):
                 blobs[i] = rows[at].tobytes()
                 key1[i] = np.add.reduce(mix(sets[i] ^ np.uint64(77))).view(np.int64)
                 key2[i] = np.add.reduce(mix(sets[i] + np.uint64(99))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(key1), pa.array(key2), pa.array(blobs, pa.binary())], ["doc_id", "n_shingles", "key1", "key2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sizes), pa.array(key1), pa.array(key2), pa.array(blobs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "key1", "key2", "signature"])
         release_memory()
 
     return run
@@ -135,7 +132,7 @@ def _shared(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, li
 
 
 def _prefixes(matches: int):
-    schema = pa.schema([("rep", pa.int64()), ("signature", pa.binary()), ("posts", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("posts", pa.list_(pa.int64()))])
 
     def run(bid: int, rows: pa.RecordBatch | None, keys: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
         if rows is None or not len(keys):
@@ -197,31 +194,58 @@ def spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
     return [(int(i), int(label[i])) for i in live if label[i] != i]
 
 
-def _compare(least: Fraction, matches: int):
+def collisions(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many coordinates each row of left has in common with each row of right."""
+    out = np.zeros((len(left), len(right)), dtype=np.uint8)
+    for k in range(COORDINATES):
+        out += left[:, None, k] == right[None, :, k]
+    return out
+
+
+def _sides(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each comparison in the table: its rows, ordered, and a matrix of which pairs of them it is to look at."""
+    case, side, node = (table.column(c).to_numpy() for c in ("case", "side", "node"))
+    group = table.column("component").to_numpy()
+    order = np.lexsort((node, side, case))
+    at = np.flatnonzero(group_starts(case[order])) if len(order) else []
+    for a, b in zip(at, [*at[1:], len(order)], strict=True):
+        rows = order[a:b]
+        # Sides 0 and 1 meet each other, rows of side 2 one another; never within a component.
+        meet = (side[rows][:, None] != side[rows][None, :]) | (side[rows] == 2)[:, None]
+        yield rows, np.triu(meet & (group[rows][:, None] != group[rows][None, :]), 1)
+
+
+def _collide(matches: int):
+    """The rows of each comparison that collide with another often enough: (post, node, other side's block)."""
+    schema = pa.schema([("case", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("component", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [np.zeros(0, np.int64)]
+        signature = _matrix(table.column("signature"))
+        for rows, meet in _sides(table):
+            if meet.any():
+                close = meet & (collisions(signature[rows], signature[rows]) >= matches)
+                parts.append(rows[close.any(axis=0) | close.any(axis=1)])
+        release_memory()
+        return table.select(schema.names).take(pa.array(np.concatenate(parts))).cast(schema)
+
+    return run
+
+
+def _confirm(least: Fraction, matches: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        rep, area = table.column("rep").to_numpy(), table.column("area").to_numpy()
-        block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
-        order = np.lexsort((rep, block, area))
-        signature, sets = table.column("signature").to_pylist(), table.column("shingles").to_pylist()
+        node, sets = table.column("node").to_numpy(), table.column("shingles").to_pylist()
+        signature = _matrix(table.column("signature"))
         links: list[tuple[int, int]] = []
-        at = np.flatnonzero(group_starts(area[order], low[order], high[order]) if len(order) else [])
-        for a, b in zip(at, [*at[1:], len(order)], strict=True):
-            rows = order[a:b]
-            if len(rows) < 2:
-                continue
-            matrix = np.frombuffer(b"".join(signature[i] for i in rows), np.uint32).reshape(-1, COORDINATES)
-            agree = np.zeros((len(rows), len(rows)), dtype=np.uint8)
-            for k in range(COORDINATES):
-                agree += matrix[:, None, k] == matrix[None, :, k]
-            close = np.triu(agree >= matches, 1)
-            if low[rows[0]] != high[rows[0]]:  # pairs inside a block belong to that block's own task
-                close &= block[rows][:, None] != block[rows][None, :]
+        for rows, meet in _sides(table):
+            close = meet & (collisions(signature[rows], signature[rows]) >= matches)
             if close.any():
                 near = confirmed([np.frombuffer(sets[i], np.uint64) for i in rows], close, least)
-                links += [(int(rep[rows[i]]), int(rep[rows[j]])) for i, j in spanning_links(near)]
+                links += [(int(node[rows[i]]), int(node[rows[j]])) for i, j in spanning_links(near)]
         a, b = zip(*links, strict=True) if links else ((), ())
+        release_memory()
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
@@ -230,103 +254,119 @@ def _compare(least: Fraction, matches: int):
 def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [x.tobytes() for x in shingle_sets(batch.column(batch.num_columns - 1), width)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], [*batch.schema.names[:-1], "shingles"])
+            sets = [x.tobytes() for x in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(sets, pa.binary())], ["node", "n_shingles", "signature", "shingles"])
+        release_memory()
 
     return run
 
 
-def _beside_each_other(areas: DataFrame) -> DataFrame:
-    """All pairs of an area's blocks."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = areas.select("rep", "area", "blocks", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return placed.select("rep", "area", "blocks", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+#: Comparisons that share a task where they are small.
+CASES_PER_TASK = 256
 
 
-def _beside_pivots(areas: DataFrame, met: DataFrame, turn: int) -> DataFrame:
-    """Every member in one block, by hash; the members that meet most others, one per slot, in all blocks of their area."""
-    slot = F.pmod(F.xxhash64("rep", F.lit("slot")), F.lit(PIVOTS))
-    degrees = met.join(areas.select("rep", "area"), "rep").groupBy("rep", "area").agg(F.sum("n").alias("degree"))
-    pivots = degrees.groupBy("area", slot.alias("slot")).agg(F.max_by("rep", F.struct("degree", "rep")).alias("rep")).select("rep", F.lit(True).alias("pivot"))
-    own = F.array(F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("blocks")).cast("int"))
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = areas.join(pivots, "rep", "left").select("rep", "area", "blocks", own[0].alias("block"), F.explode(F.when(F.col("pivot"), everywhere).otherwise(own)).alias("low"))
-    return placed.withColumn("high", F.col("low"))
+def _tasks(cases: DataFrame, *by: str) -> DataFrame:
+    """cases with a column case, a number for each comparison, and task: small comparisons share one, by hash."""
+    return _retasked(cases.withColumn("case", F.xxhash64(*by)))
 
 
-def _beside_all(areas: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks against blocks, but for the members of an area's largest group, which need no comparison with each other."""
-    named = areas.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    largest = named.groupBy("area", "component").agg(F.count("*").alias("n")).groupBy("area").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("n"), F.sum("n").alias("total"))
-    named = named.join(largest, "area").withColumn("main", F.col("component") == F.col("largest")).withColumn("ahead", F.ceil(F.col("n") / BLOCK).cast("int"))
-    named = named.withColumn("blocks", F.col("ahead") + F.ceil((F.col("total") - F.col("n")) / BLOCK).cast("int")).where("blocks > ahead")
-    block = F.when(F.col("main"), F.pmod(F.xxhash64("rep"), F.col("ahead"))).otherwise(F.col("ahead") + F.pmod(F.xxhash64("rep"), F.col("blocks") - F.col("ahead"))).cast("int")
-    others = F.sequence(F.when(F.col("main"), F.col("ahead")).otherwise(F.lit(0)), F.col("blocks") - 1)
-    placed = named.select("rep", "area", "blocks", block.alias("block"), F.explode(others).alias("other"))
-    return placed.select("rep", "area", "blocks", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+def _retasked(cases: DataFrame) -> DataFrame:
+    bins = max(64, cases.count() // CASES_PER_TASK)
+    return cases.withColumn("task", F.pmod(F.xxhash64("case", F.lit(1)), F.lit(bins)))
 
 
-def links(posts: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction, matches: int) -> DataFrame:
+def links(posts: DataFrame, classes: DataFrame, least: Fraction, matches: int) -> DataFrame:
     """(a, b): a spanning set of the confirmed links between classes that share a post.
 
-    Areas are the components of classes that share posts. One of up to WHOLE blocks is compared
-    block against block. A larger one is cut into blocks, each compared within and with the area's pivots, which is
-    linear in its size and joins a group of near copies. Two classes that are not joined yet can
-    only be linked if they share a post that holds two groups or more: such posts alone go on to
-    the next turn, with smaller areas. After TURNS, what is left is compared block against block.
+    posts: (node, post); classes: (node, n_shingles, signature, shingles), one row of each node.
     """
-    found, labels = None, None
-    for turn in range(TURNS + 1):
-        meet = posts.groupBy("post").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
-        met = posts.join(meet, "post").select("rep", "b", "n", "post")
-        nodes = materialize(components(met.select(F.col("rep").alias("a"), "b")), "near-areas")
-        blocks = nodes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        areas = materialize(nodes.join(blocks, "component").select(F.col("node").alias("rep"), F.col("component").alias("area"), "blocks"), "near-blocks")
-        large = areas.where(F.col("blocks") > WHOLE)
-        more = not large.isEmpty()
-        placed = _beside_each_other(areas.where(F.col("blocks") <= WHOLE))
-        if more:
-            placed = placed.unionByName(_beside_all(large, labels) if turn == TURNS else _beside_pivots(large, met, turn))
-        # Texts meet each member once; its places are joined to the shingles afterwards.
-        places = placed.groupBy("rep", "area", "blocks", "block").agg(F.collect_list(F.struct("low", "high")).alias("places"))
-        members = places.join(signed, "rep").join(texts.where("doc_id IS NOT NULL"), F.col("rep") == F.col("doc_id"))
-        sets = members.select("rep", "area", "blocks", "block", "places", "signature", "text").mapInArrow(_with_sets(shingle), "rep long, area long, blocks int, block int, places array<struct<low:int,high:int>>, signature binary, shingles binary")
-        sets = sets.select("rep", "area", "blocks", "block", F.inline("places"), "signature", "shingles")
-        # Areas of one block share a task with others; each pair of blocks of a larger one has its own.
-        bins = max(64, areas.count() // (4 * BLOCK))
-        task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("area"), F.lit(bins))).otherwise(F.xxhash64("area", "low", "high"))
-        compared = sets.select(task.alias("task"), "rep", "area", "block", "low", "high", "signature", "shingles").groupBy("task").applyInArrow(_compare(similarity, matches), "a long, b long")
-        now = materialize(compared, "near-links")
-        found = now if found is None else found.unionByName(now)
-        if not more or turn == TURNS:
-            return found
-        labels = materialize(components(found), "near-labels")
-        open_posts = met.join(large.select("rep"), "rep", "left_semi").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = open_posts.groupBy("post").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("post")
-        posts = materialize(open_posts.join(mixed, "post", "left_semi").select("rep", "post"), "near-open-posts")
-        if posts.isEmpty():
-            return found
+    first = posts.groupBy("post").agg(F.min("node").alias("first"), F.count("*").alias("length")).where("length > 1")
+    listed = materialize(posts.join(first, "post"), "near-lists")
+    pairs = listed.where("node <> first").select("node", "first").distinct().join(classes.select("node", "n_shingles"), "node")
+    # A class that is first for many is compared with them in several blocks.
+    blocks = pairs.groupBy("first").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = pairs.select("node", "first").join(blocks, "first").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = materialize(_tasks(placed.select("node", "first", "block"), "first", "block"), "near-pairs")
+    sides = placed.select("case", "task", F.lit(1).alias("side"), "node").unionByName(placed.select("case", "task", F.lit(0).alias("side"), F.col("first").alias("node")).distinct())
+    found = _compared(sides.withColumn("component", F.col("node")), classes, least, matches)
+    labels = materialize(components(found), "near-labels")
+    named = listed.where("length > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named.groupBy("post").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    open_lists = named.join(several.select("post", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "post").select("post", "node", "component", "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = open_lists.select("post", "node", "component", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    cases = met.select("post", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.alias("side"), "node", "component")
+    cases = materialize(_tasks(cases, "post", "low", "high").select("case", "task", "side", "node", "component"), "near-cases")
+    if cases.isEmpty():
+        return found
+    close = materialize(cases.join(classes.select("node", "signature"), "node").groupBy("task").applyInArrow(_collide(matches), "case long, side int, node long, component long"), "near-close")
+    return found.unionByName(_compared(_retasked(close), classes, least, matches))
+
+
+def _compared(sides: DataFrame, classes: DataFrame, least: Fraction, matches: int) -> DataFrame:
+    held = sides.join(classes.select("node", "signature", "shingles"), "node")
+    return materialize(held.groupBy("task").applyInArrow(_confirm(least, matches), "a long, b long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = Fraction(3, 4), matches: int = MATCHES) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of their lower-cased shingle sets; one row per row of docs.
 
     Columns: doc_id, n_shingles, component_id (smallest id reachable over links), kept (it is the
-    document's own). Documents with fewer words than a shingle have one shingle, their whole
-    sequence; without words or text they have none and link with nothing. Rows with the same id
-    are one document. Rows without an id have no component and are kept. Other columns are
-    ignored; an empty table gives an empty result.
+    document's own), then text_hash (xxhash64 of the text, "" for null) and group (the same for
+    linked rows, null for those without a shingle). Documents with fewer words than a shingle have
+    one shingle, their whole sequence; without words or text they have none and link with nothing.
+    Rows are documents of their own, also where they share an id. Rows without an id take no part:
+    they have no component and are kept. A text of any length takes part whole; it must fit a
+    worker's memory some thirty times over. Other columns are ignored; an empty table gives an
+    empty result.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
+    mark = tables_written()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(texts.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, key1 long, key2 long, signature binary"), "near-signatures")
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
-    reps = materialize(classes, "near-classes")
-    bundles = materialize(reps.select("rep", "n_shingles", "signature").mapInArrow(_bundle_classes, BUNDLE), "near-bundles")
+    hashed = texts.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    signed = materialize(hashed.mapInArrow(_sign(shingle), "doc_id long, text_hash long, n_shingles long, key1 long, key2 long, signature binary"), "near-signatures")
+    # A class is named by its place in the table of classes, whatever ids its rows have; its text is that of a row with the smallest.
+    sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.min("signature").alias("signature"))
+    classes = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    bundles = materialize(classes.select("node", "n_shingles", "signature").mapInArrow(_bundle_classes, BUNDLE), "near-bundles")
     often = answer(bundles.mapInArrow(_post(exchange.FAN), ASKED), bundles.count(), ["i8"], _totals, _shared, ["i8"])
-    live = materialize(with_answers(bundles, often, ["i8"], _prefixes(matches), "rep long, signature binary, posts array<long>"), "near-posts")
-    found = links(live.select("rep", F.explode("posts").alias("post")), live.select("rep", "signature"), texts, shingle, similarity, matches)
-    groups = components(found)
-    named = reps.select("key1", "key2", "n_shingles", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("of_class"))
-    out = signed.join(materialize(named, "near-named"), ["key1", "key2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    live = materialize(with_answers(bundles, often, ["i8"], _prefixes(matches), "node long, signature binary, posts array<long>"), "near-posts")
+    named = live.select("node", "signature").join(classes.select("node", "n_shingles", "rep", F.col("text_hash").alias("class_hash")), "node")
+    found = hashed.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("class_hash"))).select("node", "text", "signature", "n_shingles").dropDuplicates(["node"])
+    with_sets = materialize(found.mapInArrow(_with_sets(shingle), "node long, n_shingles long, signature binary, shingles binary"), "near-sets")
+    groups = materialize(components(links(live.select("node", F.explode("posts").alias("post")), with_sets, similarity, matches)), "near-groups")
+    member = classes.select("key1", "key2", "n_shingles", "rep", "node").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    least = member.groupBy("group").agg(F.min("rep").alias("component_id"))
+    of_class = materialize(member.select("key1", "key2", "n_shingles", "group").join(least, "group"), "near-named")
+    discard(spark, mark, (signed, of_class))
+    out = signed.drop("signature").join(of_class, ["key1", "key2", "n_shingles"], "left")
+    has_id = F.col("doc_id").isNotNull()
+    out = out.select("doc_id", "n_shingles", F.when(has_id, F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash", F.when(has_id, F.col("group")).alias("group"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash", "group")
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs with one of each group of near_duplicates(): the one with the smallest id.
+
+    Of several rows with that id in a group, the one with the smallest text_hash stays, then the one
+    whose other columns come first. Rows that link with nothing stay, and so do rows without an id.
+    """
+    found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, **settings), "near-found")
+    rivals = found.where("kept AND group IS NOT NULL").groupBy("group").agg(F.count("*").alias("n"), F.min("text_hash").alias("best")).where("n > 1")
+    rivals = materialize(rivals, "near-rivals")
+    again = found.where("kept").join(rivals, "group").select("doc_id", "text_hash", (F.col("text_hash") == F.col("best")).alias("stays"))
+    again = materialize(again, "near-again")
+    verdicts = found.select("doc_id", "text_hash", "kept")
+    if not again.isEmpty():
+        lost = again.where("NOT stays").select("doc_id", "text_hash", F.lit(True).alias("lost")).distinct()
+        verdicts = verdicts.join(lost, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", (F.col("kept") & F.col("lost").isNull()).alias("kept"))
+    rest = rows_kept(docs, verdicts, id_col, text_col)
+    if again.isEmpty():
+        return rest
+    same = again.where("stays").groupBy(F.col("doc_id").alias("same id"), F.col("text_hash").alias("same hash")).agg(F.count("*").alias("n")).where("n > 1").select("same id", "same hash")
+    match = (rest[id_col] == F.col("same id")) & (F.xxhash64(F.coalesce(rest[text_col], F.lit(""))) == F.col("same hash"))
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    one = rest.join(same, match, "left_semi").groupBy(id_col, text_col).agg(F.min(F.struct(*others) if others else F.lit(0)).alias("other columns"))
+    return rest.join(same, match, "left_anti").unionByName(one.select(id_col, text_col, *(F.col("other columns")[c].alias(c) for c in others)).select(*docs.columns))

@@ -61,7 +61,7 @@ def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
