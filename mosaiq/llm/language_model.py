@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .common import Words, discard, materialize, mix, prepare, release_memory, tables_written
-from .exchange import ANSWER, ASKED, BUNDLE, answer, ask, decode_table, distinct, encode_table, entries, find, gathered, levels_for, pack_columns, pack_keys, replies, settle, unpack_columns, unpack_keys, with_answers, with_several_answers
+from .exchange import ANSWER, ASKED, BUNDLE, answer, ask, decode_table, distinct, encode_table, entries, find, gathered, group_starts, levels_for, pack_columns, pack_keys, replies, settle, unpack_columns, unpack_keys, with_answers, with_several_answers
 from .seating import Seating, digamma
 
 ROUNDS, SAMPLES = 4, 2
@@ -276,8 +276,13 @@ def learned_pairs(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
     A pair of numbers is 0 where a token is not known.
     """
     codes, _, learned = codes_of(rows)
-    coded = pa.array(pairs_of(codes).view(np.int64)).dictionary_encode()
-    pairs, place = coded.dictionary.to_numpy(zero_copy_only=False).view(np.uint64), coded.indices.to_numpy()
+    whole = pairs_of(codes)
+    order = np.argsort(whole)
+    whole = whole[order]
+    starts = group_starts(whole)
+    pairs = whole[starts]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(starts) - 1
     counts = np.bincount(place[learned], minlength=len(pairs))
     numbers = _of_first_row(rows, "numbers").astype(np.uint64)
     before, code = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(MOST_WORDS - 1)).astype(np.int64)

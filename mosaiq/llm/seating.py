@@ -35,7 +35,14 @@ def quiet(customers: int, tables: int, many: int, urge: float, discount: float,
 
     if stays(many):
         return many
-    low, high = 0, many
+    # About (1 + j / c) ** -urge stay; from that guess outwards to a bracket, which is then halved.
+    guess = min(many - 1, int(min(many, c * math.expm1(min(50.0, -math.log(u) / urge)))))
+    step = 1 + guess // 64
+    low, high = (guess, min(many, guess + step)) if stays(guess) else (max(0, guess - step), guess)
+    while high < many and stays(high):
+        low, high, step = high, min(many, high + 2 * step), 2 * step
+    while low > 0 and not stays(low):
+        low, high, step = max(0, low - 2 * step), low, 2 * step
     while high - low > 1:
         middle = (low + high) // 2
         low, high = (middle, high) if stays(middle) else (low, middle)
