@@ -15,9 +15,10 @@ KEY_BITS = 60
 ROWS_PER_RANGE = 20_000
 
 
-def random_key(key: Column) -> Column:
-    """Sixty bits of md5 of the key as text: the same on every run and in any SQL engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
+def random_key(key: Column, text: Column) -> Column:
+    """Sixty bits of md5 of the key as text, or of the text where the key is null: the same on every run and in any SQL engine."""
+    of_text = F.concat(F.lit("-"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), of_text)), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: list[int], total_percent: int, max_epochs: int) -> DataFrame:
@@ -48,12 +49,13 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     target has room, then documents in random order until the budget is exactly used; the one at
     the cut is taken in part. Null text has size 0 and is never taken; a null source is a source
     of its own, sorted last; rows with equal ids are ordered by size, and equal rows are
-    interchangeable; an empty table gives an empty result; extra columns are ignored.
+    interchangeable; null ids are drawn by their texts; whole texts are counted, however long; an empty
+    table gives an empty result; extra columns are ignored.
     """
     carried = [F.col(c).alias(f"carried {c}") for c in carry or []]
     src = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
     size = F.size(words_column(F.col(text_col))).cast("long")
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), src.alias("src"), random_key(F.col(id_col)).alias("key"), *carried), "mix-rows")
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), src.alias("src"), random_key(F.col(id_col), F.col(text_col)).alias("key"), *carried), "mix-rows")
     ranges = max(1, -(-rows.count() // ROWS_PER_RANGE))
     width = (1 << KEY_BITS) // ranges + 1
     rows = rows.withColumn("range", F.floor(F.col("key") / F.lit(width)).cast("int"))
