@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words_column
+from .common import materialize, rows_kept, words_column
 
 #: Characters that count as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -20,14 +20,14 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line goes if more than max(least_documents, share of the host's documents) distinct documents of the host have it.
+    """A line goes if so many documents of the host have it: more than share_percent of the host's, but at least least_documents and at most most_documents.
 
     A document is rejected if less than keep_percent of its words stand on the lines that stay.
-    Both limits are relative, so that they mean the same at every corpus size.
     """
 
     least_documents: int = 20
     share_percent: float = 2.0
+    most_documents: int = 10_000
     keep_percent: int = 20
 
 
@@ -73,10 +73,13 @@ def document_figures(docs: DataFrame, id_col: str, text_col: str, host_col: str)
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: LineLimits = LineLimits()) -> tuple[DataFrame, DataFrame]:
     """quality_rules() with text_hash, the xxhash64 of the text ("" for null), which tells rows with the same id apart; and the lines above the limits as (host, line hash)."""
     rows = materialize(document_figures(docs, id_col, text_col, host_col), "quality-rows")
-    lines = rows.select("row_id", "host", "text_hash", F.explode("lines").alias("l")).select("row_id", "host", "text_hash", "l.line", "l.words")
-    hosts = rows.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
-    seen = lines.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") > limits.least_documents)
-    frequent = materialize(seen.join(hosts, "host").where(F.col("in_docs") * 100 > F.col("docs") * F.lit(limits.share_percent)).select("host", "line"), "quality-lines")
+    lines = rows.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", "host", "l.line", "l.words")
+    hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
+    # A document counts once for a line, however often it has it.
+    once = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    seen = once.groupBy("host", "line").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") > limits.least_documents)
+    above = (F.col("in_docs") * 100 > F.col("docs") * F.lit(limits.share_percent)) | (F.col("in_docs") > limits.most_documents)
+    frequent = materialize(seen.join(hosts, "host").where(above).select("host", "line"), "quality-lines")
     removed = lines.join(frequent, ["host", "line"]).groupBy("row_id").agg(F.sum("words").alias("removed_words"))
     out = rows.drop("lines", "host").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
@@ -88,10 +91,10 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Judge every document; one row per row of docs.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words
-    (on lines above the limit), base_failed, kept. Frequency counts distinct documents by text,
-    so exact copies of a document do not condemn its lines. Null text is an empty text and fails
-    the base rules; a null host is a host of its own; null and repeated ids are judged row by
-    row; extra columns are ignored; an empty table gives an empty result.
+    (on lines above the limit), base_failed, kept. Frequency counts documents, copies too. Null
+    text is an empty text and fails the base rules; a null host is a host of its own; null and
+    repeated ids are judged row by row; a text of any length is judged whole; extra columns are
+    ignored; an empty table gives an empty result.
     """
     return judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, limits=limits)[0].drop("text_hash")
 
@@ -102,15 +105,7 @@ def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     What stays of a text is byte for byte as it was, blank lines too.
     """
     judged, frequent = judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, limits=limits)
-    verdicts = materialize(judged.select("doc_id", "text_hash", "kept"), "quality-verdicts")
-    # An id alone says who goes, unless rows share it and differ, or it is null: then the text tells.
-    ids = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
-    gone = materialize(ids.where("NOT some").select(F.col("doc_id").alias("bad id")), "quality-rejected")
-    unclear = verdicts.where("NOT kept").join(ids.where("some AND NOT every").select("doc_id"), "doc_id", "left_semi").unionByName(verdicts.where("NOT kept AND doc_id IS NULL"))
-    bad = materialize(unclear.select(F.col("doc_id").alias("bad id"), F.col("text_hash").alias("bad hash")).distinct(), "quality-unclear")
-    rest = docs.join(gone, docs[id_col] == gone["bad id"], "left_anti")
-    if not bad.isEmpty():
-        rest = rest.join(bad, rest[id_col].eqNullSafe(bad["bad id"]) & (F.xxhash64(F.coalesce(rest[text_col], F.lit(""))) == bad["bad hash"]), "left_anti")
+    rest = rows_kept(docs, judged.select("doc_id", "text_hash", "kept"), id_col, text_col)
     # Few lines of a host can be in more than a set share of its documents, so each host's are one short list.
     listed = materialize(frequent.groupBy(F.col("host").alias("bad host")).agg(F.collect_set("line").alias("bad lines")), "quality-host-lines")
     rest = rest.join(listed, host_key(host_col) == listed["bad host"], "left").withColumn("all lines", F.when(F.col("bad lines").isNotNull(), F.split(text_col, "\n", -1)))

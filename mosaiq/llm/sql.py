@@ -16,9 +16,9 @@ lin AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0',
                len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
         FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lin GROUP BY rid),
-hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
-freq AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM lin GROUP BY host, norm) JOIN hosts USING (host)
-         WHERE n > 20 AND n * 100 > docs * 2.0),
+hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+freq AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT rid) AS n FROM lin GROUP BY host, norm) JOIN hosts USING (host)
+         WHERE n > 20 AND (n * 100 > docs * 2.0 OR n > 10000)),
 gone AS (SELECT rid, sum(words) AS removed_words FROM lin JOIN freq USING (host, norm) GROUP BY rid),
 f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
        CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
@@ -34,7 +34,7 @@ FROM f
 OP4 = r"""
 WITH d AS (
   SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, source,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-' || md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, 2 * source_size AS cap FROM s),
