@@ -155,7 +155,7 @@ def ask(bid: int, keys: np.ndarray, columns: list[np.ndarray], slots: int, sprea
         order = np.argsort(slot, kind="stable")
         slot, keys, columns = slot[order], keys[order], [c[order] for c in columns]
     starts = np.flatnonzero(group_starts(slot))
-    stops = np.append(starts[1:], len(slot))
+    stops = np.append(starts[1:], len(slot)) if len(slot) else starts
     blobs = [pack_keys(keys[a:b]) for a, b in zip(starts, stops, strict=True)]
     extra = [pack_columns([c[a:b] for c in columns]) for a, b in zip(starts, stops, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(slot[starts]), pa.array(np.full(len(starts), bid)), pa.array(blobs, pa.binary()), pa.array(extra, pa.binary())], schema=ASK)

@@ -522,7 +522,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
         return made["words"].where("kind = 0").select("bid", "keys", "extra")
 
     numbered = settle(bundles.mapInArrow(_ask_words(fan), ASKED), count, levels, ["i8"], _added, number, ["i8", "u4"])
-    discard(spark, mark, (bundles, made["words"]))
+    discard(spark, tables_written())  # shuffles only: the answers may still need tables of the exchange
     known = _totals(made["words"], {"tokens": "tokens", "words": "words"})
     fit = Fit(words=int(known["words"]))
     bits = min(64, int(known["tokens"]).bit_length() + 8)

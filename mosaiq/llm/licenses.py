@@ -76,7 +76,7 @@ TEMPLATES |= {f"CC-{x}-4.0 short": f"Licensed under CC {x} 4.0." for x in ("BY",
 TEMPLATES |= {f"{x} SPDX": f"SPDX-License-Identifier: {x}" for x in sorted({k.split(" ")[0] for k in TEMPLATES} - {"Proprietary"})}
 #: What says nothing more than that rights are held; any licence in the same file goes before it.
 WEAKEST = "Proprietary"
-TRIGGERS = r"licen[cs]e|copyright|permission|redistribut|public domain|rights reserved|spdx|warrant|liab|free software"
+TRIGGERS = r"licen[cs]e|copyright|permission|redistribut|public domain|rights reserved|spdx|free software|\bwarrant(?:y|ies)\b|\bliab(?:le|ility)\b"
 FILE_NAMES = r"^(licen[cs]e|copying|notice|unlicense)(\..*)?$"
 LEAST_COSINE = 0.6
 #: A word that fewer than one in so many headers have weighs as if one in so many had it, at any size of the corpus.
@@ -128,13 +128,14 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     spark = files.sparkSession
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), header_texts(F.col(text_col)).alias("lines"))
     rows = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "licence-rows")
-    # Headers are distinct; copies of one cost a single row.
-    headers = materialize(rows.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("uses")), "licence-headers")
+    # Headers are distinct; copies of one cost a single row, and a number stands for it from here on.
+    headers = rows.select(F.explode("lines").alias("text")).groupBy(F.md5("text").alias("key")).agg(F.min("text").alias("text"), F.count("*").alias("uses"))
+    headers = materialize(headers.withColumn("line", F.monotonically_increasing_id()), "licence-headers")
     vocabulary = spark.createDataFrame(sorted({(k.split(" ")[0], k, v) for k, v in templates.items()}), "license string, template string, text string")
     known = vocabulary.select("license", "template", F.explode(tokens(F.col("text"))).alias("token")).groupBy("license", "template", "token").agg(F.count("*").alias("tf"))
     needed = spark.createDataFrame([(k, w, 1) for k, v in sorted(templates.items()) for w in sorted(name_words(k, v))], "template string, token string, needed int")
     known = known.join(needed, ["template", "token"], "left").fillna(0, ["needed"])
-    terms = headers.select("line", "uses", F.explode(tokens(F.col("line"))).alias("token")).groupBy("line", "uses", "token").agg(F.count("*").alias("tf"))
+    terms = materialize(headers.select("line", "uses", F.explode(tokens(F.col("text"))).alias("token")).groupBy("line", "uses", "token").agg(F.count("*").alias("tf")), "licence-terms")
     # Inverse document frequency over all headers, bounded by RAREST; a word that no header has counts as rare.
     lines = headers.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("n"))
     n = lines.first()["n"]
@@ -150,7 +151,8 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     # Least first: the weakest last, then by falling score, then by name.
     rank = F.struct((F.col("license") == WEAKEST).alias("weak"), (-F.col("score")).alias("s"), "license")
     best = materialize(scored.groupBy("line").agg(F.min(rank).alias("m")), "licence-matches")
-    per_row = rows.select("row_id", F.explode("lines").alias("line")).join(best, "line").groupBy("row_id").agg(F.min("m").alias("m"))
+    matched = best.join(headers.select("line", "key"), "line").select("key", "m")
+    per_row = rows.select("row_id", F.explode(F.transform("lines", F.md5)).alias("key")).join(matched, "key").groupBy("row_id").agg(F.min("m").alias("m"))
     own = materialize(rows.drop("lines").join(per_row, "row_id", "left").select("row_id", "doc_id", "path", F.col("m.license").alias("own_license"), (-F.col("m.s")).alias("own_score")), "licence-own")
     parts = F.split("path", "/")
     directory = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")

@@ -122,8 +122,11 @@ def _matrix(blobs: list[bytes], dim: int) -> np.ndarray:
 BLOCKS = "dim int, number long, size long, longest double, payload binary"
 
 
-def _cut(size_of):
-    """Rows (number, ...) of up to size_of(dimension) vectors of one dimension; a partition is sorted by dimension and falling length."""
+def _cut(size_of, group: int):
+    """Rows (number, ...) of up to size_of(dimension) vectors of one dimension; a partition is sorted by dimension and falling length.
+
+    So many numbers in a row are a group, and a group holds one dimension.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -143,7 +146,7 @@ def _cut(size_of):
                 if whole == rows.num_rows and whole - at < size_of(int(dims[at])):
                     break
                 yield out(rows.slice(at, whole - at))
-                number, at = number + 1, whole
+                number, at = (number + 1 if whole < end else (number // group + 1) * group), whole
             held = [rows.slice(at)] if at < rows.num_rows else []
         if held and held[0].num_rows:
             yield out(pa.concat_tables(held))
@@ -242,9 +245,9 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
 
     def cut(some: DataFrame, size_of, rows_a_part: int, label: str) -> DataFrame:
         parts = max(1, -(-some.count() // rows_a_part))
-        return materialize(some.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_cut(size_of), BLOCKS), label)
+        return materialize(some.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_cut(size_of, group), BLOCKS), label)
 
-    bucket, query_bytes = BUCKET, QUERY_BYTES
+    bucket, query_bytes, group = BUCKET, QUERY_BYTES, GROUP
     buckets = cut(parsed, lambda dim: bucket, GROUP * BUCKET, "topk-buckets").withColumn("group", F.floor(F.col("number") / GROUP).cast("long"))
     blocks = cut(parsed.where(F.col("vec_id") % query_every == 0), lambda dim: max(64, query_bytes // (8 * max(1, dim))), 1 << 15, "topk-queries")
     groups = materialize(buckets.groupBy("dim", "group").agg(F.max("longest").alias("longest")), "topk-groups")
