@@ -123,7 +123,7 @@ def mip_filter(spark, sf_dir):
 @query
 def visible_layers(spark, sf_dir):
     layers = spark.createDataFrame([(i, f"layer {i}", i % 3 != 1) for i in range(8)], "layer_id int, name string, visible boolean")
-    stored = tile_versions(spark, sf_dir).where("ty = 0").select(F.col("tx").alias("layer_id"))
+    stored = tile_versions(spark, sf_dir).select(F.col("tx").alias("layer_id"))
     return layers.where("visible").join(stored, "layer_id", "left_semi").select("layer_id", "name")
 
 

@@ -21,6 +21,7 @@ PRIMARIES = {
     "CieRgb": ((0.7350, 0.2650), (0.2740, 0.7170), (0.1670, 0.0090)),
     "CieXyz": ((1.0, 0.0), (0.0, 1.0), (0.0, 0.0)),
 }
+# Published white points.
 WHITES = {
     "A": (0.44757, 0.40745),
     "B": (0.34842, 0.35161),
@@ -36,7 +37,7 @@ WHITES = {
     "F7": (0.31285, 0.32918),
     "F11": (0.38052, 0.37713),
 }
-#: name -> primaries, white point, transfer curve.
+# Name -> primaries, white point, transfer curve.
 SPACES = {
     "srgb": ("Bt709", "D65", "srgb"),
     "linear_srgb": ("Bt709", "D65", "linear"),
@@ -51,7 +52,7 @@ SPACES = {
     "aces2065_1": ("Ap0", "D60", "linear"),
     "acescg": ("Ap1", "D60", "linear"),
 }
-#: Spaces that files are matched to, in this order: primaries, white, then wx wy rx ry gx gy bx by.
+# Spaces that files are matched to, in this order: primaries, white, then wx wy rx ry gx gy bx by.
 KNOWN_CHROMATICITIES = [
     ("Bt709", "D65", (0.3127, 0.3290, 0.640, 0.330, 0.300, 0.600, 0.150, 0.060)),
     ("Adobe1998", "D65", (0.3127, 0.3290, 0.640, 0.330, 0.210, 0.710, 0.150, 0.060)),
@@ -61,6 +62,7 @@ KNOWN_CHROMATICITIES = [
     ("Ap1", "D60", (0.32168, 0.33767, 0.713, 0.293, 0.165, 0.830, 0.128, 0.044)),
     ("ProPhoto", "D50", (0.3457, 0.3585, 0.7347, 0.2653, 0.1596, 0.8404, 0.0366, 0.0001)),
 ]
+# The Bradford matrix.
 BRADFORD = np.array([[0.8951, 0.2664, -0.1614], [-0.7502, 1.7135, 0.0367], [0.0389, -0.0685, 1.0296]])
 
 

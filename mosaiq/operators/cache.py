@@ -27,10 +27,25 @@ def missing(grid: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("tx", "
     return grid.join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
+#: Equal ranges of the time of use that a pool is cut into.
+AGES = 1024
+
+
 def survivors(entries: DataFrame, budget: int, pool: str, size: str = "size", used: str = "last_access", key: str = "key") -> DataFrame:
-    """Entries that an LRU of the given budget still holds: the last used whose running size fits. Per pool."""
-    running = Window.partitionBy(pool).orderBy(F.col(used).desc(), F.col(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return entries.withColumn("held", F.sum(size).over(running)).where(F.col("held") <= budget)
+    """Entries that an LRU of the given budget still holds: the last used whose running size fits. Per pool.
+
+    Two levels of prefix sums: over the sizes of AGES ranges of a pool, then inside each range. Ranges that begin
+    beyond the budget are left out before their entries are sorted.
+    """
+    ends = entries.groupBy(F.col(pool).alias("of")).agg(F.max(used).cast("double").alias("newest"), F.min(used).cast("double").alias("oldest"))
+    age = F.floor((F.col("newest") - F.col(used).cast("double")) * AGES / (F.col("newest") - F.col("oldest") + 1)).cast("int")
+    aged = entries.join(ends, entries[pool].eqNullSafe(ends["of"])).withColumn("age", age).drop("of", "newest", "oldest")
+    newer = Window.partitionBy("of").orderBy("of age").rowsBetween(Window.unboundedPreceding, -1)
+    ages = aged.groupBy(F.col(pool).alias("of"), F.col("age").alias("of age")).agg(F.sum(size).alias("age size")).withColumn("before", F.coalesce(F.sum("age size").over(newer), F.lit(0)))
+    near = aged.join(ages.where(F.col("before") <= budget), aged[pool].eqNullSafe(ages["of"]) & (aged["age"] == ages["of age"]))
+    running = Window.partitionBy(pool, "age").orderBy(F.col(used).desc(), F.col(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = near.withColumn("held", F.col("before") + F.sum(size).over(running)).where(F.col("held") <= budget)
+    return held.select(*entries.columns, "held")
 
 
 def in_range(tiles: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFrame:

@@ -5,22 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Windows side by side in a block of a line.
+SPAN = 16
+
+
+def _means_along(px: DataFrame, axis: str, other: str, radius: int, channels: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """The mean of each channel over the 2r+1 pixels around each one along an axis.
+
+    Lines are cut into blocks of SPAN windows, each with the r pixels beyond its ends, so that a line
+    of any length is split over tasks.
+    """
+    span = SPAN * (2 * radius + 1)
+    block = lambda at: F.floor(at / span).cast("int")
+    spread = px.withColumn("block", F.explode(F.sequence(block(F.col(axis) - radius), block(F.col(axis) + radius))))
+    near = Window.partitionBy(*keys, other, "block").orderBy(axis).rangeBetween(-radius, radius)
+    rest = [c for c in px.columns if c not in channels]
+    means = spread.select(*rest, "block", *(F.avg(c).over(near).alias(c) for c in channels))
+    return means.where(F.col("block") == block(F.col(axis))).drop("block")
+
 
 def box_blur(px: DataFrame, radius: int, channels: tuple[str, ...] = ("r", "g", "b", "a"), mip: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
     """The mean of the (2r+1) x (2r+1) window clipped to the image, as two passes of range frames.
 
     The number of samples along x is the same for every line, so the mean of line means is the
-    mean of the rectangle. keys name columns that tell images apart. Windows are partitioned by
-    line, then by column.
+    mean of the rectangle. keys name columns that tell images apart.
     """
     radius >>= mip
     if radius == 0:
         return px
-    across = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-radius, radius)
-    down = Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-radius, radius)
-    rest = [c for c in px.columns if c not in channels]
-    once = px.select(*rest, *(F.avg(c).over(across).alias(c) for c in channels))
-    return once.select(*rest, *(F.avg(c).over(down).alias(c) for c in channels))
+    once = _means_along(px, "x", "y", radius, channels, keys)
+    return _means_along(once, "y", "x", radius, channels, keys).select(*(c for c in px.columns if c not in channels), *channels)
 
 
 def halve(px: DataFrame, width: int, height: int, channels: tuple[str, ...] = ("r", "g", "b", "a"), truncate: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,60 @@
 
 from __future__ import annotations
 
-from .functions.spaces import KNOWN_CHROMATICITIES, lab_to_srgb_matrix, rgb_to_rgb, xyz_of, WHITES
+from fractions import Fraction
+
+Matrix = list[list[Fraction]]
+
+# Published white points, primaries (red, green, blue) and the Bradford matrix, restated here so that the SQL rests on nothing it checks.
+D50, D60, D65 = ("0.3457", "0.3585"), ("0.32168", "0.33767"), ("0.3127", "0.3290")
+SRGB = (("0.64", "0.33"), ("0.30", "0.60"), ("0.15", "0.06"))
+DISPLAY_P3 = (("0.680", "0.320"), ("0.265", "0.690"), ("0.150", "0.060"))
+AP1 = (("0.713", "0.293"), ("0.165", "0.830"), ("0.128", "0.044"))
+CONES = (("0.8951", "0.2664", "-0.1614"), ("-0.7502", "1.7135", "0.0367"), ("0.0389", "-0.0685", "1.0296"))
+#: Primaries, white, then wx wy rx ry gx gy bx by of the spaces that files are matched to, in order.
+FILE_SPACES = [
+    ("Bt709", "D65", (0.3127, 0.3290, 0.640, 0.330, 0.300, 0.600, 0.150, 0.060)),
+    ("Adobe1998", "D65", (0.3127, 0.3290, 0.640, 0.330, 0.210, 0.710, 0.150, 0.060)),
+    ("P3", "D65", (0.3127, 0.3290, 0.680, 0.320, 0.265, 0.690, 0.150, 0.060)),
+    ("Bt2020", "D65", (0.3127, 0.3290, 0.708, 0.292, 0.170, 0.797, 0.131, 0.046)),
+    ("Ap0", "D60", (0.32168, 0.33767, 0.7347, 0.2653, 0.0, 1.0, 0.0001, -0.077)),
+    ("Ap1", "D60", (0.32168, 0.33767, 0.713, 0.293, 0.165, 0.830, 0.128, 0.044)),
+    ("ProPhoto", "D50", (0.3457, 0.3585, 0.7347, 0.2653, 0.1596, 0.8404, 0.0366, 0.0001)),
+]
+
+
+def exact(rows) -> Matrix:
+    return [[Fraction(v) for v in row] for row in rows]
+
+
+def times(a: Matrix, b: Matrix) -> Matrix:
+    return [[sum(x * y for x, y in zip(row, column, strict=True)) for column in zip(*b, strict=True)] for row in a]
+
+
+def inverse(m: Matrix) -> Matrix:
+    """By cofactors."""
+    minor = lambda i, j: [[m[r][c] for c in range(3) if c != j] for r in range(3) if r != i]
+    cofactor = [[(-1) ** (i + j) * (k[0][0] * k[1][1] - k[0][1] * k[1][0]) for j in range(3) for k in [minor(i, j)]] for i in range(3)]
+    whole = sum(m[0][j] * cofactor[0][j] for j in range(3))
+    return [[cofactor[j][i] / whole for j in range(3)] for i in range(3)]
+
+
+def light(xy) -> Matrix:
+    """The column of X, Y, Z of a chromaticity at luminance 1."""
+    x, y = map(Fraction, xy)
+    return [[x / y], [Fraction(1)], [(1 - x - y) / y]]
+
+
+def to_xyz(primaries, white) -> Matrix:
+    columns = [list(row) for row in zip(*([c[0] for c in light(p)] for p in primaries), strict=True)]
+    scale = times(inverse(columns), light(white))
+    return [[v * scale[j][0] for j, v in enumerate(row)] for row in columns]
+
+
+def adapted(source, target) -> Matrix:
+    cones = exact(CONES)
+    gains = [t[0] / f[0] for t, f in zip(times(cones, light(target)), times(cones, light(source)), strict=True)]
+    return times(inverse(cones), [[g * v for v in row] for g, row in zip(gains, cones, strict=True)])
 
 A = """SELECT CAST(floor(o_orderkey/50e0) AS INT) AS y, CAST(o_orderkey % 50 AS INT) AS x,
  o_totalprice/524287e0 AS r, (o_custkey % 256)/255e0 AS g, CAST(substr(o_orderpriority,1,1) AS DOUBLE)/5e0 AS b,
@@ -144,15 +197,15 @@ BLENDS = {
 
 
 def all_sql() -> dict[str, str]:
-    srgb_to_p3 = product(rgb_to_rgb("srgb", "display_p3"), "r", "g", "b")
+    srgb_to_p3 = product(times(inverse(to_xyz(DISPLAY_P3, D65)), to_xyz(SRGB, D65)), "r", "g", "b")
     cube = lambda f: f"CASE WHEN ({f}) > {n(6 / 29)} THEN ({f})*({f})*({f}) ELSE {n(3 * (6 / 29) ** 2)}*(({f}) - {n(4 / 29)}) END"
     fy = "((g*100e0 + 16e0)/116e0)"
-    lab = [f"({cube(f)})*{n(w)}" for f, w in zip((f"({fy} + (b-0.5e0)*128e0/500e0)", fy, f"({fy} - (a-0.5e0)*128e0/200e0)"), xyz_of(WHITES["D50"]), strict=True)]
+    lab = [f"({cube(f)})*{n(w)}" for f, w in zip((f"({fy} + (b-0.5e0)*128e0/500e0)", fy, f"({fy} - (a-0.5e0)*128e0/200e0)"), (v[0] for v in light(D50)), strict=True)]
     lut = lambda i: encoded("srgb", f"({i}/4095e0)")
     at = "(least(greatest(r,0e0),1e0)*4095e0)"
     low, high = f"floor({at})", f"least(floor({at})+1e0, 4095e0)"
-    boxes = " ".join(f"WHEN {' AND '.join(f'abs({c} - {n(v)}) < 0.002e0' for c, v in zip(('wx', 'wy', 'rx', 'ry', 'gx', 'gy', 'bx', '"by"'), values, strict=True))} THEN {i}" for i, (_, _, values) in enumerate(KNOWN_CHROMATICITIES))
-    chroma = " UNION ALL ".join(f"SELECT {i} AS i, '{p}' AS p, '{w}' AS w, " + ", ".join(f"{n(v)} AS {c}" for c, v in zip(("wx", "wy", "rx", "ry", "gx", "gy", "bx", '"by"'), values, strict=True)) for i, (p, w, values) in enumerate(KNOWN_CHROMATICITIES))
+    boxes = " ".join(f"WHEN {' AND '.join(f'abs({c} - {n(v)}) < 0.002e0' for c, v in zip(('wx', 'wy', 'rx', 'ry', 'gx', 'gy', 'bx', '"by"'), values, strict=True))} THEN {i}" for i, (_, _, values) in enumerate(FILE_SPACES))
+    chroma = " UNION ALL ".join(f"SELECT {i} AS i, '{p}' AS p, '{w}' AS w, " + ", ".join(f"{n(v)} AS {c}" for c, v in zip(("wx", "wy", "rx", "ry", "gx", "gy", "bx", '"by"'), values, strict=True)) for i, (p, w, values) in enumerate(FILE_SPACES))
     names = ("wx", "wy", "rx", "ry", "gx", "gy", "bx", '"by"')
     tiled = f"SELECT *, CAST(floor(y/16e0) AS INT) AS ty, CAST(floor(x/16e0) AS INT) AS tx FROM ({A8})"
     grid = lambda m: f"SELECT {m} AS mip, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty FROM range(CAST(ceil(greatest(50 >> {m}, 1)/16e0) AS BIGINT)) AS a(tx), range(CAST(ceil(greatest({HEIGHT} >> {m}, 1)/16e0) AS BIGINT)) AS b(ty)"
@@ -174,7 +227,7 @@ def all_sql() -> dict[str, str]:
         "raster_extent": f"SELECT CAST(max(x)+1 AS INT) AS width, CAST(max(y)+1 AS INT) AS height FROM ({A8})",
         "assemble_raster": f"SELECT y, string_agg(printf('%02X', v), '' ORDER BY x) AS line FROM ({A8}) GROUP BY y",
         "mip_filter": f"SELECT y, x, {qs('r')} FROM ({halved(A, '50', HEIGHT, 'r')})",
-        "visible_layers": "SELECT CAST(i AS INT) AS layer_id, 'layer ' || i AS name FROM range(8) AS l(i) WHERE i % 3 <> 1 AND i IN (SELECT user_id % 8 FROM events WHERE event_id % 4 = 0)",
+        "visible_layers": "SELECT CAST(i AS INT) AS layer_id, 'layer ' || i AS name FROM range(8) AS l(i) WHERE i % 3 <> 1 AND i IN (SELECT user_id % 8 FROM events)",
         "png_text_map": "SELECT event_id, CASE lower(key) WHEN 'author' THEN 'Artist' WHEN 'artist' THEN 'Artist' WHEN 'title' THEN 'Description' WHEN 'description' THEN 'Description' WHEN 'copyright' THEN 'Copyright' WHEN 'software' THEN 'Software' ELSE 'Custom' END AS field, key, value FROM (SELECT event_id, ['Author','artist','TITLE','Description','Copyright','software','Comment'][event_id % 7 + 1] AS key, event_type AS value FROM events)",
         "exif_rational": "SELECT o_orderkey, o_custkey || '/' || (o_orderkey % 7) AS text, CASE WHEN o_orderkey % 7 <> 0 THEN printf('%.6f', CAST(o_custkey AS DOUBLE)/CAST(o_orderkey % 7 AS DOUBLE)) END AS value FROM orders",
         "detect_space": "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'rec2020' WHEN event_id % 7 = 0 THEN 'display_p3' WHEN event_id % 5 = 0 THEN 'srgb' WHEN event_id % 3 = 0 THEN 'adobe_rgb' WHEN event_id % 2 = 0 THEN 'gamma22' ELSE 'srgb' END AS space FROM events",
@@ -188,10 +241,10 @@ def all_sql() -> dict[str, str]:
         "tf_hlg": curves("hlg"),
         "gamma_lookup": f"SELECT event_id, CASE WHEN abs(g-{n(1 / 2.2)}) < 0.01e0 THEN 'gamma22' WHEN abs(g-{n(1 / 2.4)}) < 0.01e0 THEN 'gamma24' WHEN abs(g-{n(1 / 2.2)}) < 0.05e0 THEN 'gamma22' WHEN abs(g-1e0) < 0.01e0 THEN 'linear' END AS curve FROM (SELECT event_id, (event_id % 120)/100e0 AS g FROM events)",
         "color_convert": "SELECT y, x, " + ", ".join(f"{q(encoded('srgb', f'(({e})*a)'))} AS {c}" for e, c in zip(srgb_to_p3, "rgb", strict=True)) + f", {q('a')} AS a FROM (SELECT y, x, {', '.join(f'{decoded("srgb", c)} AS {c}' for c in 'rgb')}, a FROM ({A}))",
-        "matrix_apply": three(A, product(rgb_to_rgb("linear_srgb", "acescg"), "r", "g", "b")),
+        "matrix_apply": three(A, product(times(inverse(to_xyz(AP1, D60)), times(adapted(D65, D60), to_xyz(SRGB, D65))), "r", "g", "b")),
         "cmyk_to_rgb": three(A, [f"(1e0-{c})*(1e0-a)" for c in "rgb"]),
         "ycbcr_to_rgb": three(A, ["r + 1.402e0*(b-0.5e0)", "r - 0.344136e0*(g-0.5e0) - 0.714136e0*(b-0.5e0)", "r + 1.772e0*(g-0.5e0)"]),
-        "lab_to_rgb": three(A, product(lab_to_srgb_matrix(), *(f"({e})" for e in lab))),
+        "lab_to_rgb": three(A, product(times(inverse(to_xyz(SRGB, D65)), adapted(D50, D65)), *(f"({e})" for e in lab))),
         "lab_unpack": three(A8, ["v/255e0", "(255-v-128)/128e0", "((v*7)%256-128)/128e0"]),
         "premultiply": f"SELECT y, x, {q('r*a')} AS pre, {q('r*a/greatest(a, 1e-8)')} AS back FROM ({A})",
         "encode_lut": f"SELECT y, x, {q(f'({lut(low)}) + (({lut(high)}) - ({lut(low)}))*({at} - {low})')} AS r FROM ({A})",
