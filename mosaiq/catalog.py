@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from .functions import color, metadata
+from .functions import color, metadata, pixels
 from .functions.spaces import rgb_to_rgb
 from .operators import cache, compose, filters, layout
 from .plans import document, history, viewport
@@ -46,6 +46,37 @@ def scan_signed(spark, sf_dir):
     return quantised(raster_e(spark, sf_dir), "v")
 
 
+def _packed(model: str, bits: int, scale: float = 1.0):
+    """Channels a little beyond 0 to 1 (times scale) in a format's samples."""
+
+    def run(spark, sf_dir):
+        wide = [(F.col(c) * 1.25 - 0.125) * scale for c in "rgba"]
+        return raster_a(spark, sf_dir).select("y", "x", *(s.alias(f"s{i}") for i, s in enumerate(pixels.pack(model, bits, wide))))
+
+    return run
+
+
+def _unpacked(model: str, bits: int):
+    def run(spark, sf_dir):
+        v = F.col("v") * (1 if bits == 8 else 257)
+        samples = [(v * (2 * i + 1) + 31 * i) % (2**bits) for i in range(pixels.MODELS[model])]
+        return raster_a8(spark, sf_dir).withColumn("v", F.col("v").cast("long")).select("y", "x", *(q(c).alias(n) for n, c in zip("rgba", pixels.unpack(model, bits, samples), strict=True)))
+
+    return run
+
+
+#: Formats with a row of their own, as model and bits.
+FORMATS = [("gray", 8), ("graya", 8), ("rgb", 16), ("rgba", 8), ("ycbcr", 8), ("lab", 8), ("lab", 16), ("cmyk", 8), ("cmyk", 16), ("cmyka", 8)]
+for _model, _bits in FORMATS:
+    QUERIES[f"pack_{_model}{_bits}"] = _packed(_model, _bits, 255.0 if _model == "cmyk" else 1.0)
+    QUERIES[f"unpack_{_model}{_bits}"] = _unpacked(_model, _bits)
+
+
+@query
+def unpack_float(spark, sf_dir):
+    return raster_a(spark, sf_dir).select("y", "x", *(q(c).alias(n) for n, c in zip("rgba", pixels.unpack_float([F.col(c) for c in "rgba"]), strict=True)))
+
+
 @query
 def cache_range_scan(spark, sf_dir):
     px = raster_a(spark, sf_dir)
@@ -424,6 +455,18 @@ def visible_mip(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", viewport.visible_mip(zoom, 4).alias("mip"))
 
 
+@query
+def texture_mip(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", viewport.floor_mip(F.col("o_custkey") * 7 + 1, 64, 6).alias("mip"))
+
+
+@query
+def prefetch_plan(spark, sf_dir):
+    k = F.col("event_id")
+    views = cameras(spark, sf_dir).withColumns({"idle": k % 10 / 10.0, "zoom_direction": (k % 3 - 1).cast("int"), "deepest": F.lit(3)})
+    return viewport.prefetch(views, 256).select("event_id", "reason", "mip", "tx0", "tx1", "ty0", "ty1")
+
+
 @query
 def viewport_tiles(spark, sf_dir):
     return viewport.tile_range(cameras(spark, sf_dir), 256, 1).select("event_id", "tx0", "tx1", "ty0", "ty1")

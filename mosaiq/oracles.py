@@ -172,15 +172,50 @@ def pyramid(columns: str, levels: int = 24, tile: int = 128) -> str:
     return ", ".join(parts) + f" SELECT y, x, mip, {qs(columns)} FROM ({' UNION ALL '.join(union)})"
 
 
-def tile_ranges(padding: int, lookahead: float) -> str:
+def tile_ranges(padding: int, lookahead: float, level: str = "k%4", lead: str = "event_id", where: str = "true") -> str:
     cells = []
     for axis, pan, view, whole, vel in (("x", "(k*37%3000) - 500e0", "800e0", "4000e0", "(k%400) - 200e0"), ("y", "(k*53%2000) - 300e0", "600e0", "3000e0", "(k%300) - 150e0")):
         p = f"(({pan}) - ({vel})*{n(lookahead)})"
         low, high = f"greatest({p}, 0e0)", f"greatest(least({p} + {view}/pow(2e0, -(k%6)), {whole}), 0e0)"
-        scale = "pow(2e0, k%4)"
+        scale = f"pow(2e0, {level})"
         cells.append(f"CAST(greatest(floor({low}/{scale}/256e0) - {padding}, 0) AS INT) AS t{axis}0")
         cells.append(f"CAST(least(ceil({high}/{scale}/256e0) + {padding}, ceil(floor({whole}/{scale})/256e0)) AS INT) AS t{axis}1")
-    return f"SELECT event_id, {', '.join(cells)} FROM (SELECT event_id, event_id AS k FROM events)"
+    return f"SELECT {lead}, {', '.join(cells)} FROM (SELECT event_id, event_id AS k FROM events) WHERE {where}"
+
+
+def prefetch_plan() -> str:
+    fast = "(((k%400) - 200e0)*((k%400) - 200e0) + ((k%300) - 150e0)*((k%300) - 150e0)) > 2500e0"
+    target = "(CASE WHEN k%3 = 2 THEN greatest(k%4 - 1, 0) ELSE least(k%4 + 1, 3) END)"
+    pan = tile_ranges(2, 0.25, "k%4", "event_id, 'pan' AS reason, CAST(k%4 AS INT) AS mip", f"k%10 < 5 AND {fast}")
+    zoom = tile_ranges(4, 0.0, target, f"event_id, 'zoom' AS reason, CAST({target} AS INT) AS mip", f"k%10 < 5 AND k%3 <> 1 AND {target} <> k%4")
+    return f"{pan} UNION ALL {zoom}"
+
+
+def pixel_formats() -> dict[str, str]:
+    """SQL of pack_ and unpack_ for each format."""
+    out = {}
+    wide = {c: f"({c}*1.25e0 - 0.125e0)" for c in "rgba"}
+    unit = lambda e: f"least(greatest({e}, 0e0), 1e0)"
+    gray = f"({wide['r']}*0.2126e0 + {wide['g']}*0.7152e0 + {wide['b']}*0.0722e0)"
+    for model, bits, top, half in (("gray", 8, 255, 128), ("graya", 8, 255, 128), ("rgb", 16, 65535, 32768), ("rgba", 8, 255, 128), ("ycbcr", 8, 255, 128), ("lab", 8, 255, 128), ("lab", 16, 65535, 32768), ("cmyk", 8, 255, 128), ("cmyk", 16, 65535, 32768), ("cmyka", 8, 255, 128)):
+        full = lambda e, top=top: f"CAST(floor({unit(e)}*{top}e0 + 0.5e0) AS BIGINT)"
+        side = lambda e, top=top, half=half: f"CAST(least(floor(least(greatest({e}, -1e0), 1e0)*{half}e0 + {half}e0 + 0.5e0), {top}) AS BIGINT)"
+        samples = {
+            "gray": [full(gray)], "graya": [full(gray), full(wide["a"])], "rgb": [full(wide[c]) for c in "rgb"], "rgba": [full(wide[c]) for c in "rgba"], "ycbcr": [full(wide[c]) for c in "rgb"],
+            "lab": [full(wide["r"]), side(wide["g"]), side(wide["b"])], "cmyk": [f"CAST(floor(least(greatest({wide[c]}*255e0, 0e0), {top}e0) + 0.5e0) AS BIGINT)" for c in "rgba"],
+            "cmyka": [*(full(wide[c]) for c in "rgba"), f"CAST({top} AS BIGINT)"],
+        }[model]
+        out[f"pack_{model}{bits}"] = f"SELECT y, x, {', '.join(f'{e} AS s{i}' for i, e in enumerate(samples))} FROM ({A})"
+        v = [f"((CAST(v AS BIGINT)*{1 if bits == 8 else 257}*{2 * i + 1} + {31 * i}) % {top + 1})" for i in range(len(samples))]
+        share, centred = [f"{e}/{top}e0" for e in v], [f"({e} - {half}e0)/{half}e0" for e in v]
+        channels = {
+            "gray": [share[0]] * 3 + ["1e0"], "graya": [share[0]] * 3 + share[1:], "rgb": [*share, "1e0"], "rgba": share, "ycbcr": [*share, "1e0"],
+            "lab": [share[0], *centred[1:], "1e0"], "cmyk": share, "cmyka": share[:4],
+        }[model]
+        out[f"unpack_{model}{bits}"] = f"SELECT y, x, {', '.join(f'{q(e)} AS {c}' for e, c in zip(channels, 'rgba', strict=True))} FROM ({A8})"
+    alpha = "CASE WHEN a > 1e-6 THEN {} ELSE 0e0 END"
+    out["unpack_float"] = f"SELECT y, x, {', '.join(f'{q(alpha.format(e))} AS {c}' for c, e in zip('rgba', ('r/a', 'g/a', 'b/a', 'a'), strict=True))} FROM ({A})"
+    return out
 
 
 BLENDS = {
@@ -285,6 +320,9 @@ def all_sql() -> dict[str, str]:
         "visible_mip": "SELECT event_id, CAST(CASE WHEN z >= 0.5e0 THEN 0 ELSE least(-floor(log2(z)) - 1, 4) END AS INT) AS mip FROM (SELECT event_id, (event_id % 997 + 1)/997e0 AS z FROM events)",
         "viewport_tiles": tile_ranges(1, 0.0),
         "prefetch_tiles": tile_ranges(2, 0.25),
+        "prefetch_plan": prefetch_plan(),
+        "texture_mip": "SELECT o_orderkey, CAST(CASE WHEN m <= 64 THEN 0 ELSE least(ceil(log2(m/64e0)), 6) END AS INT) AS mip FROM (SELECT o_orderkey, o_custkey*7+1 AS m FROM orders)",
+        **pixel_formats(),
         "empty_canvas": f"SELECT y, x, 0e0 AS r, 0e0 AS g, 0e0 AS b, 0e0 AS a FROM ({A8})",
         "render_document": f"WITH l AS ({blur(A, 3, 'r g b a')}), t AS (SELECT y, x, {', '.join(f'{c}*{n(2**0.5)} AS {c}' for c in 'rgb')}, a FROM ({B})), m AS (SELECT l.y, l.x, {over('l', 't', 0.7)} FROM l JOIN t USING (y, x)) SELECT y, x, {', '.join(f'{q(encoded("srgb", c))} AS {c}' for c in 'rgb')}, {q('a')} AS a FROM m",
     }

@@ -12,6 +12,31 @@ def visible_mip(zoom: Column, deepest: Column | int = 8) -> Column:
     return F.when(zoom >= 0.5, 0).otherwise(F.least(-F.floor(F.log2(zoom)) - 1, deepest)).cast("int")
 
 
+def floor_mip(longest: Column, texture: int, deepest: Column | int = 8) -> Column:
+    """The first level whose longer side fits a texture."""
+    deepest = F.lit(deepest) if isinstance(deepest, int) else deepest
+    return F.when(longest <= texture, 0).otherwise(F.least(F.ceil(F.log2(longest / texture)), deepest)).cast("int")
+
+
+# Seconds that an interaction counts for, speed above which a view is ahead of itself, and by how many seconds.
+RECENT, FAST, AHEAD = 0.5, 50.0, 0.25
+
+
+def prefetch(cameras: DataFrame, tile: int) -> DataFrame:
+    """cameras with reason, level and tile range of what is worth reading before it is asked for; none, one or two rows of each.
+
+    "pan": where a fast view will be, at its own level; "zoom": around the view at the next level in the direction of
+    the last zoom. Both only shortly after an interaction. Columns used beside those of tile_range: idle (seconds),
+    zoom_direction (above, below or 0), deepest.
+    """
+    recent = cameras.where(F.col("idle") < RECENT)
+    fast = recent.where(F.sqrt(F.col("vel_x") ** 2 + F.col("vel_y") ** 2) > FAST).withColumn("reason", F.lit("pan"))
+    closer, farther = F.greatest(F.col("mip") - 1, F.lit(0)), F.least(F.col("mip") + 1, F.col("deepest"))
+    next_level = recent.where("zoom_direction <> 0").withColumn("next", F.when(F.col("zoom_direction") > 0, closer).otherwise(farther).cast("int")).where("next <> mip")
+    zooming = next_level.withColumn("mip", F.col("next")).drop("next").withColumn("reason", F.lit("zoom"))
+    return tile_range(fast, tile, 2, AHEAD).unionByName(tile_range(zooming, tile, 4))
+
+
 def tile_range(cameras: DataFrame, tile: int, padding: int, lookahead: float = 0.0) -> DataFrame:
     """cameras with tx0, tx1, ty0, ty1: the half-open tile range in view, padded and clipped to the grid.
 
