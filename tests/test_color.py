@@ -2,21 +2,38 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.functions import color, spaces
+from mosaiq.functions import color, pixels, spaces
 
-POINTS = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-CURVES = ["srgb", "rec709", "gamma22", "gamma24", "gamma26", "prophoto", "pq"]
+CURVES = ["srgb", "rec709", "gamma22", "gamma24", "gamma26", "prophoto", "pq", "hlg"]
+#: Where each curve changes its formula, as an encoded and as a linear value.
+KNEES = {"srgb": (0.04045, 0.0031308), "rec709": (0.081, 0.018), "prophoto": (1 / 32, 1 / 512), "hlg": (0.5, 1 / 12)}
 
 
 @pytest.mark.parametrize("curve", CURVES)
 def test_curves_are_inverse(spark, curve):
-    df = spark.createDataFrame([(p,) for p in POINTS], "p double")
+    points = sorted({0.0, 0.003, 0.07, 1 / 3, 0.62, 0.98, 1.0, *(k * by for k in KNEES.get(curve, ()) for by in (0.9, 1.1))})
     p = F.col("p")
-    for r in df.select("p", color.encode(curve, color.decode(curve, p)).alias("there"), color.decode(curve, color.encode(curve, p)).alias("back")).collect():
+    for r in spark.createDataFrame([(x,) for x in points], "p double").select("p", color.encode(curve, color.decode(curve, p)).alias("there"), color.decode(curve, color.encode(curve, p)).alias("back")).collect():
         assert r["there"] == pytest.approx(r["p"], abs=1e-4)
         assert r["back"] == pytest.approx(r["p"], abs=1e-4)
 
 
+@pytest.mark.parametrize("model", sorted(pixels.MODELS))
+@pytest.mark.parametrize("bits", [8, 16])
+def test_samples_survive_unpacking_and_packing(spark, model, bits):
+    top = 2**bits - 1
+    steps = [0, 1, top // 3, top // 2, top // 2 + 1, top - 1, top]
+    samples = [F.element_at(F.array(*map(F.lit, steps)), ((F.col("id") * (i + 1) + i) % len(steps) + 1).cast("int")).cast("double") for i in range(pixels.MODELS[model])]
+    channels = pixels.unpack(model, bits, samples)
+    if model == "cmyk":  # whose samples are packed as they are
+        channels = [c * top for c in channels]
+    for r in spark.range(30).select(F.array(*samples).alias("a"), F.array(*pixels.pack(model, bits, channels)).alias("b")).collect():
+        want = [int(x) for x in r["a"]]
+        assert r["b"] == ([*want[:4], top] if model == "cmyka" else want)
+    with pytest.raises(ValueError):
+        pixels.unpack(model, 12, samples)
+
+
 def test_white_is_kept():
     for name in ("Bt709", "P3", "Ap1"):
         assert spaces.rgb_to_xyz(name, "D65") @ np.ones(3) == pytest.approx(spaces.xyz_of(spaces.WHITES["D65"]), abs=1e-9)
