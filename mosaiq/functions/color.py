@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spaces import SPACES, WHITES, lab_to_srgb_matrix, rgb_to_rgb, xyz_of
+from .spaces import WHITES, lab_to_srgb_matrix, parts_of, rgb_to_rgb, xyz_of
 
 # Constants of the published curves.
 PQ_M1, PQ_M2 = 2610 / 16384, 2523 / 4096 * 128
@@ -98,11 +98,11 @@ def convert(px: DataFrame, source: str, target: str, source_alpha: str = "straig
     a, values = F.col(alpha), [F.col(c) for c in channels]
     if source_alpha == "premultiplied":
         values = [unpremultiply(v, a) for v in values]
-    values = [decode(SPACES[source][2], v) for v in values]
+    values = [decode(parts_of(source)[2], v) for v in values]
     values = apply_matrix(rgb_to_rgb(source, target), *values)
     if target_alpha == "premultiplied":
         values = [premultiply(v, a) for v in values]
-    values = [encode(SPACES[target][2], v) for v in values]
+    values = [encode(parts_of(target)[2], v) for v in values]
     return px.select(*(c for c in px.columns if c not in channels), *(v.alias(c) for v, c in zip(values, channels, strict=True)))
 
 

@@ -66,6 +66,16 @@ KNOWN_CHROMATICITIES = [
 BRADFORD = np.array([[0.8951, 0.2664, -0.1614], [-0.7502, 1.7135, 0.0367], [0.0389, -0.0685, 1.0296]])
 
 
+def parts_of(space: str) -> tuple[str, str, str]:
+    """Primaries, white point and curve of a space by name, or of "primaries/white/curve"."""
+    if space in SPACES:
+        return SPACES[space]
+    parts = tuple(space.split("/"))
+    if len(parts) != 3 or parts[0] not in PRIMARIES or parts[1] not in WHITES:
+        raise ValueError(f"unknown colour space {space}")
+    return parts
+
+
 def xyz_of(xy: tuple[float, float]) -> np.ndarray:
     """The colour of luminance 1 at a chromaticity."""
     x, y = xy
@@ -90,7 +100,7 @@ def adaptation(source: str, target: str) -> np.ndarray:
 
 def rgb_to_rgb(source: str, target: str) -> np.ndarray:
     """The matrix from linear source to linear target values."""
-    (p1, w1, _), (p2, w2, _) = SPACES[source], SPACES[target]
+    (p1, w1, _), (p2, w2, _) = parts_of(source), parts_of(target)
     if (p1, w1) == (p2, w2):
         return np.eye(3)
     return np.linalg.inv(rgb_to_xyz(p2, w2)) @ adaptation(w1, w2) @ rgb_to_xyz(p1, w1)

@@ -7,6 +7,7 @@ binaryFile source, so any store that Spark reads will do; each file is decoded i
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,19 +15,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.functions.metadata import TEXT_FIELDS
 from mosaiq.session import ship_package
 
-from . import jpeg, png, tiff
+from . import exif, jpeg, png, tiff
 
-TILES = "image string, page int, ty int, tx int, px int, py int, width int, height int, image_width int, image_height int, channels int, sample string, alpha string, data binary"
+TILES = "image string, page int, ty int, tx int, px int, py int, width int, height int, image_width int, image_height int, channels int, sample string, alpha string, space string, data binary"
+PAGES = "image string, page int, width int, height int, channels int, sample string, alpha string, space string, dpi double, orientation int, name string, x int, y int, profile_bytes int, fields map<string,string>"
 TILE = 256
 
 
+def named(text: dict[str, str]) -> dict[str, str]:
+    """PNG texts by the fields that their keys stand for; other keys stay. Of several texts of a field the first counts."""
+    out: dict[str, str] = {}
+    for key, value in text.items():
+        out.setdefault(TEXT_FIELDS.get(key.lower(), key), value)
+    return out
+
+
 def decode_any(data: bytes) -> list[tiff.Page]:
     """The pages of a file, by its first bytes."""
     if data[:8] == png.SIGNATURE:
         p = png.decode(data)
-        return [tiff.Page(p.pixels, "straight" if p.pixels.shape[2] in (2, 4) else None, 2, p.dpi, p.icc, p.text)]
+        text = dict(exif.fields(p.exif)) if p.exif else {}
+        return [tiff.Page(p.pixels, "straight" if p.pixels.shape[2] in (2, 4) else None, 2, p.dpi, p.icc, text | named(p.text), p.space, int(text.get("Orientation", 1)))]
     if data[:4] in (b"II*\0", b"MM\0*"):
         return tiff.decode(data)
     raise ValueError("unsupported image format")
@@ -40,7 +52,7 @@ def cut(name: str, number: int, page: tiff.Page, tile: int) -> Iterator[dict]:
             part = np.ascontiguousarray(px[y : y + tile, x : x + tile])
             yield {
                 "image": name, "page": number, "ty": y // tile, "tx": x // tile, "px": x, "py": y, "width": part.shape[1], "height": part.shape[0], "image_width": width,
-                "image_height": height, "channels": channels, "sample": str(px.dtype), "alpha": page.alpha, "data": part.tobytes(),
+                "image_height": height, "channels": channels, "sample": str(px.dtype), "alpha": page.alpha, "space": page.space, "data": part.tobytes(),
             }
 
 
@@ -50,17 +62,22 @@ def _schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(spark.createDataFrame([], ddl).schema)
 
 
-def read_images(spark: SparkSession, path: str, tile: int = TILE, skip_unsupported: bool = False) -> DataFrame:
-    """All PNG and TIFF files under path as tiles; see read_jpegs for JPEG."""
-    ship_package(spark)
-    schema = _schema(spark, TILES)
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of all files under path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def decode_files(found: DataFrame, tile: int = TILE, skip_unsupported: bool = False) -> DataFrame:
+    """PNG and TIFF files, as a name and a binary column in that order, as tiles. Null contents count as unsupported."""
+    ship_package(found.sparkSession)
+    schema = _schema(found.sparkSession, TILES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    pages = decode_any(content.as_py())
-                except ValueError:
+                    pages = decode_any(content.as_py() or b"")
+                except (ValueError, zlib.error):
                     if skip_unsupported:
                         continue
                     raise
@@ -69,7 +86,55 @@ def read_images(spark: SparkSession, path: str, tile: int = TILE, skip_unsupport
                     for at in range(0, len(rows), 64):
                         yield pa.RecordBatch.from_pylist(rows[at : at + 64], schema=schema)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, TILES)
+    return found.mapInArrow(run, TILES)
+
+
+def read_images(spark: SparkSession, path: str, tile: int = TILE, skip_unsupported: bool = False) -> DataFrame:
+    """All PNG and TIFF files under path as tiles; see read_jpegs for JPEG."""
+    return decode_files(files(spark, path), tile, skip_unsupported)
+
+
+def describe_files(found: DataFrame, skip_unsupported: bool = False) -> DataFrame:
+    """(name, content) of PNG, TIFF and JPEG files -> a row per page: size, space, density, place, and the fields that it states by name."""
+    ship_package(found.sparkSession)
+    schema = _schema(found.sparkSession, PAGES)
+
+    def rows_of(name: str, data: bytes) -> Iterator[dict]:
+        if data[:2] == b"\xff\xd8":
+            h = jpeg.header(data)
+            yield {
+                "image": name, "page": 0, "width": h.width, "height": h.height, "channels": h.channels, "sample": "uint8", "alpha": None, "space": h.space, "dpi": h.dpi,
+                "orientation": int(h.text.get("Orientation", 1)), "name": None, "x": 0, "y": 0, "profile_bytes": len(h.icc or b""), "fields": list(h.text.items()),
+            }
+            return
+        for number, p in enumerate(decode_any(data)):
+            height, width, channels = p.pixels.shape
+            yield {
+                "image": name, "page": number, "width": width, "height": height, "channels": channels, "sample": str(p.pixels.dtype), "alpha": p.alpha, "space": p.space, "dpi": p.dpi,
+                "orientation": p.orientation, "name": p.name, "x": p.offset[0], "y": p.offset[1], "profile_bytes": len(p.icc or b""), "fields": list(p.text.items()),
+            }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    rows = list(rows_of(name, content.as_py() or b""))
+                except (ValueError, zlib.error):
+                    if skip_unsupported:
+                        continue
+                    raise
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return found.mapInArrow(run, PAGES)
+
+
+def labelled(pages: DataFrame) -> DataFrame:
+    """(image, page, field, label, value): a row per field of describe_files(), with the name that it is shown by."""
+    long = pages.select("image", "page", F.explode("fields").alias("field", "value"))
+    label = F.col("field")
+    for name, title in exif.LABELS.items():
+        label = F.when(F.col("field") == name, title).otherwise(label)
+    return long.select("image", "page", "field", label.alias("label"), "value")
 
 
 def read_jpegs(spark: SparkSession, path: str, tile: int = TILE, skip_unsupported: bool = False) -> DataFrame:

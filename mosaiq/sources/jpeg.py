@@ -7,9 +7,14 @@ from __future__ import annotations
 
 import heapq
 import struct
+from dataclasses import dataclass, field
 
 import numpy as np
 
+from mosaiq.functions.profiles import profile_space
+
+from . import exif
+
 # The example quantisation tables of ITU-T T.81, annex K, row by row.
 LUMA = [
     16, 11, 10, 16, 24, 40, 51, 61,
@@ -180,3 +185,51 @@ def encode(px: np.ndarray, quality: int = 90, dpi: float | None = None) -> bytes
         out.append(_segment(0xC4, bytes([t % 2 << 4 | t // 2, *lengths, *symbols])))
     out.append(_segment(0xDA, bytes([components]) + b"".join(bytes([i + 1, k << 4 | k]) for i, k in enumerate(kinds)) + b"\0\x3f\0"))
     return b"".join([*out, packed(value, length), b"\xff\xd9"])
+
+
+@dataclass
+class Header:
+    """What a file says of its image, which is not decoded."""
+
+    width: int = 0
+    height: int = 0
+    channels: int = 0
+    dpi: float | None = None
+    icc: bytes | None = None
+    text: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def space(self) -> str:
+        return profile_space(self.icc) or "srgb"
+
+
+def header(data: bytes) -> Header:
+    """The segments before the first scan: size, density, EXIF fields, the profile joined from its numbered parts."""
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG file")
+    out, parts, at = Header(), {}, 2
+    while at + 4 <= len(data):
+        if data[at] != 0xFF:
+            raise ValueError("a segment is damaged")
+        kind = data[at + 1]
+        if kind == 0xFF:
+            at += 1
+            continue
+        (size,) = struct.unpack_from(">H", data, at + 2)
+        body = data[at + 4 : at + 2 + size]
+        if kind == 0xDA or len(body) != size - 2:
+            break
+        if kind == 0xE0 and body[:5] == b"JFIF\0" and len(body) >= 12:
+            unit, across = struct.unpack_from(">BH", body, 7)
+            out.dpi = {1: float(across), 2: across * 2.54}.get(unit)
+        elif kind == 0xE1 and body[:6] == b"Exif\0\0":
+            out.text = exif.fields(body)
+        elif kind == 0xE2 and body[:12] == b"ICC_PROFILE\0" and len(body) > 14:
+            parts[body[12]] = body[14:]
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC) and len(body) >= 6:
+            _, out.height, out.width, out.channels = struct.unpack_from(">BHHB", body)
+        at += 2 + size
+    if not out.channels:
+        raise ValueError("the file has no image")
+    out.icc = b"".join(parts[i] for i in sorted(parts)) or None
+    return out

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from mosaiq.functions.profiles import png_space
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples per pixel by colour type: grey, RGB, palette, grey + alpha, RGB + alpha.
 SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -27,6 +29,11 @@ class Png:
     dpi: float | None = None
     icc: bytes | None = None
     cicp: tuple[int, ...] | None = None
+    exif: bytes | None = None
+
+    @property
+    def space(self) -> str:
+        return png_space(self.cicp, self.icc, self.srgb, self.chroma, self.gamma)
 
 
 def chunks(data: bytes):
@@ -120,6 +127,12 @@ def decode(data: bytes) -> Png:
         elif name == b"zTXt":
             key, _, value = part.partition(b"\0")
             out.text[key.decode("latin-1")] = zlib.decompress(value[1:]).decode("latin-1")
+        elif name == b"iTXt":
+            key, _, rest = part.partition(b"\0")
+            packed, body_text = rest[:1] == b"\1", rest[2:].partition(b"\0")[2].partition(b"\0")[2]
+            out.text[key.decode("latin-1")] = (zlib.decompress(body_text) if packed else body_text).decode("utf-8", "replace")
+        elif name == b"eXIf":
+            out.exif = part
         elif name == b"gAMA":
             out.gamma = struct.unpack(">I", part)[0] / 100000
         elif name == b"cHRM":
@@ -162,7 +175,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode(pixels: np.ndarray, *, level: int = 6, text: dict[str, str] | None = None, dpi: float | None = None, srgb: bool = False, gamma: float | None = None, icc: bytes | None = None) -> bytes:
+def encode(pixels: np.ndarray, *, level: int = 6, text: dict[str, str] | None = None, dpi: float | None = None, srgb: bool = False, gamma: float | None = None, icc: bytes | None = None, exif: bytes | None = None) -> bytes:
     """A PNG of height x width x 1..4 samples, uint8 or uint16; lines are filtered by the difference to the left."""
     pixels = pixels[..., None] if pixels.ndim == 2 else pixels
     height, width, per_pixel = pixels.shape
@@ -184,6 +197,10 @@ def encode(pixels: np.ndarray, *, level: int = 6, text: dict[str, str] | None =
     if dpi:
         per_metre = round(dpi * 100 / 2.54)
         out.append(_chunk(b"pHYs", struct.pack(">IIB", per_metre, per_metre, 1)))
-    out += [_chunk(b"tEXt", k.encode("latin-1") + b"\0" + v.encode("latin-1", "replace")) for k, v in (text or {}).items()]
+    for key, value in (text or {}).items():
+        plain = value.encode("latin-1", "replace").decode("latin-1") == value
+        out.append(_chunk(b"tEXt", key.encode("latin-1") + b"\0" + value.encode("latin-1")) if plain else _chunk(b"iTXt", key.encode("latin-1") + b"\0\0\0\0\0" + value.encode()))
+    if exif:
+        out.append(_chunk(b"eXIf", exif))
     out += [_chunk(b"IDAT", zlib.compress(body.tobytes(), level)), _chunk(b"IEND", b"")]
     return b"".join(out)
