@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,35 @@ def in_range(tiles: DataFrame, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
     return tiles.where((F.col("tx") >= x0) & (F.col("tx") < x1) & (F.col("ty") >= y0) & (F.col("ty") < y1))
 
 
+def store(tiles: DataFrame, path: str) -> None:
+    """Write tiles in order of their place, so that a range lies in few files and few row groups of those."""
+    tiles.repartitionByRange("ty", "tx").sortWithinPartitions("ty", "tx").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
+    """The tiles of a store in a half-open range; files and row groups beyond it are not read."""
+    return in_range(spark.read.parquet(path), x0, x1, y0, y1)
+
+
+def display(writes: DataFrame, active: int) -> DataFrame:
+    """(mip, tx, ty, payload): the tiles to show of a log of writes.
+
+    Generation 0 is the base, where the highest version stays; of previews only those of the active
+    generation count, the last to arrive, over the base. Without an active generation (0) the base is shown.
+    """
+    keys = ("mip", "tx", "ty")
+    base = latest(writes.where("generation = 0"), keys)
+    if not active:
+        return base.select(*keys, "payload")
+    preview = writes.where(F.col("generation") == active).groupBy(*keys).agg(F.max(F.struct("arrival", "payload")).alias("w")).select(*keys, "w.payload")
+    return overlay_over_base(base, preview, keys, "payload")
+
+
+def pending(accepted: DataFrame, mip: int, since: int) -> DataFrame:
+    """(tx, ty): places of a level with a write accepted after the one of arrival since. Whoever takes them goes on from the last arrival."""
+    return accepted.where((F.col("mip") == mip) & (F.col("arrival") > since)).select("tx", "ty").distinct()
+
+
 def checked(tiles: DataFrame, bytes_per_pixel: int, data: str = "samples") -> DataFrame:
     """tiles with ok: whether the data has the tile's length; empty tiles are left out."""
     return tiles.where((F.col("width") > 0) & (F.col("height") > 0)).withColumn("ok", F.size(data) == F.col("width") * F.col("height") * bytes_per_pixel)

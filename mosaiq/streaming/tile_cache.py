@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mosaiq.session import ship_package
+from mosaiq.operators.cache import latest
+from mosaiq.session import remove_folder, ship_package, subfolders
 
 OUT = "tx int, ty int, arrival long, version long, payload double"
 STATE = "version long"
@@ -36,15 +37,39 @@ def accepted_writes(writes: DataFrame) -> DataFrame:
     return writes.groupBy("tx", "ty").applyInPandasWithState(accept, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_to(path: str):
-    """A foreachBatch function that keeps the latest tile of each place as Parquet, a new folder per batch."""
-    from mosaiq.operators.cache import latest
+COLUMNS = ["tx", "ty", "arrival", "version", "payload"]
+
+
+def append_to(path: str):
+    """A foreachBatch function that adds each batch's latest tiles to a store, as one folder a batch.
+
+    A batch costs what it holds, not what the store holds. A batch that is run again replaces its folder.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}"))
-        columns = ["tx", "ty", "arrival", "version", "payload"]
-        latest(batch.select(*columns)).select(*columns).write.mode("overwrite").parquet(f"{path}/{number}")
+        latest(batch.select(*COLUMNS)).select(*COLUMNS).write.mode("overwrite").parquet(f"{path}/batch-{number:012d}")
 
     return run
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The latest tile of each place over all folders of a store."""
+    folders = [f"{path}/{f}" for f in subfolders(spark, path)]
+    if not folders:
+        return spark.createDataFrame([], OUT)
+    return latest(spark.read.schema(OUT).parquet(*folders)).select(*COLUMNS)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Put all folders of a store but the newest into one. Run it beside the stream now and then, one at a time.
+
+    A reader that lists both the old folders and the new one sees writes twice, which changes nothing.
+    The newest folder stays as it is: its batch may yet be run again.
+    """
+    names = subfolders(spark, path)[:-1]
+    if len(names) < 2:
+        return
+    merged = latest(spark.read.schema(OUT).parquet(*(f"{path}/{f}" for f in names))).select(*COLUMNS)
+    merged.write.mode("overwrite").parquet(f"{path}/{names[-1]}-merged")
+    for name in names:
+        remove_folder(spark, f"{path}/{name}")
