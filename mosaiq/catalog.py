@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from .functions.spaces import rgb_to_rgb
 from .operators import cache, compose, filters, layout
 from .plans import document, history, viewport
 from .rasters import WIDTH, edit_log, q, raster_a, raster_a8, raster_b, raster_e, table, tile_versions
+from .session import is_complete, shared_folder
+from .sources import images, png
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,7 +85,10 @@ def unpack_float(spark, sf_dir):
 def cache_range_scan(spark, sf_dir):
     px = raster_a(spark, sf_dir)
     tiles = px.select("y", "x", layout.tile_of(F.col("x"), TILE).alias("tx"), layout.tile_of(F.col("y"), TILE).alias("ty"), q(F.col("r")).alias("r"))
-    return cache.in_range(tiles, 1, 3, 0, 2)
+    path = f"{shared_folder(spark)}/range-scan-{crc32(sf_dir.encode()):08x}"
+    if not is_complete(spark, path):
+        cache.store(tiles, path)
+    return cache.load(spark, path, 1, 3, 0, 2)
 
 
 @query
@@ -158,6 +165,41 @@ def visible_layers(spark, sf_dir):
     return layers.where("visible").join(stored, "layer_id", "left_semi").select("layer_id", "name")
 
 
+# --- files ---------------------------------------------------------------------------------------
+
+#: Lines of an image that a raster is cut into for a file.
+FILE_LINES = 512
+
+
+def _file_round_trip(kind: str):
+    """8-bit pixels into image files, and back from those."""
+
+    def run(spark, sf_dir):
+        strip = F.format_string("strip %d", F.floor(F.col("y") / FILE_LINES))
+        whole = [color.quantize(F.col(c), 255).alias(c) for c in "rgba"]
+        px = raster_a(spark, sf_dir).select(strip.alias("image"), F.lit(0).alias("page"), (F.col("y") % FILE_LINES).alias("y"), "x", *whole)
+        made = images.to_files(images.pixel_tiles(px, tuple("rgba"), alpha="straight", tile=32), kind)
+        back = images.tile_pixels(images.decode_files(made.select("image", "content"), tile=64))
+        line = F.col("y") + F.substring("image", 7, 9).cast("int") * FILE_LINES
+        return back.select(line.alias("y"), "x", *(F.round(F.get("samples", F.lit(i)) * 255).cast("int").alias(c) for i, c in enumerate("rgba")))
+
+    return run
+
+
+QUERIES["png_round_trip"] = _file_round_trip("png")
+QUERIES["tiff_round_trip"] = _file_round_trip("tiff")
+
+
+@query
+def file_space(spark, sf_dir):
+    """PNG files with different statements about their colour, and the space that is taken from each."""
+    one = np.zeros((1, 1, 3), np.uint8)
+    kinds = [png.encode(one), png.encode(one, srgb=True, gamma=1.0), png.encode(one, gamma=1.0), png.encode(one, gamma=0.45455), png.encode(one, gamma=0.9), png.encode(one, icc=b"no profile", gamma=1.0)]
+    content = F.element_at(F.array(*(F.lit(bytearray(k)) for k in kinds)), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    pages = images.describe_files(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("image"), content.alias("content")))
+    return pages.select(F.col("image").cast("long").alias("event_id"), "space", "width", "height", "channels")
+
+
 # --- metadata ----------------------------------------------------------------------------------
 
 KEYS = ["Author", "artist", "TITLE", "Description", "Copyright", "software", "Comment"]
@@ -343,6 +385,24 @@ def overlay_base(spark, sf_dir):
     return quantised(cache.overlay_over_base(base, overlay, ("tx", "ty"), "payload"), "payload")
 
 
+def tile_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile writes of three levels, every fourth one of a preview."""
+    k = F.col("arrival")
+    generation = F.when(k % 4 == 3, k % 3 + 7).otherwise(0)
+    return tile_versions(spark, sf_dir).withColumns({"mip": (k % 3).cast("int"), "generation": generation.cast("long")})
+
+
+@query
+def overlay_generation(spark, sf_dir):
+    return quantised(cache.display(tile_writes(spark, sf_dir), 8), "payload")
+
+
+@query
+def pending_tiles(spark, sf_dir):
+    last = tile_writes(spark, sf_dir).where("generation = 0")
+    return cache.pending(last.where("payload > 100"), 1, 500)
+
+
 @query
 def missing_tiles(spark, sf_dir):
     grid = layout.tile_grid(spark, 10 * TILE, 5 * TILE, TILE).select("tx", "ty")
@@ -477,6 +537,28 @@ def prefetch_tiles(spark, sf_dir):
     return viewport.tile_range(cameras(spark, sf_dir), 256, 2, 0.25).select("event_id", "tx0", "tx1", "ty0", "ty1")
 
 
+@query
+def camera_fit(spark, sf_dir):
+    return quantised(viewport.fitted(cameras(spark, sf_dir)).select("event_id", "pan_x", "pan_y", "zoom"), "pan_x", "pan_y", "zoom")
+
+
+@query
+def camera_pan(spark, sf_dir):
+    moved = viewport.panned(cameras(spark, sf_dir), F.col("vel_x"), F.col("vel_y"))
+    return quantised(moved.select("event_id", "pan_x", "pan_y"), "pan_x", "pan_y")
+
+
+@query
+def camera_zoom(spark, sf_dir):
+    closer = viewport.zoomed(cameras(spark, sf_dir), F.pow(F.lit(2.0), (F.col("event_id") % 25 - 12).cast("double")), F.lit(400.0), F.lit(150.0))
+    return quantised(closer.select("event_id", "pan_x", "pan_y", "zoom"), "pan_x", "pan_y", "zoom")
+
+
+@query
+def solid_colour(spark, sf_dir):
+    return document.solid(raster_a8(spark, sf_dir), (0.25, 0.5, 0.75, 1.0))
+
+
 @query
 def empty_canvas(spark, sf_dir):
     canvas = raster_a8(spark, sf_dir).select("y", "x")
@@ -494,4 +576,27 @@ def render_document(spark, sf_dir):
     return quantised(document.render(doc, sources.__getitem__, sources["a"].select("y", "x"), "srgb"), "r", "g", "b", "a")
 
 
+@query
+def render_upto(spark, sf_dir):
+    """The same layers before the first of their transforms."""
+    sources = {"a": raster_a(spark, sf_dir), "b": raster_b(spark, sf_dir)}
+    layers = (document.Layer(1, "a", transforms=(document.Transform("blur", 3),)), document.Layer(2, "b", opacity=0.7, transforms=(document.Transform("exposure", 0.5),)))
+    doc = document.Document(WIDTH, 1, layers)
+    return quantised(document.render(doc, sources.__getitem__, sources["a"].select("y", "x"), upto=0), "r", "g", "b", "a")
+
+
+@query
+def render_below(spark, sf_dir):
+    """A layer that brightens what is below it, and one that takes a hidden layer's picture."""
+    sources = {"a": raster_a(spark, sf_dir), "b": raster_b(spark, sf_dir)}
+    layers = (
+        document.Layer(1, "a"),
+        document.Layer(2, "b", opacity=0.7, transforms=(document.Transform("exposure", 0.5, input="below"),)),
+        document.Layer(3, "b", visible=False, transforms=(document.Transform("exposure", -1.0),)),
+        document.Layer(4, "a", opacity=0.4, transforms=(document.Transform("exposure", -1.0, input=3),)),
+    )
+    doc = document.Document(WIDTH, 1, layers)
+    return quantised(document.render(doc, sources.__getitem__, sources["a"].select("y", "x")), "r", "g", "b", "a")
+
+
 ORACLES = {name: sql for name, sql in oracles.all_sql().items() if name in QUERIES}

@@ -231,6 +231,37 @@ BLENDS = {
 }
 
 
+def more() -> dict[str, str]:
+    """Files, previews, cameras and layers that read other layers."""
+    whole = f"SELECT y, x, {', '.join(f'CAST(floor(least(greatest({c},0e0),1e0)*255e0 + 0.5e0) AS INT) AS {c}' for c in 'rgba')} FROM ({A})"
+    files = f"""WITH p AS ({whole}), s AS (SELECT y // 512 AS s, max(y) AS last, max(x) AS side FROM p GROUP BY 1),
+ g AS (SELECT CAST(s*512 + dy AS INT) AS y, CAST(dx AS INT) AS x FROM s, range(512) AS a(dy), range(50) AS b(dx) WHERE s*512 + dy <= last AND dx <= side)
+ SELECT y, x, {', '.join(f'coalesce({c}, 0) AS {c}' for c in 'rgba')} FROM g LEFT JOIN p USING (y, x)"""
+    writes = f"SELECT *, CAST(arrival % 3 AS INT) AS mip, CASE WHEN arrival % 4 = 3 THEN arrival % 3 + 7 ELSE 0 END AS generation FROM ({VERSIONS})"
+    shown = f"""WITH w AS ({writes}), b AS (SELECT * FROM w WHERE generation = 0 QUALIFY row_number() OVER (PARTITION BY mip, tx, ty ORDER BY version DESC, arrival DESC) = 1),
+ o AS (SELECT * FROM w WHERE generation = 8 QUALIFY row_number() OVER (PARTITION BY mip, tx, ty ORDER BY arrival DESC) = 1)
+ SELECT mip, tx, ty, {q('coalesce(o.payload, b.payload)')} AS payload FROM b FULL JOIN o USING (mip, tx, ty)"""
+    views = "SELECT event_id, event_id AS k, (event_id*37%3000) - 500e0 AS pan_x, (event_id*53%2000) - 300e0 AS pan_y, pow(2e0, -(event_id%6)) AS zoom FROM events"
+    closer = "greatest(least(zoom*pow(2e0, k%25 - 12), 64e0), 0.04e0)"
+    layers = f"a AS ({A}), b AS ({B})"
+    brighter = f"t AS (SELECT y, x, {', '.join(f'{c}*{n(2**0.5)} AS {c}' for c in 'rgb')}, a FROM a)"
+    darker = f"u AS (SELECT y, x, {', '.join(f'{c}*0.5e0 AS {c}' for c in 'rgb')}, a FROM (SELECT y, x, {', '.join(f'{c}*0.5e0 AS {c}' for c in 'rgb')}, a FROM b))"
+    return {
+        "png_round_trip": files,
+        "tiff_round_trip": files,
+        "file_space": "SELECT event_id, CASE event_id % 6 WHEN 2 THEN 'linear_srgb' WHEN 3 THEN 'Bt709/D65/gamma22' ELSE 'srgb' END AS space, 1 AS width, 1 AS height, 3 AS channels FROM events",
+        "overlay_generation": shown,
+        "pending_tiles": f"SELECT DISTINCT tx, ty FROM ({writes}) WHERE generation = 0 AND payload > 100 AND mip = 1 AND arrival > 500",
+        "camera_fit": f"SELECT event_id, {q('(4000e0 - 800e0/0.19e0)/2e0')} AS pan_x, {q('(3000e0 - 600e0/0.19e0)/2e0')} AS pan_y, {q('0.2e0*0.95e0')} AS zoom FROM events",
+        "camera_pan": f"SELECT event_id, {q('pan_x - ((k%400) - 200e0)/zoom')} AS pan_x, {q('pan_y - ((k%300) - 150e0)/zoom')} AS pan_y FROM ({views})",
+        "camera_zoom": f"SELECT event_id, {q('pan_x + 400e0/zoom - 400e0/z')} AS pan_x, {q('pan_y + 150e0/zoom - 150e0/z')} AS pan_y, {q('z')} AS zoom FROM (SELECT *, {closer} AS z FROM ({views}))",
+        "solid_colour": f"SELECT y, x, 0.25e0 AS r, 0.5e0 AS g, 0.75e0 AS b, 1e0 AS a FROM ({A8})",
+        "render_upto": f"WITH {layers}, m AS (SELECT a.y, a.x, {over('a', 'b', 0.7)} FROM a JOIN b USING (y, x)) SELECT y, x, {qs('r g b a')} FROM m",
+        "render_below": f"""WITH {layers}, {brighter}, {darker}, m AS (SELECT a.y, a.x, {over('a', 't', 0.7)} FROM a JOIN t USING (y, x)),
+ f AS (SELECT m.y, m.x, {over('m', 'u', 0.4)} FROM m JOIN u USING (y, x)) SELECT y, x, {qs('r g b a')} FROM f""",
+    }
+
+
 def all_sql() -> dict[str, str]:
     srgb_to_p3 = product(times(inverse(to_xyz(DISPLAY_P3, D65)), to_xyz(SRGB, D65)), "r", "g", "b")
     cube = lambda f: f"CASE WHEN ({f}) > {n(6 / 29)} THEN ({f})*({f})*({f}) ELSE {n(3 * (6 / 29) ** 2)}*(({f}) - {n(4 / 29)}) END"
@@ -323,6 +354,7 @@ def all_sql() -> dict[str, str]:
         "prefetch_plan": prefetch_plan(),
         "texture_mip": "SELECT o_orderkey, CAST(CASE WHEN m <= 64 THEN 0 ELSE least(ceil(log2(m/64e0)), 6) END AS INT) AS mip FROM (SELECT o_orderkey, o_custkey*7+1 AS m FROM orders)",
         **pixel_formats(),
+        **more(),
         "empty_canvas": f"SELECT y, x, 0e0 AS r, 0e0 AS g, 0e0 AS b, 0e0 AS a FROM ({A8})",
         "render_document": f"WITH l AS ({blur(A, 3, 'r g b a')}), t AS (SELECT y, x, {', '.join(f'{c}*{n(2**0.5)} AS {c}' for c in 'rgb')}, a FROM ({B})), m AS (SELECT l.y, l.x, {over('l', 't', 0.7)} FROM l JOIN t USING (y, x)) SELECT y, x, {', '.join(f'{q(encoded("srgb", c))} AS {c}' for c in 'rgb')}, {q('a')} AS a FROM m",
     }

@@ -48,3 +48,9 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
     return sorted(f.getPath().getName() for f in system.listStatus(place) if f.isDirectory()) if system.exists(place) else []
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a table that was written to its end."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -158,6 +158,28 @@ def read_jpegs(spark: SparkSession, path: str, tile: int = TILE, skip_unsupporte
     return files.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, TILES)
 
 
+def pixel_tiles(px: DataFrame, channels: tuple[str, ...], sample: str = "uint8", tile: int = TILE, alpha: str | None = None, space: str = "srgb") -> DataFrame:
+    """(image, page, y, x, channels): pixels of whole images as tiles, their values as samples of the given type; gaps are zero.
+
+    The image's size is left open, since a tile does not know it.
+    """
+    ship_package(px.sparkSession)
+    schema = _schema(px.sparkSession, TILES)
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        ty, tx = int(y[0]) // tile, int(x[0]) // tile
+        width, height = int(x.max()) % tile + 1, int(y.max()) % tile + 1
+        out = np.zeros((height, width, len(channels)), sample)
+        for i, c in enumerate(channels):
+            out[y % tile, x % tile, i] = table.column(c).to_numpy()
+        row = {"image": table.column("image")[0].as_py(), "page": table.column("page")[0].as_py(), "ty": ty, "tx": tx, "px": tx * tile, "py": ty * tile, "width": width, "height": height}
+        return pa.Table.from_pylist([row | {"image_width": None, "image_height": None, "channels": len(channels), "sample": sample, "alpha": alpha, "space": space, "data": out.tobytes()}], schema=schema)
+
+    keyed = px.select("image", F.col("page").cast("int").alias("page"), "y", "x", *channels, F.floor(F.col("y") / tile).alias("gy"), F.floor(F.col("x") / tile).alias("gx"))
+    return keyed.groupBy("image", "page", "gy", "gx").applyInArrow(run, TILES)
+
+
 def tile_pixels(tiles: DataFrame) -> DataFrame:
     """(image, page, y, x, samples): the pixels of a tile relation, samples as doubles of 0 to 1 for whole numbers."""
     ship_package(tiles.sparkSession)
