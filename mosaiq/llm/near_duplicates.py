@@ -9,9 +9,10 @@
    shares fewer lists than the threshold is left out.
 3. In every list, each class is merged with the list's first one: collisions are counted over both
    signatures, and pairs at the threshold are confirmed on the full sets. That is linear.
-4. Skip: a list whose classes are in one component by now has nothing to add. In any other, classes
-   of different components are merged in the same way, block against block, so that a list of any
-   length is split over tasks. Those that collide with none go; the rest are confirmed.
+4. Skip: a list whose classes are in one component by now has nothing to add. In any other, the
+   classes outside its largest component are merged with those of other components, block against
+   block, so that a list of any length is split over tasks. Two classes that share several lists
+   meet in the one of the least coordinate only. Those that collide with none go; the rest are confirmed.
 5. Components of the links. A task returns a spanning forest of its links, never all pairs.
 """
 
@@ -36,6 +37,10 @@ MATCHES = 30
 SHINGLE = 5
 #: Classes, and shingles of classes, that one task holds on a side.
 BLOCK, BLOCK_SHINGLES = 512, 4 << 20
+#: Classes of which one task compares the signatures, on a side.
+PEERS = 4096
+#: Of the filter that texts pass before they are moved: bits for each class, bits in a page, pages at most (8 MB in all).
+BITS, PAGE, PAGES = 16, 32768, 2048
 ROWS_PER_BUNDLE = 10_000
 
 
@@ -132,7 +137,7 @@ def _shared(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, li
 
 
 def _prefixes(matches: int):
-    schema = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("posts", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("prefix", pa.int64()), ("posts", pa.list_(pa.int64()))])
 
     def run(bid: int, rows: pa.RecordBatch | None, keys: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
         if rows is None or not len(keys):
@@ -141,12 +146,13 @@ def _prefixes(matches: int):
         found, at = find(mine.ravel(), keys)
         often = np.where(found, columns[0][at], 0).reshape(mine.shape)
         live = np.flatnonzero((often > 0).sum(axis=1) >= matches)
-        posts = []
-        for i in live:
+        posts, prefix = [], np.zeros(len(live), np.uint64)
+        for at, i in enumerate(live):
             have = np.flatnonzero(often[i])
-            order = have[np.lexsort((mine[i, have], often[i, have]))]
-            posts.append(mine[i, order[: len(have) - matches + 1]].view(np.int64))
-        return pa.table([rows.column(0).take(live), rows.column(2).take(live), pa.array(posts, schema.field("posts").type)], schema=schema)
+            order = have[np.lexsort((mine[i, have], often[i, have]))][: len(have) - matches + 1]
+            posts.append(mine[i, order].view(np.int64))
+            prefix[at] = np.bitwise_or.reduce(np.uint64(1) << order.astype(np.uint64))
+        return pa.table([rows.column(0).take(live), rows.column(2).take(live), pa.array(prefix.view(np.int64)), pa.array(posts, schema.field("posts").type)], schema=schema)
 
     return run
 
@@ -202,32 +208,68 @@ def collisions(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
+def met_before(left: np.ndarray, right: np.ndarray, left_prefix: np.ndarray, right_prefix: np.ndarray, coordinate: int) -> np.ndarray:
+    """Whether each row of left shares a posting list of a lesser coordinate with each row of right; a prefix has a bit for each coordinate posted."""
+    out = np.zeros((len(left), len(right)), dtype=bool)
+    for k in range(coordinate):
+        mine, others = (x >> np.uint64(k) & np.uint64(1) != 0 for x in (left_prefix, right_prefix))
+        out |= (left[:, None, k] == right[None, :, k]) & mine[:, None] & others[None, :]
+    return out
+
+
+def _cases(*by: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each comparison, ordered; it is named by one column or more."""
+    order = np.lexsort((node, *by[::-1]))
+    at = np.flatnonzero(group_starts(*(x[order] for x in by))) if len(order) else []
+    return (order[a:b] for a, b in zip(at, [*at[1:], len(order)], strict=True))
+
+
 def _sides(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each comparison in the table: its rows, ordered, and a matrix of which pairs of them it is to look at."""
     case, side, node = (table.column(c).to_numpy() for c in ("case", "side", "node"))
     group = table.column("component").to_numpy()
-    order = np.lexsort((node, side, case))
-    at = np.flatnonzero(group_starts(case[order])) if len(order) else []
-    for a, b in zip(at, [*at[1:], len(order)], strict=True):
-        rows = order[a:b]
-        # Sides 0 and 1 meet each other, rows of side 2 one another; never within a component.
-        meet = (side[rows][:, None] != side[rows][None, :]) | (side[rows] == 2)[:, None]
+    for rows in _cases(case, node=node):
+        # The sides meet each other; never within a component.
+        meet = side[rows][:, None] != side[rows][None, :]
         yield rows, np.triu(meet & (group[rows][:, None] != group[rows][None, :]), 1)
 
 
+def _blocks(rows: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """rows in runs of BLOCK at most that weigh about BLOCK_SHINGLES, or are one heavier row."""
+    starts = group_starts(np.arange(len(rows)) // BLOCK, np.cumsum(weights[rows]) // BLOCK_SHINGLES)
+    return np.split(rows, np.flatnonzero(starts)[1:])
+
+
+#: What a row of a posting list does there: it is outside the largest component and asks the others; it is in that component; or it is asked but asks too.
+ASKS, RESTS, ASKED_TOO = 0, 1, 2
+
+
 def _collide(matches: int):
-    """The rows of each comparison that collide with another often enough: (post, node, other side's block)."""
+    """The rows of each comparison that collide with another often enough, in cases of a block against a block."""
     schema = pa.schema([("case", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("component", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.zeros(0, np.int64)]
-        signature = _matrix(table.column("signature"))
-        for rows, meet in _sides(table):
-            if meet.any():
-                close = meet & (collisions(signature[rows], signature[rows]) >= matches)
-                parts.append(rows[close.any(axis=0) | close.any(axis=1)])
+        signature, prefix = _matrix(table.column("signature")), table.column("prefix").to_numpy().view(np.uint64)
+        case, post, side, node, group, weight = (table.column(c).to_numpy() for c in ("case", "post", "side", "node", "component", "n_shingles"))
+        out: list[tuple[np.ndarray, ...]] = []
+        for rows in _cases(post, case, node=node):
+            coordinate = int(np.flatnonzero(_pair_keys(signature[rows[:1]])[0].view(np.int64) == post[rows[0]])[0])
+            asks, asked = (_blocks(rows[x], weight) for x in (side[rows] == ASKS, side[rows] != ASKS))
+            for i, left in enumerate(asks):
+                for j, right in enumerate(asked):
+                    # Where both ask, one of them does.
+                    close = (group[left][:, None] != group[right][None, :]) & ((side[right] == RESTS)[None, :] | (node[left][:, None] < node[right][None, :]))
+                    if close.any():
+                        close &= collisions(signature[left], signature[right]) >= matches
+                    if close.any():
+                        close &= ~met_before(signature[left], signature[right], prefix[left], prefix[right], coordinate)
+                    for own, found in enumerate((left[close.any(axis=1)], right[close.any(axis=0)])):
+                        name = mix(case[found].view(np.uint64) ^ mix(np.array([i << 32 | j], np.uint64))).view(np.int64)
+                        out.append((name, np.full(len(found), own, np.int32), node[found], group[found]))
         release_memory()
-        return table.select(schema.names).take(pa.array(np.concatenate(parts))).cast(schema)
+        if not out:
+            return schema.empty_table()
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=schema)
 
     return run
 
@@ -255,7 +297,7 @@ def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [x.tobytes() for x in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(sets, pa.binary())], ["node", "n_shingles", "signature", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(2), batch.column(3), pa.array(sets, pa.binary())], ["node", "n_shingles", "signature", "prefix", "shingles"])
         release_memory()
 
     return run
@@ -278,7 +320,7 @@ def _retasked(cases: DataFrame) -> DataFrame:
 def links(posts: DataFrame, classes: DataFrame, least: Fraction, matches: int) -> DataFrame:
     """(a, b): a spanning set of the confirmed links between classes that share a post.
 
-    posts: (node, post); classes: (node, n_shingles, signature, shingles), one row of each node.
+    posts: (node, post); classes: (node, n_shingles, signature, prefix, shingles), one row of each node.
     """
     first = posts.groupBy("post").agg(F.min("node").alias("first"), F.count("*").alias("length")).where("length > 1")
     listed = materialize(posts.join(first, "post"), "near-lists")
@@ -290,17 +332,19 @@ def links(posts: DataFrame, classes: DataFrame, least: Fraction, matches: int) -
     sides = placed.select("case", "task", F.lit(1).alias("side"), "node").unionByName(placed.select("case", "task", F.lit(0).alias("side"), F.col("first").alias("node")).distinct())
     found = _compared(sides.withColumn("component", F.col("node")), classes, least, matches)
     labels = materialize(components(found), "near-labels")
-    named = listed.where("length > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = named.groupBy("post").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_lists = named.join(several.select("post", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "post").select("post", "node", "component", "blocks")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    met = open_lists.select("post", "node", "component", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    cases = met.select("post", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.alias("side"), "node", "component")
-    cases = materialize(_tasks(cases, "post", "low", "high").select("case", "task", "side", "node", "component"), "near-cases")
+    # The first of a list has met all others there.
+    named = listed.where("length > 2 AND node <> first").join(labels, "node", "left").select("post", "node", F.coalesce("component", "node").alias("component"))
+    parts = named.groupBy("post", "component").agg(F.count("*").alias("n"))
+    several = parts.groupBy("post").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1")
+    several = several.select("post", F.col("largest.component").alias("largest"), *(F.ceil(n / PEERS).alias(c) for c, n in (("blocks", F.col("n")), ("asking", F.col("n") - F.col("largest.n")))))
+    open_lists = materialize(named.join(several, "post").withColumn("asks", F.col("component") != F.col("largest")).drop("largest"), "near-open")
+    own = F.xxhash64("node")
+    asked = open_lists.select("post", "node", "component", F.when(F.col("asks"), ASKED_TOO).otherwise(RESTS).alias("side"), F.pmod(own, F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("asker"))
+    asks = open_lists.where("asks").select("post", "node", "component", F.lit(ASKS).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(own, F.col("asking")).alias("asker"))
+    cases = materialize(_tasks(asked.unionByName(asks), "post", "block", "asker").select("case", "post", "task", "side", "node", "component"), "near-cases")
     if cases.isEmpty():
         return found
-    close = materialize(cases.join(classes.select("node", "signature"), "node").groupBy("task").applyInArrow(_collide(matches), "case long, side int, node long, component long"), "near-close")
+    close = materialize(cases.join(classes.select("node", "n_shingles", "signature", "prefix"), "node").groupBy("task").applyInArrow(_collide(matches), "case long, side int, node long, component long"), "near-close")
     return found.unionByName(_compared(_retasked(close), classes, least, matches))
 
 
@@ -309,6 +353,17 @@ def _compared(sides: DataFrame, classes: DataFrame, least: Fraction, matches: in
     return materialize(held.groupBy("task").applyInArrow(_confirm(least, matches), "a long, b long"), "near-links")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows with the (doc_id, text_hash) of a (rep, class_hash) in wanted, and some others, so that few texts are moved to find them."""
+    pages = min(PAGES, wanted.count() * BITS // PAGE + 1)
+    spot = lambda *key: F.pmod(F.xxhash64(*key), F.lit(pages * PAGE))
+    page, bit = (lambda c: F.floor(c / PAGE)), (lambda c: F.pmod(c, F.lit(PAGE)))
+    bits = wanted.select(spot("rep", "class_hash").alias("spot")).groupBy(page(F.col("spot")).alias("page")).agg(F.bitmap_construct_agg(bit(F.col("spot"))).alias("bits"))
+    at = bit(spot("doc_id", "text_hash"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), (page(spot("doc_id", "text_hash")) == F.col("page")) & (F.call_function("getbit", byte, F.pmod(at, F.lit(8)).cast("int")) == 1), "left_semi")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = Fraction(3, 4), matches: int = MATCHES) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of their lower-cased shingle sets; one row per row of docs.
 
@@ -332,10 +387,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     bundles = materialize(classes.select("node", "n_shingles", "signature").mapInArrow(_bundle_classes, BUNDLE), "near-bundles")
     often = answer(bundles.mapInArrow(_post(exchange.FAN), ASKED), bundles.count(), ["i8"], _totals, _shared, ["i8"])
-    live = materialize(with_answers(bundles, often, ["i8"], _prefixes(matches), "node long, signature binary, posts array<long>"), "near-posts")
-    named = live.select("node", "signature").join(classes.select("node", "n_shingles", "rep", F.col("text_hash").alias("class_hash")), "node")
-    found = hashed.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("class_hash"))).select("node", "text", "signature", "n_shingles").dropDuplicates(["node"])
-    with_sets = materialize(found.mapInArrow(_with_sets(shingle), "node long, n_shingles long, signature binary, shingles binary"), "near-sets")
+    live = materialize(with_answers(bundles, often, ["i8"], _prefixes(matches), "node long, signature binary, prefix long, posts array<long>"), "near-posts")
+    named = materialize(live.select("node", "signature", "prefix").join(classes.select("node", "n_shingles", "rep", F.col("text_hash").alias("class_hash")), "node"), "near-wanted")
+    found = _likely(hashed, named).join(named, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("class_hash"))).select("node", "text", "signature", "prefix", "n_shingles").dropDuplicates(["node"])
+    with_sets = materialize(found.mapInArrow(_with_sets(shingle), "node long, n_shingles long, signature binary, prefix long, shingles binary"), "near-sets")
     groups = materialize(components(links(live.select("node", F.explode("posts").alias("post")), with_sets, similarity, matches)), "near-groups")
     member = classes.select("key1", "key2", "n_shingles", "rep", "node").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = member.groupBy("group").agg(F.min("rep").alias("component_id"))

@@ -205,6 +205,62 @@ def test_chained_groups_that_share_lists(spark, monkeypatch, seed):
     assert near_rows(frame(spark, rows)) == sorted([(d, n, c, d == c) for d, (n, c) in want.items()], key=repr)
 
 
+def noisy_copies(copies):
+    """Copies of a text with one to three words changed: all alike to a signature, few of them linked."""
+    rng = np.random.default_rng(copies)
+    rows = []
+    for d in range(copies):
+        w = [f"w{i}" for i in range(100)]
+        for at in rng.choice(25, rng.integers(1, 4), replace=False) * 4:
+            w[at] = f"new{d}x{at}"
+        rows.append((d, " ".join(w), "a"))
+    return rows
+
+
+def test_classes_that_share_many_lists_are_compared_once(spark, monkeypatch):
+    rows, made = noisy_copies(150), {}
+
+    def counted(df, label, materialize=common.materialize):
+        out = materialize(df, label)
+        made[label] = made.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "materialize", counted)
+    want = brute.near([(d, t) for d, t, _ in rows])
+    assert 20 < len({c for _, c in want.values()}) < 130
+    assert near_rows(frame(spark, rows)) == sorted([(d, n, c, d == c) for d, (n, c) in want.items()], key=repr)
+    assert 0 < made["near-close"] <= 12 * len(rows)
+
+
+@pytest.mark.parametrize(("peers", "block"), [(7, 3), (40, 8), (4096, 512)])
+def test_blocks_of_signatures_and_of_sets(spark, monkeypatch, peers, block):
+    rows = noisy_copies(90) + [(1000 + d, " ".join(f"o{i}" for i in range(d % 7, 60 + d % 5)), "b") for d in range(40)]
+    monkeypatch.setattr(near_duplicates, "PEERS", peers)
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    want = brute.near([(d, t) for d, t, _ in rows])
+    assert near_rows(frame(spark, rows)) == sorted([(d, n, c, d == c) for d, (n, c) in want.items()], key=repr)
+
+
+def test_lists_met_before():
+    left, right = np.zeros((2, near_duplicates.COORDINATES), np.uint32), np.zeros((2, near_duplicates.COORDINATES), np.uint32)
+    right[1, :10] = 1
+    prefix = np.array([0b1000000100, 0b10000000000], np.uint64)
+    met = lambda k: near_duplicates.met_before(left, right, prefix, np.full(2, (1 << 64) - 1, np.uint64), k).tolist()
+    assert met(2) == [[False, False], [False, False]]
+    assert met(3) == [[True, False], [False, False]]
+    assert met(11) == [[True, False], [True, True]]
+
+
+@pytest.mark.parametrize("classes", [1, 500, 9000])
+def test_few_texts_are_moved_to_find_those_of_classes(spark, classes):
+    rows = spark.range(60_000).select(F.when(F.col("id") != 16, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("text_hash"))
+    wanted = rows.where(f"doc_id % 6 = 5 AND doc_id < {6 * classes}").select(F.col("doc_id").alias("rep"), F.col("text_hash").alias("class_hash"))
+    found = near_duplicates._likely(rows, wanted)
+    assert found.columns == rows.columns
+    assert found.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("class_hash"))).count() == classes
+    assert found.count() == found.distinct().count() < classes + 0.1 * 60_000
+
+
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     other = " ".join(f"o{i}" for i in range(200))
     rows = [(5, LONG, "a"), (5, other, "a"), (3, LONG + " x", "a"), (5, LONG + " y", "b"), (9, other, "a"), (9, other, "a"), (4, "", "a"), (4, "", "a"), (None, LONG, "a")]
